@@ -25,6 +25,17 @@ def fits(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) ->
     return row["n"] <= max_rows and (row["size"] or 0) <= max_bytes
 
 
+def localized(df: DataFrame, max_rows: int = MAX_LITERAL_ROWS) -> DataFrame | None:
+    """A copy of ``df`` held in the plan itself, if it has at most ``max_rows`` rows, else None.
+
+    What is built on the copy does not compute ``df`` again.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return None
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def few_rows(df: DataFrame, max_rows: int = MAX_LITERAL_ROWS) -> list[Row] | None:
     """The rows of ``df`` if there are at most ``max_rows``, else None."""
     rows = df.limit(max_rows + 1).collect()
@@ -64,15 +75,22 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     return left.join(right, [*on, _SALT], how).drop(_SALT)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join to a reference table: broadcast when it measures small, salted otherwise."""
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", tiny: bool = False) -> DataFrame:
+    """Join to a reference table: broadcast when it measures small, salted otherwise.
+
+    ``tiny`` tells that it most likely has a few hundred rows: these are then
+    computed once, and copied into the plan.
+    """
+    copy = localized(small) if tiny else None
+    if copy is not None:
+        return big.join(F.broadcast(copy), on, how)
     if fits(small):
         return big.join(F.broadcast(small), on, how)
     return salted_join(big, small, on, how)
 
 
 def cross_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every row of ``df`` with every row of ``rows`` (periods, scenario lines).
+    """Every row of ``df`` with every row of ``rows`` (periods, rate lines).
 
     A handful of rows becomes an array literal that is exploded in place, without
     a shuffle or a join; a longer list is matched over salts.
@@ -80,10 +98,14 @@ def cross_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
     local = few_rows(rows)
     if local is None:
         return salted_join(df, rows, [], "inner")
-    if not local:
-        return df.limit(0).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
-    fields = rows.schema.fields
+    return cross_lines(df, [tuple(r) for r in local], rows.schema)
+
+
+def cross_lines(df: DataFrame, lines: list[tuple], schema: T.StructType) -> DataFrame:
+    fields = schema.fields
+    if not lines:
+        return df.limit(0).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
     literals = F.array(*[
-        F.struct(*[F.lit(r[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)]) for r in local
+        F.struct(*[F.lit(r[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)]) for r in lines
     ])
     return df.select("*", F.inline(literals))

@@ -32,5 +32,5 @@ def project_compliance(
         .when(F.col("excess") == 0, COMPLIANT)
         .otherwise(EXCEEDS),
         "penalty_rate": rate,
-        "penalty": F.col("excess") * rate,
+        "penalty": F.col("excess").cast("decimal(27,12)") * rate,
     })

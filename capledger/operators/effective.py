@@ -13,9 +13,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from capledger.functions.columns import AMOUNT, RATE, quantity, sum_amounts, times
-from capledger.operators.bounded import cross_rows, few_rows, lookup_join
+from capledger.operators.bounded import cross_lines, cross_rows, localized, lookup_join, salted_join
 
 PERIOD = ["period_start", "period_end"]
 CONTAINS, ALWAYS, ENDED = 3, 2, 1
@@ -28,7 +29,7 @@ def compliance_periods(caps: DataFrame, start: str = "period_start", end: str =
 
 def cross_periods(df: DataFrame, periods: DataFrame) -> DataFrame:
     """One row per entity and period."""
-    return cross_rows(df, periods.select(*PERIOD).orderBy(*PERIOD))
+    return cross_rows(df, periods.select(*PERIOD))
 
 
 def effective_rate(
@@ -75,24 +76,38 @@ def weighted_sum(
     nothing is shuffled. ``parts`` names output columns for single products.
     """
     wanted = sorted(set(measures.values()))
-    card = rate_card(rates.where(F.col(key).isin(wanted)), periods, wanted, key, value)
-    lines = cross_rows(df, card)
+    amounts = df.withColumns({f"__qty_{i}": quantity(F.col(c)) for i, c in enumerate(measures)})
+    lines = _priced_lines(amounts, rates.where(F.col(key).isin(wanted)), periods, wanted, key, value)
     product = {
-        column: times(quantity(F.col(column)), F.col(f"__rate_{wanted.index(rate_key)}"))
-        for column, rate_key in measures.items()
+        column: times(F.col(f"__qty_{i}"), F.col(f"__rate_{wanted.index(rate_key)}"))
+        for i, (column, rate_key) in enumerate(measures.items())
     }
     kept = [*df.columns, *PERIOD]
     shown = [product[column].alias(name) for column, name in (parts or {}).items()]
     return lines.select(*kept, sum_amounts(list(product.values())).alias(total), *shown)
 
 
+def _priced_lines(df: DataFrame, rates: DataFrame, periods: DataFrame, wanted: list[str], key: str, value: str) -> DataFrame:
+    """``df`` with one line per period that holds the effective rate of each wanted key."""
+    spans = localized(periods.select(*PERIOD).distinct())
+    if spans is None:
+        return salted_join(df, rate_card(rates, periods, wanted, key, value), [], "inner")
+    chosen = effective_rate(rates, spans, key, value).select(*PERIOD, key, value).collect()  # one per wanted key and span
+    rate_of = {tuple(r)[:3]: r[3] for r in chosen}
+    lines = [(s, e, *[rate_of.get((s, e, k)) for k in wanted]) for s, e in spans.collect()]
+    schema = T.StructType([
+        *spans.schema.fields, *[T.StructField(f"__rate_{i}", T.DecimalType(16, 12)) for i in range(len(wanted))]
+    ])
+    return cross_lines(df, lines, schema)
+
+
 def rate_card(rates: DataFrame, periods: DataFrame, keys: list[str], key: str, value: str) -> DataFrame:
     """One row per period with the effective rate of each of ``keys`` as a column."""
     chosen = effective_rate(rates, periods, key, value)
     wide = chosen.groupBy(*PERIOD).agg(*[
         F.max(F.when(F.col(key) == k, F.col(value))).cast(RATE).alias(f"__rate_{i}") for i, k in enumerate(keys)
     ])
-    return periods.select(*PERIOD).distinct().join(wide, PERIOD, "left").orderBy(*PERIOD)
+    return periods.select(*PERIOD).distinct().join(wide, PERIOD, "left")
 
 
 def weighted_sum_long(
@@ -107,7 +122,7 @@ def weighted_sum_long(
     summed = usage.groupBy(entity, measure).agg(F.sum(quantity(F.col(amount))).alias("__qty"))
     chosen = effective_rate(rates, periods, measure, value).withColumn(value, F.col(value).cast(RATE))
     by_period = cross_periods(summed, periods)
-    priced = lookup_join(by_period, chosen, [measure, *PERIOD], "left")
+    priced = lookup_join(by_period, chosen, [measure, *PERIOD], "left", tiny=True)
     amount_of = F.when(
         F.col("__qty") != 0, times(F.col("__qty").cast("decimal(26,8)"), F.col(value))
     )
@@ -124,7 +139,7 @@ def cap_of(
     chosen = effective_rate(caps, periods, cap_kind, value).select(
         F.col(cap_kind).alias(kind), *PERIOD, F.col(value).cast(RATE).alias("__cap_rate")
     )
-    joined = lookup_join(df, chosen, [kind, *PERIOD], "left")
+    joined = lookup_join(df, chosen, [kind, *PERIOD], "left", tiny=True)
     return joined.select(*[f"`{c}`" for c in df.columns], times(quantity(F.col(area)), F.col("__cap_rate")).alias(out))
 
 
@@ -141,8 +156,3 @@ def scalar_of(facts: DataFrame, value: str, order: list[str], scope=None):
 def attach_scalar(df: DataFrame, facts: DataFrame, value: str, order: list[str], scope=None, out: str | None = None) -> DataFrame:
     dtype = facts.schema[value].dataType
     return df.withColumn(out or value, F.lit(scalar_of(facts, value, order, scope)).cast(dtype))
-
-
-def local_periods(periods: DataFrame) -> list[tuple[int, int]] | None:
-    rows = few_rows(periods.select(*PERIOD).distinct().orderBy(*PERIOD))
-    return None if rows is None else [(r[0], r[1]) for r in rows]

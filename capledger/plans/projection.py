@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capledger.functions import filings as names
+from capledger.operators.bounded import localized
 from capledger.operators.compliance import is_covered, project_compliance
 from capledger.operators.effective import cap_of, compliance_periods, scalar_of, weighted_sum
 from capledger.operators.membership import flag_membership
@@ -40,7 +41,8 @@ def project_filings(clean: DataFrame, facts: Facts, jurisdiction: str = "New Yor
     are expanded in place, the covered list and the caps are looked up.
     """
     caps = facts.of("caps", jurisdiction)
-    periods = compliance_periods(caps)
+    stated = compliance_periods(caps)
+    periods = localized(stated) or stated
     threshold = scalar_of(
         facts.of("coverage", jurisdiction), "threshold_sf", ["threshold_sf"], F.col("threshold_type") == THRESHOLD_FOR
     )

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from capledger.operators.bounded import lookup_join
+
 NO_PARTITION = "<null>"
 
 
@@ -20,25 +22,29 @@ def read_raw_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, file_name, length, file_hash) with the SHA-256 of each file's bytes."""
+    """(file_path, file_name, length, file_hash) with the SHA-256 of each file's bytes.
+
+    One task holds one file, of up to 2 GB.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        "path",
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        "length",
-        F.sha2("content", 256).alias("file_hash"),
-    )
+    return files.select("_metadata.file_path", "_metadata.file_name", "length", F.sha2("content", 256).alias("file_hash"))
 
 
-def with_lineage(df: DataFrame, source_file: str | None = None, source_hash: str | None = None) -> DataFrame:
-    """Stamps where a row came from. The row id is unique and not consecutive."""
-    stamps = {
-        "_source_file": F.lit(source_file) if source_file else F.col("_metadata.file_name"),
-        "_source_file_hash": F.lit(source_hash).cast("string"),
-        "_ingested_at": F.current_timestamp(),
-        "_source_row_number": F.monotonically_increasing_id(),
-    }
-    return df.select("*", *[c.alias(name) for name, c in stamps.items()])
+def with_lineage(df: DataFrame, sources: DataFrame) -> DataFrame:
+    """Stamps rows just read from files with file name, file hash, time and a row id.
+
+    ``sources`` has file_path, file_name and file_hash of each file. The id is
+    unique and not consecutive.
+    """
+    named = df.select("*", F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("_source_row_number"))
+    found = lookup_join(named, sources.select("file_path", "file_name", "file_hash"), ["file_path"])
+    return found.select(
+        *[f"`{c}`" for c in df.columns],
+        F.col("file_name").alias("_source_file"),
+        F.col("file_hash").alias("_source_file_hash"),
+        F.current_timestamp().alias("_ingested_at"),
+        "_source_row_number",
+    )
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
