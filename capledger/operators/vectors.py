@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from capledger.operators.bounded import few_rows
 from capledger.operators.ordered import first_per_key
@@ -51,7 +52,7 @@ def cosine_topk(
 def _bounded(part: DataFrame):
     rows = few_rows(part, QUERIES_AT_ONCE)
     if rows is None:
-        raise ValueError("query ids must be unique")
+        raise ValueError("too many queries under one id")
     return rows
 
 
@@ -61,7 +62,7 @@ def _nearest(vectors, rows, k, id_col, vector, query_id, scope, queries) -> Data
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*scope, query_id, id_col]) + ", similarity double"
     if not rows:
         return vectors.sparkSession.createDataFrame([], schema)
-    names = [r[0] for r in rows]
+    names = pa.array([r[0] for r in rows], to_arrow_type(queries.schema[query_id].dataType))
     matrix = _unit(np.array([r[1] for r in rows], dtype=np.float64))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ def _best_of_batch(batch, matrix, names, k, id_col, vector, query_id, scope):
     similarity = near[take, which]
     index = pa.array(take)
     arrays = [batch.column(batch.schema.get_field_index(s)).take(index) for s in scope]
-    arrays.append(pa.array(names).take(pa.array(which)))
+    arrays.append(names.take(pa.array(which)))
     arrays.append(ids.take(index))
     arrays.append(pa.array(similarity, mask=np.isnan(similarity)))
     return pa.RecordBatch.from_arrays(arrays, names=[*scope, query_id, id_col, "similarity"])

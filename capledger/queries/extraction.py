@@ -1 +1,235 @@
+"""Questions, answers and records, from the events as if they were answers."""
 
+from __future__ import annotations
+
+import json
+import re
+
+from pyspark.sql import functions as F
+
+from capledger.functions.vocabulary import EMISSIONS_FACTOR
+from capledger.operators import answers as A
+from capledger.operators import records as R
+from capledger.plans import facts as plans
+from capledger.queries.documents import CENTRES_SQL, label_centres
+from capledger.queries.registry import query, table
+
+_K = "CAST(json_extract_string(props, '$.k') AS INT)"
+
+
+def _k():
+    return F.get_json_object("props", "$.k").cast("int")
+
+
+def _by_type(**texts):
+    out = None
+    for kind, text in texts.items():
+        cond = F.col("event_type") == kind
+        out = F.when(cond, text) if out is None else out.when(cond, text)
+    return out
+
+
+def _answers(spark, folder):
+    props = F.col("props")
+    n = _k().cast("string")
+    text = _by_type(
+        signup=F.concat(F.lit(" "), props, F.lit(" \n")),
+        click=F.concat(F.lit("Here it is:\n```json\n"), props, F.lit("\n```\nIs that {all}?")),
+        view=F.concat(F.lit("The answer is "), props, F.lit(" as stated.")),
+        purchase=F.concat(F.lit("Values ["), n, F.lit(", 0] follow.")),
+        error=F.concat(F.lit("No {json, "), n),
+    )
+    return table(spark, folder, "events").select("event_id", "event_type", text.alias("answer"))
+
+
+@query("parse_answers", f"SELECT event_id, {_K} AS k FROM events WHERE event_type <> 'error'")
+def parse_answers(spark, folder):
+    parsed, _ = A.parse_answers(_answers(spark, folder), "answer")
+    k = F.coalesce(F.try_variant_get("parsed", "$.k", "int"), F.try_variant_get("parsed", "$[0]", "int"))
+    return parsed.select("event_id", k.alias("k"))
+
+
+@query("unparsable_answers", f"SELECT event_id, 'No {{json, ' || {_K} AS answer FROM events WHERE event_type = 'error'")
+def unparsable_answers(spark, folder):
+    _, broken = A.parse_answers(_answers(spark, folder), "answer")
+    return broken.select("event_id", "answer")
+
+
+@query("explode_records", f"""SELECT event_id, CASE WHEN n = 0 THEN event_type END AS rule_type, CASE WHEN n = 0 THEN value END AS rate,
+CASE WHEN n = 0 THEN {_K} END AS chunk_id FROM events, range(2) r(n) WHERE event_type NOT IN ('view', 'error')""")
+def explode_records(spark, folder):
+    good = F.concat(
+        F.lit('{"records": [{"rule_type": "'), "event_type", F.lit('", "rate": '), F.col("value").cast("string"),
+        F.lit(', "chunk_id": '), _k().cast("string"), F.lit('}, {"rule_type": null, "rate": null, "chunk_id": "none"}]}'))
+    text = F.when(F.col("event_type") == "view", '{"other": 1}').when(F.col("event_type") == "error", "[1, 2]").otherwise(good)
+    parsed, _ = A.parse_answers(table(spark, folder, "events").select("event_id", text.alias("answer")), "answer")
+    out = A.explode_records(parsed, "parsed", {"rule_type": "string", "rate": "string", "chunk_id": "int"}, ["event_id"])
+    return out.withColumn("rate", R.one_number(F.col("rate")).cast("double"))
+
+
+@query("single_value", f"SELECT event_id, CASE WHEN event_type = 'signup' THEN 'City ' || {_K} END AS jurisdiction FROM events")
+def single_value(spark, folder):
+    text = _by_type(
+        signup=F.concat(F.lit('{"jurisdiction": "  City '), _k().cast("string"), F.lit(' "}')),
+        click=F.lit('{"jurisdiction": "   "}'), view=F.lit('{"jurisdiction": 5}'),
+        purchase=F.lit('{"jurisdiction": null}'), error=F.lit("{}"),
+    )
+    parsed, _ = A.parse_answers(table(spark, folder, "events").select("event_id", text.alias("answer")), "answer")
+    return parsed.select("event_id", A.single_value("parsed", "jurisdiction").alias("jurisdiction"))
+
+
+@query("keep_matches", "SELECT event_id, event_type FROM events WHERE event_type = 'click'")
+def keep_matches(spark, folder):
+    text = _by_type(signup=F.lit('{"is_match": false}'), click=F.lit('{"is_match": true}'), view=F.lit("{}"),
+                    purchase=F.lit('{"is_match": null}'), error=F.lit("none"))
+    parsed, _ = A.parse_answers(table(spark, folder, "events").select("event_id", "event_type", text.alias("answer")), "answer")
+    return A.keep_matches(parsed, "parsed").select("event_id", "event_type")
+
+
+@query("render_questions", f"""SELECT event_id, 'Is ' || event_type || ' a {{fact}}?' || chr(10) || '[chunk_id=' || event_id || ' page=' ||
+CASE WHEN event_type = 'view' THEN 'None' ELSE CAST({_K} AS VARCHAR) END || ']' || chr(10) || props || chr(10) || 'Columns: ' ||
+CASE WHEN event_type = 'error' THEN '(none listed)' ELSE '''' || event_type || ''', ''Rate''' END AS question FROM events""")
+def render_questions(spark, folder):
+    headers = F.when(F.col("event_type") != "error", F.array(F.col("event_type"), F.lit(""), F.lit("Rate")))
+    page = F.when(F.col("event_type") != "view", _k())
+    out = A.render_questions(table(spark, folder, "events"), "Is {concept} a {fact}?\n{candidate}\nColumns: {columns}", {
+        "concept": F.col("event_type"),
+        "candidate": A.candidate_block(F.col("event_id"), page, F.col("props")),
+        "columns": A.headers_line(headers),
+    })
+    return out.select("event_id", "question")
+
+
+@query("route_by_kind", """SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'table' ELSE 'prose' END AS route FROM events""")
+def route_by_kind(spark, folder):
+    kind = F.when(F.col("event_type") == "purchase", "table").when(F.col("event_type") != "error", "text")
+    tables, prose = A.route_by_kind(table(spark, folder, "events").select("event_id", kind.alias("block_type")))
+    return tables.select("event_id", F.lit("table").alias("route")).unionByName(prose.select("event_id", F.lit("prose").alias("route")))
+
+
+def _records(spark, folder):
+    value = F.when(F.col("o_orderpriority") == "2-HIGH", "0.004329281 0.003459842").otherwise(
+        F.concat(F.lit(" "), F.col("o_totalprice").cast("decimal(18,2)").cast("string")))
+    return table(spark, folder, "orders").select(
+        "o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("jurisdiction"),
+        F.nullif(F.col("o_orderpriority"), F.lit("4-NOT SPECIFIED")).alias("property_type"),
+        F.year("o_orderdate").alias("period_start"), (F.year("o_orderdate") + 5).alias("period_end"),
+        F.lit("t/sf").alias("unit"), value.alias("value"))
+
+
+_BAD_SQL = """SELECT *, list_filter([CASE WHEN o_orderstatus = 'P' THEN 'jurisdiction' END, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'property_type' END,
+CASE WHEN o_orderpriority = '2-HIGH' THEN 'value' END], lambda x: x IS NOT NULL) AS bad FROM orders"""
+
+
+@query("validate_ok", f"""SELECT o_orderkey, o_orderstatus AS jurisdiction, o_orderpriority AS property_type, round(o_totalprice, 2) AS value
+FROM ({_BAD_SQL}) WHERE len(bad) = 0""")
+def validate_ok(spark, folder):
+    ok, _ = R.validate(_records(spark, folder), R.Rules.of(EMISSIONS_FACTOR))
+    return ok.select("o_orderkey", "jurisdiction", "property_type", F.col("value").cast("double").alias("value"))
+
+
+@query("validate_rejects", f"""SELECT o_orderkey, 'missing/invalid required field(s): [''' || array_to_string(bad, ''', ''') || ''']' AS reason
+FROM ({_BAD_SQL}) WHERE len(bad) > 0""")
+def validate_rejects(spark, folder):
+    return R.validate(_records(spark, folder), R.Rules.of(EMISSIONS_FACTOR))[1].select("o_orderkey", "reason")
+
+
+@query("rows_by_column", """SELECT event_id, event_type AS label, CAST(value AS VARCHAR) AS value FROM events
+WHERE (event_type = 'view') = (hour(ts) >= 12)""")
+def rows_by_column(spark, folder):
+    events = table(spark, folder, "events")
+    place = [F.col("user_id").alias("rag_id"), F.hour("ts").alias("chunk_id")]
+    column = F.when(F.col("event_type") == "view", "Amount").otherwise("Value")
+    rows = events.select(*place, "event_id", F.create_map(
+        F.lit("Type"), "event_type", column, F.col("value").cast("string")).alias("cells"))
+    matches = events.select(*place).distinct().select(
+        "rag_id", "chunk_id", F.lit("Type").alias("label_column"), F.when(F.col("chunk_id") >= 12, "Amount").otherwise("Value").alias("value_column"))
+    return R.rows_by_column(matches, rows, ["rag_id", "chunk_id"], "label", "value").select("event_id", "label", "value")
+
+
+@query("stamp_parent", """SELECT event_id, coalesce(CASE WHEN top > 200 THEN 'User ' || user_id END, event_type) AS jurisdiction
+FROM events JOIN (SELECT user_id, max(value) AS top FROM events GROUP BY user_id) USING (user_id)""")
+def stamp_parent(spark, folder):
+    events = table(spark, folder, "events")
+    parents = events.groupBy("user_id").agg(
+        F.when(F.max("value") > 200, F.concat(F.lit("User "), F.col("user_id").cast("string"))).alias("jurisdiction"))
+    own = events.select("event_id", "user_id", F.col("event_type").alias("jurisdiction"))
+    return R.stamp_from_parent(own, parents, "user_id", "jurisdiction").select("event_id", "jurisdiction")
+
+
+_KEYED_SQL = "SELECT user_id, event_type, CASE WHEN event_type <> 'error' THEN CAST(hour(ts) AS INT) END AS period_start, value, event_id FROM events"
+
+
+@query("insert_new", f"""WITH e AS ({_KEYED_SQL}) SELECT user_id, event_type, period_start, value, event_id FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id, event_type, period_start ORDER BY value, event_id) AS rn FROM e) b
+WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM e t WHERE t.value > 90 AND t.user_id = b.user_id AND t.event_type = b.event_type
+  AND t.period_start IS NOT DISTINCT FROM b.period_start)""")
+def insert_new(spark, folder):
+    keyed = table(spark, folder, "events").select(
+        "user_id", "event_type", F.when(F.col("event_type") != "error", F.hour("ts")).alias("period_start"), "value", "event_id")
+    return R.insert_new(keyed.where("value > 90"), keyed, ["user_id", "event_type", "period_start"], ["value", "event_id"])
+
+
+@query("union_records", """SELECT event_id, value, CASE WHEN event_type = 'purchase' THEN 't/sf' END AS unit FROM events WHERE event_type IN ('purchase', 'view')""")
+def union_records(spark, folder):
+    events = table(spark, folder, "events")
+    a = events.where("event_type = 'purchase'").select("event_id", "value", F.lit("t/sf").alias("unit"))
+    return R.union_records(a, events.where("event_type = 'view'").select("event_id", "value"))
+
+
+@query("extraction_counts", f"""SELECT event_type AS concept, count(*) AS extracted, count(*) FILTER ({_K} < 10) AS skipped FROM events GROUP BY event_type""")
+def extraction_counts(spark, folder):
+    records = table(spark, folder, "events").select(F.col("event_type").alias("concept"), F.when(_k() >= 10, _k()).alias("value"))
+    _, rejected = R.validate(records, R.Rules(("concept",), ("value",)))
+    return R.extraction_counts(records, rejected)
+
+
+def _reply(row: dict) -> str:
+    """A deterministic stand-in for the caller's annotation function."""
+    if row["k"] > 80:
+        raise ValueError(f"k {row['k']}")
+    return f"{row['event_type']}:{row['k']}"
+
+
+@query("annotate_candidates", f"""SELECT event_id, CASE WHEN {_K} <= 80 THEN event_type || ':' || {_K} END AS answer,
+CASE WHEN {_K} > 80 THEN 'ValueError: k ' || {_K} END AS error FROM events""")
+def annotate_candidates(spark, folder):
+    events = table(spark, folder, "events").select("event_id", "event_type", _k().alias("k"))
+    return A.annotate(events, _reply, ["event_type", "k"], ["event_id"])
+
+
+def _expert(row: dict) -> str:
+    """Answers the two kinds of questions of a fact extraction from the question's own text."""
+    ids = re.findall(r"\[chunk_id=(\d+) page", row["question"])
+    if row["question"].startswith("Does this table"):
+        return "```json\n" + json.dumps({
+            "is_match": True, "jurisdiction": "Town", "label_column": "Type", "value_column": "Rate",
+            "period_start": 2024, "period_end": 2029, "unit": "t/sf"}) + "\n```"
+    return "Found: " + json.dumps({"records": [
+        {"chunk_id": int(i), "property_type": f"Prose {i}", "value": "1 2" if int(i) % 3 == 0 else f"{i}.5",
+         "jurisdiction": "Town", "period_start": 2024, "period_end": 2029, "unit": "t/sf"} for i in ids]})
+
+
+@query("facts_load", f"""WITH near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS rn FROM (
+  SELECT label, vec_id, embedding[1] > 0 AS is_table, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), query_vector), 9) AS similarity
+  FROM embeddings JOIN ({CENTRES_SQL}) ON query_id = label)) WHERE rn <= 15)
+SELECT label AS rag_id, vec_id AS chunk_id, CASE WHEN is_table THEN 'Row ' || vec_id ELSE 'Prose ' || vec_id END AS property_type,
+  CAST(CASE WHEN is_table THEN vec_id + 0.25 ELSE vec_id + 0.5 END AS DOUBLE) AS value, CASE WHEN label > 4 THEN 'City ' || label ELSE 'Town' END AS jurisdiction
+FROM near WHERE is_table OR vec_id % 3 <> 0""")
+def facts_load(spark, folder):
+    """Search, ask, parse, route, stamp, check and add, over all vectors."""
+    vectors = table(spark, folder, "embeddings").select(F.col("label").alias("rag_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    cid = F.col("chunk_id").cast("string")
+    chunks = vectors.select(
+        "rag_id", "chunk_id", F.lit(1).alias("page_number"), F.when(F.col("embedding")[0] > 0, "table").otherwise("text").alias("block_type"),
+        F.concat(F.lit("Chunk "), cid).alias("raw_text"), F.concat(F.lit("Chunk "), cid).alias("full_text"),
+        F.array(F.lit("Type"), F.lit("Rate")).alias("column_headers"))
+    rows = vectors.select("rag_id", "chunk_id", F.lit(1).alias("row"), F.create_map(
+        F.lit("Type"), F.concat(F.lit("Row "), cid), F.lit("Rate"), F.concat(cid, F.lit(".25"))).alias("cells"))
+    known = vectors.select("rag_id").distinct().withColumn(
+        "jurisdiction", F.when(F.col("rag_id") > 4, F.concat(F.lit("City "), F.col("rag_id").cast("string"))))
+    found = plans.candidates(chunks, vectors, label_centres(spark, folder)).where("query_id = rag_id")
+    result = plans.extract(found, rows, EMISSIONS_FACTOR, _expert, known)
+    fresh = plans.new_facts(result.accepted.where("false"), result.accepted, EMISSIONS_FACTOR)
+    return fresh.select("rag_id", F.col("chunk_id").cast("long").alias("chunk_id"), "property_type",
+                        F.col("value").cast("double").alias("value"), "jurisdiction")
