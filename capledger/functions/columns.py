@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Exact arithmetic: a quantity times a rate is exact in decimal(38,15); sums and
@@ -80,3 +80,9 @@ def strip(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     return F.coalesce(strip(c) == "", F.lit(True))
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds costly columns behind a generator, so that filters and later columns read
+    them instead of evaluating them again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from capledger.functions.columns import computed_once
+
 # Where JSON may stand in an answer, tried in this order after the whole text.
 FENCED = r"```(?:\w+)?\s*([\s\S]+?)```"
 OBJECT = r"(?s)\{.*\}"
@@ -28,7 +30,7 @@ def parse_json(text: Column) -> Column:
 
 def parse_answers(df: DataFrame, column: str, out: str = "parsed") -> tuple[DataFrame, DataFrame]:
     """(parsed, unparsable): an answer that holds no JSON is set aside, not an error."""
-    read = df.withColumn(out, parse_json(F.col(column)))
+    read = computed_once(df, {out: parse_json(F.col(column))})
     return read.where(F.col(out).isNotNull()), read.where(F.col(out).isNull()).drop(out)
 
 

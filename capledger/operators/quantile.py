@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from capledger.functions.columns import computed_once
 from capledger.operators.bounded import salted_join
 
-BLOCKS = 256
+BLOCKS = 256        # cuts of a large group
+STRIDE = 16         # every 16th cut is compared first, then the 15 behind it
+SMALL_GROUP = 20_000  # distinct values that one task may sort
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
@@ -20,9 +23,13 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     rows = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     counts = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
     steps = [i / BLOCKS for i in range(1, BLOCKS)]
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("v", steps, F.lit(8 * BLOCKS)).alias("cuts"))
-    placed = salted_join(counts, cuts, keys, "inner").select(
-        *keys, "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("block")
+    cuts = counts.groupBy(*keys).agg(
+        F.percentile_approx("v", steps, F.lit(8 * BLOCKS)).alias("q"), F.count(F.lit(1)).alias("m")
+    ).select(*keys, F.when(F.col("m") > SMALL_GROUP, F.col("q")).otherwise(F.array().cast("array<double>")).alias("cuts"))
+    cuts = cuts.withColumn("coarse", F.filter("cuts", lambda c, i: (i + 1) % STRIDE == 0))
+    placed = computed_once(salted_join(counts, cuts, keys, "inner"), {"c": _below("coarse")}).select(
+        *keys, "v", "n",
+        (F.col("c") * STRIDE + _below(F.slice("cuts", F.col("c") * STRIDE + 1, F.lit(STRIDE - 1)))).alias("block"),
     )
     by_block = placed.groupBy(*keys, "block").agg(F.sum("n").alias("size"))
     whole = Window.partitionBy(*keys)
@@ -44,3 +51,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
         return F.max(F.when(here, F.col("v")))
 
     return ranked.groupBy(*keys).agg(((at("lo") + at("hi")) / 2).alias(out))
+
+
+def _below(cuts):
+    return F.size(F.filter(cuts, lambda c: c < F.col("v")))

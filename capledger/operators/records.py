@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capledger.functions.columns import computed_once
 from capledger.functions.vocabulary import FactKind
 from capledger.operators.bounded import lookup_join, salted_join
 from capledger.operators.ordered import first_per_key
@@ -60,7 +61,7 @@ def validate(df: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     failing = [F.when(F.col(c).isNull(), c) for c in rules.required]
     failing += [F.when(one_number(F.col(c)).isNull(), c) for c in rules.numbers]
     failing += [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*ok), c) for c, ok in rules.allowed]
-    judged = df.withColumn("__bad", F.filter(F.array(*failing), lambda c: c.isNotNull()))
+    judged = computed_once(df, {"__bad": F.filter(F.array(*failing), lambda c: c.isNotNull())})
     named = F.array_join(F.transform("__bad", lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", ")
     ok = judged.where(F.size("__bad") == 0).drop("__bad").withColumns(
         {c: one_number(F.col(c)) for c in rules.numbers}

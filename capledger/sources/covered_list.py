@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capledger.functions.columns import computed_once
 from capledger.operators.ordered import first_per_key
 
 # The layout of one line, its fields in order, and how a line of the list begins.
@@ -22,13 +23,13 @@ _MARK = "\u0001"
 
 
 def split_layout(line: Column, layout: str, fields: int) -> Column:
-    """The captured fields of a line as an array, NULL where the line does not match.
+    """The captured fields of a line as an array; a line that does not match is one field.
 
     One pass of the pattern yields all fields; a field that is absent is NULL.
     """
     joined = _MARK.join(f"${i}" for i in range(1, fields + 1))
     parts = F.split(F.regexp_replace(line, layout, joined), _MARK)
-    return F.when(line.rlike(layout), F.transform(parts, lambda p: F.nullif(p, F.lit(""))))
+    return F.transform(parts, lambda p: F.nullif(p, F.lit("")))
 
 
 def parse_layout_lines(
@@ -39,10 +40,11 @@ def parse_layout_lines(
 
     Other lines (headers, footers, notes) are ignored.
     """
-    line = F.trim(F.col(text))
-    begun = lines.where(line.rlike(start)).select(*keep, line.alias("line"), split_layout(line, layout, len(fields)).alias("f"))
-    rows = begun.where("f IS NOT NULL").select(*keep, *[F.col("f")[i].alias(name) for i, name in enumerate(fields)])
-    return rows, begun.where("f IS NULL").select(*keep, "line")
+    begun = lines.select(*keep, F.trim(F.col(text)).alias("line")).where(F.col("line").rlike(start))
+    read = computed_once(begun, {"f": split_layout(F.col("line"), layout, len(fields))})
+    fitting = F.size("f") == len(fields)
+    rows = read.where(fitting).select(*keep, *[F.col("f")[i].alias(name) for i, name in enumerate(fields)])
+    return rows, read.where(~fitting).select(*keep, "line")
 
 
 def covered_buildings(rows: DataFrame, order: list[str], source_file: str) -> DataFrame:
