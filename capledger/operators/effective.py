@@ -24,7 +24,8 @@ CONTAINS, ALWAYS, ENDED = 3, 2, 1
 
 def compliance_periods(caps: DataFrame, start: str = "period_start", end: str = "period_end") -> DataFrame:
     """The distinct periods for which caps are stated."""
-    return caps.select(F.col(start).alias("period_start"), F.col(end).alias("period_end")).distinct()
+    stated = caps.select(F.col(start).alias("period_start"), F.col(end).alias("period_end"))
+    return stated.where("period_start IS NOT NULL AND period_end IS NOT NULL").distinct()
 
 
 def cross_periods(df: DataFrame, periods: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def ordered_scan(
     here = Window.partitionBy(*keys, blk).orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = here.rowsBetween(Window.unboundedPreceding, -1)
-    at = F.struct(*order)
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
     # Neighbour values travel inside a struct, so "no row" and "NULL value" differ.
     local, summary, carried, final = {}, [], {}, {}

@@ -12,16 +12,20 @@ from capledger.operators.compliance import COMPLIANT, EXCEEDS, NO_CAP
 from capledger.operators.quantile import exact_median
 
 
+_YEARS = 100_000
+
+
 def entity_verdict(projections: DataFrame, entity: str, penalty: str = "penalty") -> DataFrame:
     """One row per entity: from when it exceeds its cap and the largest penalty,
     or that no cap is known, or until when it is compliant."""
     exceeds = F.col("status") == EXCEEDS
-    begins = F.struct("period_start", "period_end")
+    # Both years of a period in one number, which hash aggregation can carry.
+    period = F.col("period_start").cast("long") * _YEARS + F.col("period_end")
     per_entity = projections.groupBy(entity).agg(
-        F.min(F.when(exceeds, begins)).alias("__first"),
+        F.min(F.when(exceeds, period)).alias("__first"),
         F.max(F.when(exceeds, F.coalesce(F.col(penalty), F.lit(0)))).alias("max_penalty"),
         F.bool_and(F.col("status") == NO_CAP).alias("__unknown"),
-        F.max(begins).alias("__last"),
+        F.max(period).alias("__last"),
     )
     verdict = (
         F.when(F.col("__first").isNotNull(), EXCEEDS).when(F.col("__unknown"), NO_CAP).otherwise(COMPLIANT)
@@ -29,10 +33,10 @@ def entity_verdict(projections: DataFrame, entity: str, penalty: str = "penalty"
     return per_entity.select(
         entity,
         verdict.alias("verdict"),
-        F.col("__first.period_start").alias("exceeds_from"),
-        F.col("__first.period_end").alias("exceeds_to"),
+        F.floor(F.col("__first") / _YEARS).cast("int").alias("exceeds_from"),
+        (F.col("__first") % _YEARS).cast("int").alias("exceeds_to"),
         "max_penalty",
-        F.when(verdict == COMPLIANT, F.col("__last.period_end")).alias("compliant_through"),
+        F.when(verdict == COMPLIANT, F.col("__last") % _YEARS).cast("int").alias("compliant_through"),
     )
 
 

@@ -10,20 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capledger.functions.filings import USAGE_LABELS
+from capledger.plans.projection import Facts
 from capledger.queries.registry import table
 
-MEASURES = {"quantity": "Grid", "price": "Gas", "discount": "Steam", "tax": "Oil"}
+MEASURES = {"quantity": "Grid Electricity", "price": "Natural Gas", "discount": "District Steam", "tax": "Diesel"}
+USAGES = {"quantity": "electricity_use_kwh", "price": "natural_gas_use_kbtu", "discount": "district_steam_use_kbtu", "tax": "diesel_2_use_kbtu"}
 THRESHOLD, PENALTY, MONTHLY = 5000, 268, 0.5
 
 _PERIODS = "(2024, 2029), (2030, 2034), (2035, 2039), (2040, 2049)"
-_RATES = """('North', 'Grid', 2024, 2029, 0.000288962), ('North', 'Grid', 2030, 2034, 0.000145),
-('North', 'Gas', 2024, 2029, 0.00005311), ('North', 'Gas', 2030, 2034, 0.00004911), ('North', 'Gas', 2030, 2049, 0.00004711),
-('North', 'Steam', NULL, NULL, 0.04493), ('North', 'Steam', 2060, 2069, 0.5), ('South', 'Oil', 2024, 2049, 0.7)"""
+_RATES = """('North', 'Grid Electricity', 2024, 2029, 0.000288962), ('North', 'Grid Electricity', 2030, 2034, 0.000145),
+('North', 'Natural Gas', 2024, 2029, 0.00005311), ('North', 'Natural Gas', 2030, 2034, 0.00004911), ('North', 'Natural Gas', 2030, 2049, 0.00004711),
+('North', 'District Steam', NULL, NULL, 0.04493), ('North', 'District Steam', 2060, 2069, 0.5), ('South', 'Diesel', 2024, 2049, 0.7)"""
 _CAPS = """('North', 'BUILDING', 2024, 2029, 0.031), ('North', 'BUILDING', 2030, 2034, 0.021),
 ('North', 'BUILDING', 2035, 2039, 0.011), ('North', 'BUILDING', 2040, 2049, 0.006),
 ('North', 'MACHINERY', 2024, 2029, 0.042), ('North', 'MACHINERY', 2030, 2034, 0.017),
-('North', 'FURNITURE', 2024, 2029, 0.025), ('North', 'FURNITURE', 2030, 2039, 0.015),
-('North', 'HOUSEHOLD', NULL, NULL, 0.02), ('South', 'AUTOMOBILE', 2024, 2049, 0.02)"""
+('North', 'FURNITURE', 2024, 2029, 0.025), ('North', 'FURNITURE', 2030, 2034, 0.015),
+('North', 'HOUSEHOLD', 2024, 2029, 0.02), ('South', 'AUTOMOBILE', 2024, 2049, 0.02)"""
 
 PERIODS_SQL = f"SELECT * FROM (VALUES {_PERIODS}) AS p(period_start, period_end)"
 RATES_SQL = f"""SELECT jurisdiction, fuel_type, CAST(period_start AS INT) AS period_start, CAST(period_end AS INT) AS period_end,
@@ -88,6 +91,28 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
 LISTED_SQL = "SELECT DISTINCT o_custkey AS entity FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000"
 
 
+def facts(spark: SparkSession, folder: str) -> Facts:
+    return Facts(
+        caps=spark.sql(CAPS_SQL),
+        coefficients=spark.sql(RATES_SQL),
+        penalties=spark.sql(f"SELECT 'North' AS jurisdiction, 'excess_emissions' AS rule_type, CAST({PENALTY} AS DECIMAL(12,4)) AS rate"),
+        coverage=spark.sql(f"SELECT 'North' AS jurisdiction, 'single_building' AS threshold_type, CAST({THRESHOLD} AS DECIMAL(12,2)) AS threshold_sf"),
+        covered=listed(spark, folder).select(F.col("entity").cast("string").alias("bbl")),
+    )
+
+
+def clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The entities under the names of clean filings."""
+    unused = [u for u in USAGE_LABELS if u not in USAGES.values()]
+    return entities(spark, folder).select(
+        F.col("entity").cast("string").alias("property_id"), F.col("entity").cast("string").alias("bbl"),
+        F.concat(F.lit("Customer "), "entity").alias("property_name"), F.lit("Queens").alias("borough"),
+        F.col("property_type").alias("primary_property_type"), F.col("area").alias("gross_floor_area_ft"),
+        F.lit("12/31/2021").alias("year_ending"), F.col("reported").alias("total_ghg_emissions_tons"),
+        *[F.col(m).alias(u) for m, u in USAGES.items()], *[F.lit(None).cast("double").alias(u) for u in unused],
+    )
+
+
 def effective_sql(rates_sql: str, key: str, periods_sql: str = PERIODS_SQL) -> str:
     return f"""SELECT {key}, period_start, period_end, value FROM (
   SELECT r.{key}, p.period_start, p.period_end, r.value, row_number() OVER (
@@ -104,7 +129,6 @@ def effective_sql(rates_sql: str, key: str, periods_sql: str = PERIODS_SQL) -> s
 
 _NORTH = f"SELECT * FROM ({RATES_SQL}) WHERE jurisdiction = 'North'"
 _NORTH_CAPS = f"SELECT * FROM ({CAPS_SQL}) WHERE jurisdiction = 'North'"
-NORTH_PERIODS_SQL = f"SELECT DISTINCT period_start, period_end FROM ({_NORTH_CAPS})"
 
 
 _CARD_SQL = f"""SELECT s.period_start, s.period_end,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from capledger.operators import compliance, effective, membership, rollup
 from capledger.plans import serving
+from capledger.plans.projection import project_filings
 from capledger.queries import inputs as I
 from capledger.queries.registry import query, table
 
@@ -22,7 +23,7 @@ def projection(spark: SparkSession, folder: str) -> DataFrame:
     marked = membership.flag_membership(I.entities(spark, folder), I.listed(spark, folder), "entity", "listed")
     covered = marked.where(compliance.is_covered(F.col("listed"), F.col("area"), F.lit(I.THRESHOLD)))
     caps, rates = I.caps(spark), I.rates(spark)
-    periods = I.periods(spark)
+    periods = effective.compliance_periods(caps)
     weighted = effective.weighted_sum(covered, I.MEASURES, rates, periods, parts={m: f"part_{m}" for m in I.MEASURES})
     capped = effective.cap_of(weighted, caps, periods, "property_type", "area")
     return compliance.project_compliance(capped, penalty_rate=F.lit(I.PENALTY))
@@ -37,6 +38,24 @@ def compliance_projection(spark, folder):
     )
 
 
+_GOLD_SQL = f"""SELECT *, CAST(entity AS VARCHAR) AS property_id, CAST(excess * {I.PENALTY} AS DOUBLE) AS penalty FROM ({I.PROJECTION_SQL})"""
+
+
+@query("gold_projection", f"""SELECT property_id, property_type AS primary_property_type, area AS gross_floor_area_ft, quantity AS electricity_use_kwh,
+tax AS diesel_2_use_kbtu, CAST(NULL AS DOUBLE) AS propane_use_kbtu, reported AS reported_emissions_tco2e, period_start, period_end, status,
+round(CAST(cap AS DOUBLE), 6) AS cap_tco2e, round(CAST(actual AS DOUBLE), 6) AS actual_emissions_tco2e,
+round(CAST(excess AS DOUBLE), 6) AS excess_emissions_tco2e, {I.PENALTY}.0::DOUBLE AS penalty_rate_usd_per_ton, round(penalty, 4) AS potential_penalty_usd
+FROM ({_GOLD_SQL})""")
+def gold_projection(spark, folder):
+    """Clean filings to projections, with all facts read from their tables."""
+    out = project_filings(I.clean(spark, folder), I.facts(spark, folder), "North")
+    return out.select(
+        "property_id", "primary_property_type", "gross_floor_area_ft", "electricity_use_kwh", "diesel_2_use_kbtu",
+        "propane_use_kbtu", "reported_emissions_tco2e", *PERIOD, "status",
+        *_double("cap_tco2e", "actual_emissions_tco2e", "excess_emissions_tco2e"), "penalty_rate_usd_per_ton",
+        *_double("potential_penalty_usd", digits=4))
+
+
 _EVENT_RATES_SQL = """SELECT user_id, CASE WHEN event_type <> 'error' THEN CAST(2000 + k AS INT) END AS period_start,
 CASE WHEN event_type NOT IN ('error', 'view') THEN CAST(2000 + k + minute(ts) AS INT) END AS period_end, value
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"""
@@ -67,7 +86,7 @@ def entity_periods(spark, folder):
     return effective.cross_periods(table(spark, folder, "orders").select("o_orderkey"), I.periods(spark))
 
 
-_LONG = {"l_quantity": "Grid", "l_extendedprice": "Gas", "l_discount": "Steam", "l_tax": "Oil"}
+_LONG = {"l_quantity": "Grid Electricity", "l_extendedprice": "Natural Gas", "l_discount": "District Steam", "l_tax": "Diesel"}
 _LONG_SQL = " UNION ALL ".join(
     f"SELECT l_suppkey, '{fuel}' AS fuel_type, CAST({c} AS DECIMAL(26,8)) AS amount FROM lineitem" for c, fuel in _LONG.items()
 )
@@ -175,7 +194,7 @@ def run_metrics(spark, folder):
     return rollup.run_metrics(table(spark, folder, "customer"), projection(spark, folder), "entity")
 
 
-@query("mix_shares", f"""WITH u AS (SELECT entity, unnest(['Grid', 'Gas', 'Steam', 'Oil']) AS measure,
+@query("mix_shares", f"""WITH u AS (SELECT entity, unnest(['Grid Electricity', 'Natural Gas', 'District Steam', 'Diesel']) AS measure,
   unnest([quantity, price, discount, tax]) AS usage FROM ({I.ENTITIES_SQL}))
 SELECT entity, measure, usage, round(usage / sum(usage) OVER (PARTITION BY entity), 9) AS share FROM u WHERE usage <> 0""")
 def mix_shares(spark, folder):
@@ -184,7 +203,7 @@ def mix_shares(spark, folder):
 
 
 @query("contribution_shares", f"""WITH u AS (SELECT entity, period_start, period_end,
-  unnest(['Grid', 'Gas', 'Steam', 'Oil']) AS measure,
+  unnest(['Grid Electricity', 'Natural Gas', 'District Steam', 'Diesel']) AS measure,
   unnest([CAST(part_quantity AS DOUBLE), CAST(part_price AS DOUBLE), CAST(part_discount AS DOUBLE), CAST(part_tax AS DOUBLE)]) AS amount,
   CAST(actual AS DOUBLE) AS whole FROM ({I.PROJECTION_SQL}))
 SELECT entity, period_start, period_end, measure, round(amount, 6) AS amount, round(amount / whole, 9) AS share FROM u WHERE amount <> 0""")

@@ -22,12 +22,14 @@ def read_raw_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file_path, file_name, length, file_hash) with the SHA-256 of each file's bytes.
+    """(path, file_path, file_name, length, file_hash) with the SHA-256 of each file's bytes.
 
-    One task holds one file, of up to 2 GB.
+    ``path`` opens the file, ``file_path`` is how rows read from it name it. One task
+    holds one file, of up to 2 GB.
     """
     files = spark.read.format("binaryFile").load(path)
-    return files.select("_metadata.file_path", "_metadata.file_name", "length", F.sha2("content", 256).alias("file_hash"))
+    return files.select(
+        "path", "_metadata.file_path", "_metadata.file_name", "length", F.sha2("content", 256).alias("file_hash"))
 
 
 def with_lineage(df: DataFrame, sources: DataFrame) -> DataFrame:

@@ -1,5 +1,10 @@
+import pathlib
+import sys
+
 import pytest
 
+sys.path[:0] = [str(pathlib.Path(__file__).parents[1])]
+
 from capledger.session import build_session
 
 
