@@ -109,7 +109,8 @@ def annotate(
     """Calls ``fn`` once per row with its ``inputs`` and adds the text it returns.
 
     A call that raises gives a NULL answer and its message in ``error``; the other
-    rows go on. Retries are up to ``fn``.
+    rows go on. Retries are up to ``fn``. Store the result before using it more than
+    once: every use of the DataFrame asks again.
     """
     types = {f.name: f for f in df.schema.fields}
     schema = T.StructType([

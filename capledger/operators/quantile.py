@@ -10,7 +10,7 @@ from capledger.operators.bounded import salted_join
 
 BLOCKS = 256        # cuts of a large group
 STRIDE = 16         # every 16th cut is compared first, then the 15 behind it
-SMALL_GROUP = 20_000  # distinct values that one task may sort
+SMALL_GROUP = 20_000  # rows that one task may sort
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
@@ -24,7 +24,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     counts = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
     steps = [i / BLOCKS for i in range(1, BLOCKS)]
     cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx("v", steps, F.lit(8 * BLOCKS)).alias("q"), F.count(F.lit(1)).alias("m")
+        F.percentile_approx("v", steps, F.lit(8 * BLOCKS)).alias("q"), F.sum("n").alias("m")
     ).select(*keys, F.when(F.col("m") > SMALL_GROUP, F.col("q")).otherwise(F.array().cast("array<double>")).alias("cuts"))
     cuts = cuts.withColumn("coarse", F.filter("cuts", lambda c, i: (i + 1) % STRIDE == 0))
     placed = computed_once(salted_join(counts, cuts, keys, "inner"), {"c": _below("coarse")}).select(

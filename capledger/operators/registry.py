@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capledger.operators.ordered import first_per_key, ordered_scan
+from capledger.sources.scratch import stored
 
 
 def version_history(deliveries: DataFrame, key: str, order: list[str], content: str, block: Column) -> DataFrame:
@@ -18,7 +19,7 @@ def version_history(deliveries: DataFrame, key: str, order: list[str], content:
                         previous={"__before": F.struct(F.col(content))})
     changed = seen.where(F.col("__before").isNull() | ~F.col(f"__before.{content}").eqNullSafe(F.col(content)))
     return ordered_scan(
-        changed.drop("__before"), [key], order, block,
+        stored(changed.drop("__before"), "versions"), [key], order, block,
         totals={"version_id": F.lit(1)}, following={"__next": F.lit(1)},
     ).withColumn("active_flag", F.col("__next").isNull()).drop("__next")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from capledger.functions.columns import AMOUNT, quantity
 from capledger.operators.compliance import COMPLIANT, EXCEEDS, NO_CAP
 from capledger.operators.quantile import exact_median
+from capledger.sources.scratch import stored
 
 
 _YEARS = 100_000
@@ -62,12 +63,15 @@ def deviation(
     df: DataFrame, reported: str, recalculated: str, cap: str, limit: float = 0.30,
 ) -> DataFrame:
     """How far recalculated amounts are from reported ones: compared entities, the
-    median relative gap, gaps over ``limit``, and verdicts that differ."""
+    median relative gap, gaps over ``limit``, and verdicts that differ.
+
+    The gaps are stored, because counting and ranking them are separate passes.
+    """
     rep, calc = F.col(reported).cast("double"), F.col(recalculated).cast("double")
-    rows = df.where(rep.isNotNull() & calc.isNotNull() & (rep != 0)).select(
+    rows = stored(df.where(rep.isNotNull() & calc.isNotNull() & (rep != 0)).select(
         (F.abs(calc - rep) / F.abs(rep)).alias("gap"),
         ((quantity(F.col(reported)) > F.col(cap)) != (F.col(recalculated).cast(AMOUNT) > F.col(cap))).alias("flips"),
-    )
+    ), "gaps")
     counts = rows.agg(
         F.count(F.lit(1)).alias("compared"),
         F.count_if(F.col("gap") > limit).alias("over_limit"),
@@ -121,9 +125,10 @@ def fact_conflicts(facts: DataFrame, key: list[str], value: str) -> DataFrame:
     Values are counted before the keys are compared.
     """
     stated = facts.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("statements"))
-    torn = (
-        facts.groupBy(*key).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo <> hi").select(*key)
-    )
+    # Reading the counts here too lets both sides of the join share one shuffle of the facts.
+    torn = stated.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("values"), F.sum("statements").alias("all")
+    ).where("values > 1 AND all > 1").select(*key)
     return stated.join(torn, key, "left_semi")
 
 

@@ -12,6 +12,7 @@ from capledger.functions.vocabulary import FactKind
 from capledger.operators import answers as A
 from capledger.operators import records as R
 from capledger.operators.vectors import cosine_topk
+from capledger.sources.scratch import stored
 
 TOP_K = 15
 
@@ -55,7 +56,8 @@ def jurisdictions(first_texts: DataFrame, ask: Callable[[dict], object]) -> Data
     asked = A.render_questions(
         first_texts.where(F.col("full_text").isNotNull()), JURISDICTION_QUESTION, {"text": F.col("full_text")}
     )
-    parsed, _ = A.parse_answers(A.annotate(asked, ask, ["question"], ["rag_id"]), "answer")
+    answers = stored(A.annotate(asked, ask, ["question"], ["rag_id"]), "jurisdictions")
+    parsed, _ = A.parse_answers(answers, "answer")
     return parsed.select("rag_id", A.single_value("parsed", "jurisdiction").alias("jurisdiction"))
 
 
@@ -108,11 +110,16 @@ def prose_records(answered: DataFrame, kind: FactKind) -> DataFrame:
 def extract(
     found: DataFrame, rows: DataFrame, kind: FactKind, ask: Callable[[dict], object], known: DataFrame,
 ) -> Extraction:
-    """All records of one kind of fact: tables by their columns, other chunks by their text."""
+    """All records of one kind of fact: tables by their columns, other chunks by their text.
+
+    Candidates and answers are stored, so that no chunk is searched for twice and no
+    question asked twice, whatever is done with the records.
+    """
+    found = stored(found, "candidates")
     tables, prose = A.route_by_kind(found) if kind.from_tables else (None, found)
-    records = prose_records(ask_prose(prose, kind, ask), kind)
+    records = prose_records(stored(ask_prose(prose, kind, ask), "prose-answers"), kind)
     if tables is not None:
-        records = R.union_records(table_records(ask_tables(tables, kind, ask), rows, kind), records)
+        records = R.union_records(table_records(stored(ask_tables(tables, kind, ask), "table-answers"), rows, kind), records)
     records = R.stamp_from_parent(records, known, "rag_id", "jurisdiction").withColumn("concept", F.lit(kind.name))
     accepted, rejected = R.validate(records, R.Rules.of(kind))
     return Extraction(records, accepted, rejected)

@@ -43,7 +43,7 @@ def sanitize(spark, folder):
     return sanitize_columns(_raw_orders(spark, folder))
 
 
-@query("lineage_stamp", """SELECT l_returnflag, 'lineitem.parquet' AS source_file, true AS hashed, count(*) AS n, count(*) AS ids
+@query("lineage_stamp", """SELECT l_returnflag, 'lineitem.parquet' AS source_file, true AS hashed, count(*) AS n, count(*) AS numbered
 FROM lineitem GROUP BY l_returnflag""")
 def lineage_stamp(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_returnflag")
@@ -52,7 +52,7 @@ def lineage_stamp(spark, folder):
         F.max("_source_file").alias("source_file"),
         F.bool_and(F.length("_source_file_hash") == 64).alias("hashed"),
         F.count(F.lit(1)).alias("n"),
-        F.count_distinct("_source_row_number").alias("ids"),
+        F.count("_source_row_number").alias("numbered"),
     )
 
 
