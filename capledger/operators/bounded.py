@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-MAX_ROWS = 200_000
+MAX_ROWS = 100_000
 MAX_BYTES = 64 * 1024 * 1024
 MAX_LITERAL_ROWS = 1_000
 SALTS = 32
@@ -16,13 +18,12 @@ _SALT = "__salt"
 def fits(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
     """Whether the whole of ``df`` is small enough to send to every executor.
 
-    Reads at most ``max_rows + 1`` rows, so asking costs little on a large input.
+    Only row sizes reach the driver, at most ``max_rows + 1`` of them, and Spark stops
+    reading partitions once it has that many.
     """
-    row = df.limit(max_rows + 1).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("size"),
-    ).first()
-    return row["n"] <= max_rows and (row["size"] or 0) <= max_bytes
+    size = F.octet_length(F.to_json(F.struct(*[f"`{c}`" for c in df.columns])))
+    sizes = df.select(size.alias("size")).limit(max_rows + 1).collect()
+    return len(sizes) <= max_rows and sum(r["size"] for r in sizes) <= max_bytes
 
 
 def localized(df: DataFrame, max_rows: int = MAX_LITERAL_ROWS) -> DataFrame | None:
@@ -30,10 +31,11 @@ def localized(df: DataFrame, max_rows: int = MAX_LITERAL_ROWS) -> DataFrame | No
 
     What is built on the copy does not compute ``df`` again.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    rows = few_rows(df, max_rows)
+    if rows is None:
         return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    copy = pa.Table.from_pylist([r.asDict() for r in rows], to_arrow_schema(df.schema))
+    return df.sparkSession.createDataFrame(copy, df.schema)
 
 
 def few_rows(df: DataFrame, max_rows: int = MAX_LITERAL_ROWS) -> list[Row] | None:

@@ -29,7 +29,9 @@ def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(path)
     return files.select(
-        "path", "_metadata.file_path", "_metadata.file_name", "length", F.sha2("content", 256).alias("file_hash"))
+        "path", "_metadata.file_path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length",
+        F.sha2("content", 256).alias("file_hash"),
+    )
 
 
 def with_lineage(df: DataFrame, sources: DataFrame) -> DataFrame:
@@ -94,6 +96,12 @@ def not_loaded(files: DataFrame, table: DataFrame, file_hash: str, table_hash: s
     return files.join(seen, file_hash, "left_anti")
 
 
+def rows_of(table: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows of ``table`` that came from ``files``."""
+    hashes = files.select(F.col("file_hash").alias("_source_file_hash")).distinct()
+    return lookup_join(table, hashes, ["_source_file_hash"], "left_semi")
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:
     """Full reload of a database table that keeps its definition and indexes."""
     df.write.format("jdbc").option("url", url).option("dbtable", table).option("truncate", "true").options(
