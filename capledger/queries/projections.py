@@ -15,7 +15,7 @@ PERIOD = effective.PERIOD
 
 
 def _double(*names: str, digits: int = 6):
-    return [F.round(F.col(n).cast("double"), digits).alias(n) for n in names]
+    return [F.round(n, digits).cast("double").alias(n) for n in names]
 
 
 def projection(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,21 +30,21 @@ def projection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("compliance_projection", f"""SELECT entity, property_type, period_start, period_end, status,
-round(CAST(cap AS DOUBLE), 6) AS cap, round(CAST(actual AS DOUBLE), 6) AS actual, round(CAST(excess AS DOUBLE), 6) AS excess,
-round(CAST(excess * {I.PENALTY} AS DOUBLE), 4) AS penalty FROM ({I.PROJECTION_SQL})""")
+CAST(round(cap, 6) AS DOUBLE) AS cap, CAST(round(actual, 6) AS DOUBLE) AS actual, CAST(round(excess, 6) AS DOUBLE) AS excess,
+CAST(round(excess * {I.PENALTY}, 4) AS DOUBLE) AS penalty FROM ({I.PROJECTION_SQL})""")
 def compliance_projection(spark, folder):
     return projection(spark, folder).select(
         "entity", "property_type", *PERIOD, "status", *_double("cap", "actual", "excess"), *_double("penalty", digits=4)
     )
 
 
-_GOLD_SQL = f"""SELECT *, CAST(entity AS VARCHAR) AS property_id, CAST(excess * {I.PENALTY} AS DOUBLE) AS penalty FROM ({I.PROJECTION_SQL})"""
+_GOLD_SQL = f"""SELECT *, CAST(entity AS VARCHAR) AS property_id, excess * {I.PENALTY} AS penalty FROM ({I.PROJECTION_SQL})"""
 
 
 @query("gold_projection", f"""SELECT property_id, property_type AS primary_property_type, area AS gross_floor_area_ft, quantity AS electricity_use_kwh,
 tax AS diesel_2_use_kbtu, CAST(NULL AS DOUBLE) AS propane_use_kbtu, reported AS reported_emissions_tco2e, period_start, period_end, status,
-round(CAST(cap AS DOUBLE), 6) AS cap_tco2e, round(CAST(actual AS DOUBLE), 6) AS actual_emissions_tco2e,
-round(CAST(excess AS DOUBLE), 6) AS excess_emissions_tco2e, {I.PENALTY}.0::DOUBLE AS penalty_rate_usd_per_ton, round(penalty, 4) AS potential_penalty_usd
+CAST(round(cap, 6) AS DOUBLE) AS cap_tco2e, CAST(round(actual, 6) AS DOUBLE) AS actual_emissions_tco2e,
+CAST(round(excess, 6) AS DOUBLE) AS excess_emissions_tco2e, {I.PENALTY}.0::DOUBLE AS penalty_rate_usd_per_ton, CAST(round(penalty, 4) AS DOUBLE) AS potential_penalty_usd
 FROM ({_GOLD_SQL})""")
 def gold_projection(spark, folder):
     """Clean filings to projections, with all facts read from their tables."""
@@ -95,7 +95,7 @@ _LONG_SQL = " UNION ALL ".join(
 @query("weighted_sum", f"""WITH u AS (SELECT l_suppkey, fuel_type, sum(amount) AS qty FROM ({_LONG_SQL}) GROUP BY ALL),
 e AS ({I.effective_sql(I._NORTH, 'fuel_type')})
 SELECT l_suppkey, p.period_start, p.period_end,
-  round(CAST(coalesce(sum(CAST(CAST(qty AS DECIMAL(26,8)) * value AS DECIMAL(36,12))), 0) AS DOUBLE), 6) AS actual
+  CAST(round(coalesce(sum(CAST(CAST(qty AS DECIMAL(26,8)) * value AS DECIMAL(36,12))), 0), 6) AS DOUBLE) AS actual
 FROM u CROSS JOIN ({I.PERIODS_SQL}) p LEFT JOIN e ON e.fuel_type = u.fuel_type AND e.period_start = p.period_start AND e.period_end = p.period_end
 GROUP BY ALL""")
 def weighted_sum(spark, folder):
@@ -106,7 +106,7 @@ def weighted_sum(spark, folder):
 
 
 @query("cap_join", f"""SELECT entity, property_type, p.period_start, p.period_end,
-round(CAST(CAST(area AS DECIMAL(26,8)) * value AS DOUBLE), 6) AS cap
+CAST(round(CAST(area AS DECIMAL(26,8)) * value, 6) AS DOUBLE) AS cap
 FROM ({I.ENTITIES_SQL}) CROSS JOIN ({I.PERIODS_SQL}) p
 LEFT JOIN ({I.effective_sql(I._NORTH_CAPS, 'property_type')}) USING (property_type, period_start, period_end)""")
 def cap_join(spark, folder):
@@ -168,14 +168,14 @@ def non_filers(spark, folder):
 @query("entity_verdict", f"""WITH g AS ({I.PROJECTION_SQL}), v AS (SELECT entity,
   min(CASE WHEN status = 'exceeds' THEN period_start END) AS exceeds_from,
   min(CASE WHEN status = 'exceeds' THEN period_end END) AS exceeds_to,
-  max(CASE WHEN status = 'exceeds' THEN round(CAST(excess * {I.PENALTY} AS DOUBLE), 4) END) AS max_penalty,
+  max(CASE WHEN status = 'exceeds' THEN CAST(round(excess * {I.PENALTY}, 4) AS DOUBLE) END) AS max_penalty,
   bool_and(status = 'cap_unavailable') AS unknown, max(period_end) AS last_end FROM g GROUP BY entity)
 SELECT entity, CASE WHEN exceeds_from IS NOT NULL THEN 'exceeds' WHEN unknown THEN 'cap_unavailable' ELSE 'compliant' END AS verdict,
   exceeds_from, exceeds_to, max_penalty,
   CASE WHEN exceeds_from IS NULL AND NOT unknown THEN last_end END AS compliant_through FROM v""")
 def entity_verdict(spark, folder):
     return rollup.entity_verdict(projection(spark, folder), "entity").withColumn(
-        "max_penalty", F.round(F.col("max_penalty").cast("double"), 4))
+        "max_penalty", F.round("max_penalty", 4).cast("double"))
 
 
 @query("entity_lookup", """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
@@ -202,9 +202,8 @@ def mix_shares(spark, folder):
 
 @query("contribution_shares", f"""WITH u AS (SELECT entity, period_start, period_end,
   unnest(['Grid Electricity', 'Natural Gas', 'District Steam', 'Diesel']) AS measure,
-  unnest([CAST(part_quantity AS DOUBLE), CAST(part_price AS DOUBLE), CAST(part_discount AS DOUBLE), CAST(part_tax AS DOUBLE)]) AS amount,
-  CAST(actual AS DOUBLE) AS whole FROM ({I.PROJECTION_SQL}))
-SELECT entity, period_start, period_end, measure, round(amount, 6) AS amount, round(amount / whole, 9) AS share FROM u WHERE amount <> 0""")
+  unnest([part_quantity, part_price, part_discount, part_tax]) AS amount, actual AS whole FROM ({I.PROJECTION_SQL}))
+SELECT entity, period_start, period_end, measure, CAST(round(amount, 6) AS DOUBLE) AS amount, round(CAST(amount AS DOUBLE) / CAST(whole AS DOUBLE), 9) AS share FROM u WHERE amount <> 0""")
 def contribution_shares(spark, folder):
     parts = {f"part_{m}": fuel for m, fuel in I.MEASURES.items()}
     out = rollup.contribution_shares(projection(spark, folder), ["entity", *PERIOD], "actual", parts)
