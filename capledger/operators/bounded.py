@@ -12,6 +12,7 @@ MAX_ROWS = 100_000
 MAX_BYTES = 64 * 1024 * 1024
 MAX_LITERAL_ROWS = 1_000
 SALTS = 32
+HOT_SHARE, HOT_ROWS = 10_000, 10_000  # a hot key has 1/10,000 of all rows, and 10,000 rows at least
 _SALT = "__salt"
 
 
@@ -70,15 +71,15 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     ``small`` is repeated once per salt. With an empty ``on`` each row of ``big``
     meets each row of ``small``. Only joins that keep the left side are exact here.
     """
-    if how not in ("left", "inner", "left_semi", "left_anti"):
-        raise ValueError(f"salted_join cannot do a {how} join")
+    _check_kind(how)
     left = big.withColumn(_SALT, _salt_of(big, salts))
     right = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, _SALT], how).drop(_SALT)
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", tiny: bool = False) -> DataFrame:
-    """Join to a reference table: broadcast when it measures small, salted otherwise.
+    """Join to a reference table: broadcast when it measures small, else shuffled
+    but for the hot keys of ``big``.
 
     ``tiny`` tells that it most likely has a few hundred rows: these are then
     computed once, and copied into the plan.
@@ -88,7 +89,50 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "lef
         return big.join(F.broadcast(copy), on, how)
     if fits(small):
         return big.join(F.broadcast(small), on, how)
-    return salted_join(big, small, on, how)
+    return split_join(big, small, on, how)
+
+
+def hot_keys(df: DataFrame, on: list[str]) -> list[int]:
+    """Hashes of the keys that hold a large share of ``df``; at most 10,000 by their share.
+
+    One pass over the key columns with a sketch of fixed size. What a join gives does
+    not depend on which keys are found, only how its rows are spread.
+    """
+    hashed = df.select(F.xxhash64(*on).alias("h"))
+    row = hashed.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {HOT_SHARE}, {10 * HOT_SHARE})").alias("top")).first()
+    least = max(HOT_ROWS, row["n"] / HOT_SHARE)
+    return [t["item"] for t in row["top"] or [] if t["count"] >= least]
+
+
+def split_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Equi-join of two large sides that keeps hot keys of ``big`` out of the shuffle.
+
+    Rows of hot keys stay where they are and meet a broadcast of the few rows of
+    ``small`` that have such a key, once those measure small; the others are shuffled.
+    Only joins that keep the left side are exact here. ``big`` is read for its keys first.
+    """
+    _check_kind(how)
+    hot = hot_keys(big, on)
+    if not hot:
+        return big.join(small, on, how)
+    # Equal keys of different types have different hashes.
+    alike = small.withColumns({c: F.col(c).try_cast(big.schema[c].dataType) for c in on})
+    is_hot = F.xxhash64(*on).isin(hot)
+    few = alike.where(is_hot)
+    if not fits(few):
+        return salted_join(big, alike, on, how)
+    cold = big.where(~is_hot).join(alike.where(~is_hot), on, how)
+    return cold.unionByName(big.where(is_hot).join(F.broadcast(few), on, how))
+
+
+def _check_kind(how: str) -> None:
+    if how not in ("left", "inner", "left_semi", "left_anti"):
+        raise ValueError(f"cannot do a {how} join here")
+
+
+def many_salts(df: DataFrame) -> int:
+    """As many salts as shuffle partitions, for joins that have no key but the salt."""
+    return max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def cross_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
@@ -99,7 +143,7 @@ def cross_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
     """
     local = few_rows(rows)
     if local is None:
-        return salted_join(df, rows, [], "inner")
+        return salted_join(df, rows, [], "inner", many_salts(df))
     return cross_lines(df, [tuple(r) for r in local], rows.schema)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capledger.functions.columns import AMOUNT, RATE, quantity, sum_amounts, times
-from capledger.operators.bounded import cross_lines, cross_rows, localized, lookup_join, salted_join
+from capledger.operators.bounded import cross_lines, cross_rows, localized, lookup_join, many_salts, salted_join
 
 PERIOD = ["period_start", "period_end"]
 CONTAINS, ALWAYS, ENDED = 3, 2, 1
@@ -92,7 +92,7 @@ def _priced_lines(df: DataFrame, rates: DataFrame, periods: DataFrame, wanted: l
     """``df`` with one line per period that holds the effective rate of each wanted key."""
     spans = localized(periods.select(*PERIOD).distinct())
     if spans is None:
-        return salted_join(df, rate_card(rates, periods, wanted, key, value), [], "inner")
+        return salted_join(df, rate_card(rates, periods, wanted, key, value), [], "inner", many_salts(df))
     chosen = effective_rate(rates, spans, key, value).select(*PERIOD, key, value).collect()  # one per wanted key and span
     rate_of = {tuple(r)[:3]: r[3] for r in chosen}
     lines = [(s, e, *[rate_of.get((s, e, k)) for k in wanted]) for s, e in spans.collect()]

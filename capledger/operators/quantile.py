@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capledger.functions.columns import computed_once
-from capledger.operators.bounded import salted_join
+from capledger.operators.bounded import lookup_join
+from capledger.sources.scratch import stored
 
 BLOCKS = 256        # cuts of a large group
 STRIDE = 16         # every 16th cut is compared first, then the 15 behind it
@@ -16,18 +17,22 @@ SMALL_GROUP = 20_000  # rows that one task may sort
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
     """(keys, out): the median of ``value`` per group, the mean of the middle two for even counts.
 
-    Equal values are counted first. Approximate quantiles then cut each group into
+    Equal values are counted first, and the counts stored. Approximate quantiles then cut each group into
     blocks of about 1/256 of its distinct values; only block totals are ranked per
     group, and only the block that holds the middle is sorted.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    counts = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")), "counts")
     steps = [i / BLOCKS for i in range(1, BLOCKS)]
     cuts = counts.groupBy(*keys).agg(
         F.percentile_approx("v", steps, F.lit(8 * BLOCKS)).alias("q"), F.sum("n").alias("m")
     ).select(*keys, F.when(F.col("m") > SMALL_GROUP, F.col("q")).otherwise(F.array().cast("array<double>")).alias("cuts"))
-    cuts = cuts.withColumn("coarse", F.filter("cuts", lambda c, i: (i + 1) % STRIDE == 0))
-    placed = computed_once(salted_join(counts, cuts, keys, "inner"), {"c": _below("coarse")}).select(
+    if keys:
+        met = lookup_join(counts, stored(cuts, "cuts"), keys, "inner")
+    else:
+        met = counts.withColumn("cuts", F.lit(cuts.first()["cuts"]).cast("array<double>"))
+    coarse = F.filter("cuts", lambda c, i: (i + 1) % STRIDE == 0)
+    placed = computed_once(met, {"c": _below(coarse)}).select(
         *keys, "v", "n",
         (F.col("c") * STRIDE + _below(F.slice("cuts", F.col("c") * STRIDE + 1, F.lit(STRIDE - 1)))).alias("block"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from capledger.functions.columns import computed_once
 from capledger.functions.vocabulary import FactKind
-from capledger.operators.bounded import lookup_join, salted_join
+from capledger.operators.bounded import lookup_join
 from capledger.operators.ordered import first_per_key
 
 NUMBER = "decimal(38,18)"
@@ -21,10 +21,9 @@ def rows_by_column(
 ) -> DataFrame:
     """Label and value of every row of the matched tables, from the columns each match names.
 
-    Rows that lack one of the two are left out. A table of any length is spread
-    over tasks; its one match row is repeated to them.
+    Rows that lack one of the two are left out.
     """
-    hit = salted_join(rows, matches, on, "inner")
+    hit = lookup_join(rows, matches, on, "inner")
     read = hit.withColumns({
         label: F.try_element_at(cells, F.col(label_column)),
         value: F.try_element_at(cells, F.col(value_column)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capledger.operators.bounded import lookup_join
 from capledger.operators.ordered import first_per_key, ordered_scan
 from capledger.sources.scratch import stored
 
@@ -50,7 +51,7 @@ def upsert_versions(registry: DataFrame, incoming: DataFrame, force: bool = Fals
         version.alias("version_id"), F.lit(True).alias("active_flag"), F.lit("added").alias("outcome"),
     )
     verdict = judged.select("document_key", "__same", F.col("__version"))
-    standing = registry.join(verdict, "document_key", "left")
+    standing = lookup_join(registry, verdict, ["document_key"], "left")
     hit = F.col("active_flag") & (F.col("version_id") == F.col("__version"))
     outcome = F.when(hit & F.col("__same"), "skipped").when(hit & ~F.col("__same"), "replaced").otherwise("kept")
     old = standing.withColumn("outcome", outcome).withColumn(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from capledger.functions.vocabulary import FactKind
 from capledger.operators import answers as A
 from capledger.operators import records as R
+from capledger.operators.bounded import fits
 from capledger.operators.vectors import cosine_topk
 from capledger.sources.scratch import stored
 
@@ -47,8 +48,8 @@ class Extraction:
 
 def candidates(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """The ``k`` best chunks per document and query, with their texts."""
-    near = cosine_topk(vectors, queries, k, "chunk_id", "embedding", scope=["rag_id"])
-    return chunks.join(near, ["rag_id", "chunk_id"])
+    near = stored(cosine_topk(vectors, queries, k, "chunk_id", "embedding", scope=["rag_id"]), "nearest")
+    return chunks.join(F.broadcast(near) if fits(near) else near, ["rag_id", "chunk_id"])
 
 
 def jurisdictions(first_texts: DataFrame, ask: Callable[[dict], object]) -> DataFrame:

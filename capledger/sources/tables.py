@@ -121,4 +121,4 @@ def read_facts(facts: DataFrame, jurisdiction: str, active: DataFrame | None = N
     scoped = facts.where(F.col("jurisdiction") == jurisdiction)
     if active is None:
         return scoped
-    return scoped.join(active.where("active_flag").select("rag_id").distinct(), "rag_id", "left_semi")
+    return lookup_join(scoped, active.where("active_flag").select("rag_id").distinct(), ["rag_id"], "left_semi")

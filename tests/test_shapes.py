@@ -55,6 +55,22 @@ def test_salted_and_broadcast_joins_agree(spark):
         bounded.salted_join(big, small, ["k"], "right")
 
 
+def test_hot_keys_are_kept_out_of_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(bounded, "HOT_ROWS", 50)
+    keys = [7] * 200 + [None] * 100 + list(range(100))
+    big = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, n int")
+    small = spark.createDataFrame([(7, 1), (7, 2), (3, 3), (None, 4), (500, 5)], "k long, v int")
+    assert len(bounded.hot_keys(big, ["k"])) == 2
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        for few in (True, False):  # the hot rows of the other side fit, or do not
+            with monkeypatch.context() as m:
+                m.setattr(bounded, "fits", lambda df, few=few: few)
+                got = bounded.split_join(big, small, ["k"], how)
+                assert sorted(map(str, got.collect())) == sorted(map(str, big.join(small, "k", how).collect()))
+    assert bounded.hot_keys(big.where("n > 300"), ["k"]) == []
+    assert bounded.hot_keys(big.where("false"), ["k"]) == []
+
+
 def test_salt_spreads_one_key_and_reads_nested_columns(spark):
     df = spark.range(2000).select(F.lit("hot").alias("k"), F.create_map(F.lit("a"), "id").alias("m"), F.array("id").alias("a"))
     used = df.select(bounded._salt_of(df, 16).alias("s")).groupBy("s").count()
