@@ -19,12 +19,11 @@ _SALT = "__salt"
 def fits(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
     """Whether the whole of ``df`` is small enough to send to every executor.
 
-    Only row sizes reach the driver, at most ``max_rows + 1`` of them, and Spark stops
-    reading partitions once it has that many.
+    One pass over ``df``, reduced to a count and a size in each task.
     """
     size = F.octet_length(F.to_json(F.struct(*[f"`{c}`" for c in df.columns])))
-    sizes = df.select(size.alias("size")).limit(max_rows + 1).collect()
-    return len(sizes) <= max_rows and sum(r["size"] for r in sizes) <= max_bytes
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")).first()
+    return row["n"] <= max_rows and (row["size"] or 0) <= max_bytes
 
 
 def localized(df: DataFrame, max_rows: int = MAX_LITERAL_ROWS) -> DataFrame | None:
