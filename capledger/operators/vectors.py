@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -94,7 +94,7 @@ def _best_of_batch(batch, matrix, names, k, id_col, vector, query_id, scope):
         group = np.unique(np.stack([group, codes.astype(np.int64)]), axis=1, return_inverse=True)[1].reshape(-1)
     ids = batch.column(batch.schema.get_field_index(id_col))
     id_rank = np.empty(n, dtype=np.int64)
-    id_rank[np.asarray(pa.compute.sort_indices(ids))] = np.arange(n)
+    id_rank[np.asarray(pc.sort_indices(ids))] = np.arange(n)
     rows, cols = [], []
     for q in range(len(names)):
         # By group, then nearest first (an undefined similarity last), then id.
