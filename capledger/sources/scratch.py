@@ -2,30 +2,29 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FOLDER = "capledger-scratch"
 
-@functools.cache
-def _local_root(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix="capledger-")
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application below ``spark.checkpoint.dir`` or, where that is
+    not set, below the warehouse, which all executors reach as well."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{FOLDER}/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``.
-
-    Only a session on a local master may go without that setting; it then gets
-    a folder of its own machine, which all its tasks share.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = _local_root(spark.sparkContext.applicationId)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in that folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables; call it once their results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
