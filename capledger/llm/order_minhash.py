@@ -13,16 +13,21 @@ most a ninth of all symbols, so it never leaves that band around the diagonal, a
 the band is searched.
 
 Texts that meet in a sketch are compared with one leader of that sketch, never all with
-all. Whatever is not connected with the largest component of its sketch afterwards is
-compared with all the others in it, so every two texts with a common sketch are either
-connected or were found to differ.
+all. Where a sketch still holds several components, its texts are compared exactly but
+for what cannot be similar: of two texts with a similarity of 0.8, ordered from rare to
+frequent symbols, the first fifths share a symbol. There each text outside the largest
+component of a symbol meets the others, if the parities of their symbol counts in 512
+bins, which bound from below how many symbols differ, allow it. How frequent a symbol is comes from a table of
+fixed size, which only decides the order and so cannot lose a pair.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +42,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 ORDERED = 3
+SLOTS = 1 << 18
+PARITIES = 512
 
-_SKETCHED = "id long, node long, twin long, symbols int, sketch array<long>, words binary"
+_SKETCHED = "id long, node long, twin long, symbols int, sketch array<long>, parity array<long>, words binary"
 
 
 def _symbols(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,13 +123,17 @@ def _sketch(seed: int, k: int, sketches: int, take: int):
                         raw = bytes(part[local[i] : local[i + 1]])
                         number[i] = np.uint64(int.from_bytes(blake2b(raw, digest_size=8, salt=bytes([salt, seed])).digest(), "little"))
                     numbers.append(number.view(np.int64))
+                odd = np.bincount(np.repeat(np.arange(n), count) * PARITIES + (symbol % np.uint64(PARITIES)).astype(np.int64), minlength=n * PARITIES) & 1
+                parity = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                wide = PARITIES // 64
                 small = hashes.astype(np.uint32)
                 kept = np.where(count > 0, sketches, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)], pa.int32()), pa.array(sketch[count > 0].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[a:b], pa.array(numbers[0]), pa.array(numbers[1]), pa.array(count, pa.int32()), lists,
+                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * wide, pa.int32()), pa.array(parity)),
                     pa.array([small[w.first[i] : w.first[i + 1]].tobytes() for i in range(n)], pa.binary()),
-                ], names=["id", "node", "twin", "symbols", "sketch", "words"])
+                ], names=["id", "node", "twin", "symbols", "sketch", "parity", "words"])
 
     return run
 
@@ -155,20 +166,71 @@ def ordered_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 
 def _compare(k: int, least: float):
+    def sequences(column: pa.Array, ids: pa.Array) -> dict[int, np.ndarray]:
+        """The symbols of each different text of a column, all computed at once."""
+        _, first = np.unique(ids.to_numpy(), return_index=True)
+        data, offsets = string_buffers(column.take(pa.array(first)))
+        hashes = np.frombuffer(data.tobytes(), np.uint32).astype(np.uint64)
+        symbol, begin = _symbols(hashes, offsets // 4, k)
+        names = ids.to_numpy()[first].tolist()
+        return {name: symbol[begin[i] : begin[i + 1]] for i, name in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                left, right = sequences(batch.column(2), batch.column(0)), sequences(batch.column(3), batch.column(1))
+                u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                keep = [ordered_similarity(left[a], right[b], least) >= least - 1e-12 for a, b in zip(u, v, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+_RARE = "node long, component long, symbols int, symbol long"
+
+
+def _of_batch(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    for r, raw in enumerate(batch.column("words").to_pylist()):
+        h = np.frombuffer(raw, np.uint32).astype(np.uint64)
+        yield r, _symbols(h, np.array([0, len(h)]), k)[0]
+
+
+def _frequencies(texts: DataFrame, k: int) -> np.ndarray:
+    """How many symbols fall into each of a fixed number of slots."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def symbols(raw: bytes) -> np.ndarray:
-            h = np.frombuffer(raw, np.uint32).astype(np.uint64)
-            return _symbols(h, np.array([0, len(h)]), k)[0]
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, symbol in _of_batch(batch, k):
+                np.add.at(counts, (symbol % np.uint64(SLOTS)).astype(np.int64), 1)
+        slot = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["slot", "n"])
 
-        last, known = None, None
+    total = np.zeros(SLOTS, np.int64)
+    for slot, n in texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
+        total[slot] = n
+    return total
+
+
+def _rare_symbols(counts: np.ndarray, k: int, least: float):
+    """The symbols of each text that a similar text must share one of, rare ones first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for r in range(batch.num_rows):
-                right = batch.column(3)[r].as_py()
-                if right != last:
-                    last, known = right, symbols(right)
-                keep[r] = ordered_similarity(symbols(batch.column(2)[r].as_py()), known, least) >= least - 1e-12
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
+            rows, kept, sizes = [], [], []
+            for r, symbol in _of_batch(batch, k):
+                n = len(symbol)
+                take = n - int(np.ceil(least * n - 1e-9)) + 1
+                order = np.lexsort((symbol, counts[(symbol % np.uint64(SLOTS)).astype(np.int64)]))[:take]
+                kept.append(symbol[order].view(np.int64))
+                rows.append(np.full(len(order), r))
+                sizes.append(np.full(len(order), n))
+            at = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                batch.column("node").take(at), batch.column("component").take(at),
+                pa.array(np.concatenate(sizes) if sizes else [], pa.int32()), pa.array(np.concatenate(kept) if kept else [], pa.int64()),
+            ], names=["node", "component", "symbols", "symbol"])
 
     return run
 
@@ -204,7 +266,7 @@ def near_duplicate_classes(
     for seed in range(1, 6):
         rows = stored(texts.mapInArrow(_sketch(seed, shingle, sketches, ordered), _SKETCHED), "sketched")
         nodes = rows.groupBy("node").agg(
-            F.min("twin").alias("twin"), F.max("twin").alias("other"), F.any_value("symbols").alias("symbols"), F.any_value("sketch").alias("sketch"),
+            F.min("twin").alias("twin"), F.max("twin").alias("other"), F.any_value("symbols").alias("symbols"), F.any_value("sketch").alias("sketch"), F.any_value("parity").alias("parity"),
         )
         nodes = stored(nodes, "nodes")
         if nodes.where("twin <> other").isEmpty():  # else two texts share a number: again with others
@@ -222,13 +284,20 @@ def near_duplicate_classes(
     links = stored(_verified(pairs, sequences, shingle, similarity), "links")
     labels = stored(component_labels(links), "labels")
 
-    # What is outside its sketch's largest component meets all others of the sketch.
-    placed = members.select("key", "node", "symbols").join(labels, "node", "left").select("key", "node", "symbols", F.coalesce("component", "node").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ = stored(placed.join(largest.select("key", "main"), "key"), "open")
-    outside = open_.where("component <> main").select("key", F.col("node").alias("u"), F.col("symbols").alias("s"), F.col("component").alias("c"))
-    rest = outside.join(open_, "key").where((F.col("c") != F.col("component")) & _alike("s", "symbols", similarity))
+    # Sketches with several components: their texts again, by their rare symbols.
+    placed = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    parted = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    unsettled = stored(placed.join(parted, "key", "left_semi").select("node", "component").distinct(), "unsettled")
+    again = stored(sequences.join(unsettled, "node"), "again")
+    rare = stored(again.mapInArrow(_rare_symbols(_frequencies(again, shingle), shingle, similarity), _RARE), "rare")
+    parts = rare.groupBy("symbol", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("symbol").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    shared = stored(rare.join(largest.select("symbol", "main"), "symbol").join(nodes.select("node", "parity"), "node"), "shared")
+    outside = shared.where("component <> main").select(
+        "symbol", F.col("node").alias("u"), F.col("symbols").alias("s"), F.col("component").alias("c"), F.col("parity").alias("p"))
+    differ = reduce(add, [F.bit_count(F.get("p", F.lit(i)).bitwiseXOR(F.get("parity", F.lit(i)))) for i in range(PARITIES // 64)])
+    allowed = (F.col("s") + F.col("symbols")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    rest = outside.join(shared, "symbol").where((F.col("c") != F.col("component")) & _alike("s", "symbols", similarity) & (differ <= allowed))
     rest = rest.select(F.greatest("u", "node").alias("u"), F.least("u", "node").alias("v")).distinct().join(
         pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
     more = stored(_verified(rest, sequences, shingle, similarity), "more-links")

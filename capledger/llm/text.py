@@ -50,13 +50,14 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` bytes each; a longer row is a range of its own."""
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows and about ``most`` bytes; a longer row is a range of its own."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
-        yield first, min(last, n)
-        first = min(last, n)
+        last = min(last, n, first + rows)
+        yield first, last
+        first = last
 
 
 @dataclass
