@@ -311,3 +311,24 @@ def near_duplicate_classes(
     named = whole.join(classes.join(n_texts, "component"), "component").select("id", "class_id", "n_texts", "n_rows")
     alone = given.where("text IS NULL").select("id", F.col("id").alias("class_id"), F.lit(None).cast("long").alias("n_texts"), F.lit(1).cast("long").alias("n_rows"))
     return named.unionByName(alone)
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """One row of each class, all columns kept: that of its least id.
+
+    A row with a NULL text is always kept, as is one with a NULL id whose text has no other
+    id; of rows that share the least id with equal texts one is kept.
+    """
+    classes = near_duplicate_classes(docs, id_col, text_col, **options)
+    # Ids alone don't tell rows of one id with different texts apart: such rows go by their class, too.
+    losers = classes.where("n_texts IS NOT NULL AND id IS NOT NULL AND id <> class_id").select(F.col("id").alias("__id"))
+    winners = classes.where("n_texts IS NOT NULL AND id = class_id").select(F.col("id").alias("__id"))
+    drop = stored(losers.join(winners, "__id", "left_anti").distinct(), "losers")
+    repeated = stored(classes.where("id IS NOT NULL AND n_texts IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id")), "repeated-ids")
+    given = docs.withColumn("__id", F.col(f"`{id_col}`").cast("long"))
+    kept = given.join(drop, "__id", "left_anti")
+    if not repeated.isEmpty():
+        text = F.lower(F.col(f"`{text_col}`").cast("string"))
+        once = kept.join(repeated, "__id", "left_semi").withColumn("__text", text)
+        kept = kept.join(repeated, "__id", "left_anti").unionByName(once.dropDuplicates(["__id", "__text"]).drop("__text"))
+    return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capledger.llm.decontaminate import contaminations
+from capledger.llm.html_text import extract_texts, fit_weights
+from capledger.llm.language_crf import languages_of
+from capledger.llm.mixing import mix_sources
 from capledger.llm.order_minhash import near_duplicate_classes
+from capledger.llm.spherical import embedding_duplicates
+from capledger.llm.surrogates import replace_entities
+from capledger.llm.token_counts import token_length_report
+from capledger.llm.toxicity import toxicity_scores
+from capledger.llm.warc import read_archives, resolved, write_archives
+from capledger.sources.scratch import scratch_path
+
+#: A deployment passes a secret of its own.
+SURROGATE_KEY = "surrogates of the test tables"
+MOST_REPETITIONS = 1.25
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,3 +47,53 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     classes = near_duplicate_classes(table(spark, folder, "documents"))
     kept = (F.col("id") == F.col("class_id")) | F.col("id").isNull()
     return classes.select(F.col("id").alias("doc_id"), "class_id", "n_texts", "n_rows", kept.alias("kept"))
+
+
+@query("op2_language_crf")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return languages_of(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op3_warc_segments")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_archives(table(spark, folder, "pages"), path)
+    return resolved(read_archives(spark, path)).withColumnRenamed("row_id", "page_id")
+
+
+@query("op4_counterfactual_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels")).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_surrogates")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    replaced = replace_entities(table(spark, folder, "documents"), SURROGATE_KEY, count_col="n_entities")
+    return replaced.select("doc_id", "text", "n_entities")
+
+
+@query("op6_spherical_cells")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op7_temperature_mixing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix_sources(table(spark, folder, "documents"), repetitions=MOST_REPETITIONS)
+    return mixed.select("doc_id", "source", *[F.col(f"mix_{c}").alias(c) for c in ("n_tokens", "epoch", "block", "slot")])
+
+
+@query("op8_cgk_decontamination")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_length_histogram")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return token_length_report(table(spark, folder, "documents"))
+
+
+@query("op10_main_text")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return extract_texts(pages, fit_weights(pages))
