@@ -187,7 +187,7 @@ def _compare(k: int, least: float):
     return run
 
 
-_RARE = "node long, component long, symbols int, symbol long"
+_RARE = "node long, component long, symbols int, rare array<long>"
 
 
 def _of_batch(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -218,19 +218,16 @@ def _rare_symbols(counts: np.ndarray, k: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, kept, sizes = [], [], []
-            for r, symbol in _of_batch(batch, k):
+            kept, sizes = [], []
+            for _, symbol in _of_batch(batch, k):
                 n = len(symbol)
                 take = n - int(np.ceil(least * n - 1e-9)) + 1
                 order = np.lexsort((symbol, counts[(symbol % np.uint64(SLOTS)).astype(np.int64)]))[:take]
                 kept.append(symbol[order].view(np.int64))
-                rows.append(np.full(len(order), r))
-                sizes.append(np.full(len(order), n))
-            at = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
+                sizes.append(n)
             yield pa.RecordBatch.from_arrays([
-                batch.column("node").take(at), batch.column("component").take(at),
-                pa.array(np.concatenate(sizes) if sizes else [], pa.int32()), pa.array(np.concatenate(kept) if kept else [], pa.int64()),
-            ], names=["node", "component", "symbols", "symbol"])
+                batch.column("node"), batch.column("component"), pa.array(sizes, pa.int32()), pa.array(kept, pa.list_(pa.int64())),
+            ], names=["node", "component", "symbols", "rare"])
 
     return run
 
@@ -290,14 +287,21 @@ def near_duplicate_classes(
     unsettled = stored(placed.join(parted, "key", "left_semi").select("node", "component").distinct(), "unsettled")
     again = stored(sequences.join(unsettled, "node"), "again")
     rare = stored(again.mapInArrow(_rare_symbols(_frequencies(again, shingle), shingle, similarity), _RARE), "rare")
-    parts = rare.groupBy("symbol", "component").agg(F.count(F.lit(1)).alias("n"))
+    each = rare.select("node", "component", "symbols", F.posexplode("rare").alias("rank", "symbol"))
+    parts = each.groupBy("symbol", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("symbol").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    shared = stored(rare.join(largest.select("symbol", "main"), "symbol").join(nodes.select("node", "parity"), "node"), "shared")
-    outside = shared.where("component <> main").select(
-        "symbol", F.col("node").alias("u"), F.col("symbols").alias("s"), F.col("component").alias("c"), F.col("parity").alias("p"))
-    differ = reduce(add, [F.bit_count(F.get("p", F.lit(i)).bitwiseXOR(F.get("parity", F.lit(i)))) for i in range(PARITIES // 64)])
-    allowed = (F.col("s") + F.col("symbols")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
-    rest = outside.join(shared, "symbol").where((F.col("c") != F.col("component")) & _alike("s", "symbols", similarity) & (differ <= allowed))
+    shared = each.join(largest.select("symbol", "main"), "symbol").join(rare.select("node", "rare"), "node").join(nodes.select("node", "parity"), "node")
+    shared = stored(shared.select("symbol", "main", "node", "component", "symbols", "rank", "parity", F.slice("rare", F.lit(1), F.col("rank")).alias("before")), "shared")
+    outside = shared.where("component <> main").select("symbol", *[F.col(c).alias(f"o_{c}") for c in ("node", "component", "symbols", "rank", "parity", "before")])
+    both = F.col("o_symbols") + F.col("symbols")
+    differ = reduce(add, [F.bit_count(F.get("o_parity", F.lit(i)).bitwiseXOR(F.get("parity", F.lit(i)))) for i in range(PARITIES // 64)])
+    # A pair is taken at its first common symbol, if what follows there can be enough.
+    follows = F.least(F.col("o_symbols") - F.col("o_rank"), F.col("symbols") - F.col("rank"))
+    rest = outside.join(shared, "symbol").where(
+        (F.col("o_component") != F.col("component")) & _alike("o_symbols", "symbols", similarity)
+        & (follows >= both * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)) & (differ <= both * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6))
+        & ~F.arrays_overlap("o_before", "before"))
+    rest = rest.withColumnRenamed("o_node", "u")
     rest = rest.select(F.greatest("u", "node").alias("u"), F.least("u", "node").alias("v")).distinct().join(
         pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
     more = stored(_verified(rest, sequences, shingle, similarity), "more-links")
