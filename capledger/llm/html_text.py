@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 SAMPLE_PAGES = 2000
 MOST_WEIGHTS = 2000
 LEAST_SEEN = 5
+MOST_ASIDE = 3.0
 
 # Elements of HTML by what they do.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext"}
@@ -169,6 +170,21 @@ def tokens(page: str) -> list[Token]:
     return out
 
 
+def scored(all_tokens: list[Token], weights: Weights) -> list[float]:
+    """The score of each token. What one unseen part costs is bounded, so that a long aside does
+    not end the article; its words are left out of the text anyway."""
+    out, spent = [], 0.0
+    for t in all_tokens:
+        s = weights(t)
+        if t.shown:
+            spent = 0.0
+        else:
+            s = min(0.0, max(s, -MOST_ASIDE - spent))
+            spent += s
+        out.append(s)
+    return out
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """First and last-plus-one place of the contiguous run with the greatest sum; the longest
     of the first such runs, empty if no score is positive."""
@@ -185,7 +201,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str, weights: Weights) -> str:
     """The text of the best region: blocks in page order, one line each."""
     all_tokens = tokens(page)
-    low, high = best_region([weights(t) for t in all_tokens])
+    low, high = best_region(scored(all_tokens, weights))
     lines: list[str] = []
     parts: list[str] = []
     block = None

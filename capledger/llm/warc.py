@@ -161,7 +161,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in batch.slice(start, 256).to_pylist():
                 pieces = sorted(r.pop("pieces"), key=lambda p: p["segment"] or 0)
                 block, payload, fault = b"".join(p["block"] for p in pieces), None, r["fault"]
-                if len(pieces) > 1 or pieces[0]["segment"]:
+                if not fault and (len(pieces) > 1 or pieces[0]["segment"]):
                     if [p["segment"] for p in pieces] != list(range(1, len(pieces) + 1)):
                         fault = "segments are missing or repeated"
                     elif pieces[-1]["total"] != len(block):
