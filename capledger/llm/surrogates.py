@@ -46,7 +46,7 @@ PATTERNS = {
     "card": r"(?<![0-9])\d{4}(?:[ -]?\d{4}){3}(?![0-9])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "number": r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[.-])\d{3,4}[ .-]?\d{4}(?![0-9])|(?<![0-9+])\+\d{8,14}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[.-])\d{3,4}[ .-]?\d{4}(?![0-9])|(?<![0-9+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?![0-9])|(?<![0-9+])\+\d{8,14}(?![0-9])",
     "hex": r"(?<![0-9A-Za-z])(?=[a-f]*\d)[0-9a-f]{32,64}(?![0-9A-Za-z])",
     "name": rf"(?<![\p{{L}}])(?:(?:{_FORMS})\.? (?:(?:{_NAMES}) )?{_CAPITAL}|(?:{_NAMES}) {_CAPITAL})(?![\p{{L}}])",
 }
@@ -64,16 +64,11 @@ def entities(text: Column) -> Column:
 
 def kind_of(entity: Column) -> Column:
     kind = F.lit("hex")
-    for name in reversed(PATTERNS):
-        kind = F.when(entity.rlike(f"^(?:{_bare(name)})$"), F.lit(name)).otherwise(kind)
+    for name, pattern in reversed(PATTERNS.items()):
+        kind = F.when(entity.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(kind)
     return kind
 
 
-def _bare(name: str) -> str:
-    """A pattern without what may stand before it."""
-    return PATTERNS[name]
-
-
 def canonical(kind: Column, entity: Column) -> Column:
     """One form of all ways to write an entity."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
@@ -129,12 +124,14 @@ def _luhn(digits: Column) -> Column:
 
 def _card(entity: Column, seed: Column) -> Column:
     """The first digit stays, and whether the check digit is right."""
-    made = _digits(entity, seed, F.lit(1))
-    plain = F.regexp_replace(made, "[^0-9]", "")
-    zeroed = F.concat(F.substring(plain, 1, 15), F.lit("0"))
-    right = F.pmod(F.lit(10) - F.pmod(_luhn(zeroed), F.lit(10)), F.lit(10)).cast("string")
     valid = F.pmod(_luhn(F.regexp_replace(entity, "[^0-9]", "")), F.lit(10)) == 0
-    return F.when(valid, F.concat(F.expr("''"), F.regexp_replace(made, "[0-9]$", ""), right)).otherwise(made)
+
+    def checked(made: Column) -> Column:
+        zeroed = F.concat(F.substring(F.regexp_replace(made, "[^0-9]", ""), F.lit(1), F.lit(15)), F.lit("0"))
+        right = F.pmod(F.lit(10) - F.pmod(_luhn(zeroed), F.lit(10)), F.lit(10)).cast("string")
+        return F.when(valid, F.concat(F.regexp_replace(made, "[0-9]$", ""), right)).otherwise(made)
+
+    return _once(_digits(entity, seed, F.lit(1)), checked)
 
 
 def _address(entity: Column, seed: Column) -> Column:
@@ -169,12 +166,24 @@ def _name(entity: Column, seed: Column, attempt: Column) -> Column:
     return F.concat(form, F.when(has_given, F.concat(given, F.lit(" "))).otherwise(""), family)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def surrogate(entity: Column, attempt: Column, key: str) -> Column:
     """Another entity of the same kind and format."""
-    kind = kind_of(entity)
-    seed = F.concat_ws("|", F.lit(key), kind, canonical(kind, entity), attempt.cast("string"))
+
+    def seeded(x: Column) -> Column:
+        seed = F.concat_ws("|", F.lit(key), x["kind"], canonical(x["kind"], x["entity"]), x["attempt"].cast("string"))
+        return F.struct(x["entity"], x["attempt"], x["kind"], seed.alias("seed"), _value(x["entity"]).alias("value"))
+
+    given = F.struct(entity.alias("entity"), attempt.alias("attempt"), kind_of(entity).alias("kind"))
+    return _once(given, lambda x: _once(seeded(x), lambda y: _made(y["entity"], y["attempt"], y["kind"], y["seed"], y["value"])))
+
+
+def _made(entity: Column, attempt: Column, kind: Column, seed: Column, value: Column) -> Column:
     country = F.length(F.regexp_replace(F.regexp_extract(entity, r"^(\+\d{1,3})(?=[ .-])", 1), "[^0-9]", ""))
-    value = _value(entity)
     head = F.substring(entity, F.lit(1), F.length(entity) - F.length(value))
     hexed = _each(value, lambda c, i: F.when(c.rlike("[0-9a-f]"), _pick("0123456789abcdef", _noise(seed, i))).otherwise(c))
     keyed = F.regexp_extract(entity, r"^(AKIA|ASIA|gh[pousr]_|sk-|xox[abpr]-)", 1)
@@ -184,7 +193,7 @@ def surrogate(entity: Column, attempt: Column, key: str) -> Column:
         .when(kind == "setting", F.concat(head, F.when(value.rlike("^[0-9a-f]+$"), hexed).otherwise(_shaped(value, seed))))
         .when(kind == "address", _address(entity, seed))
         .when(kind == "card", _card(entity, seed))
-        .when(kind == "account", F.concat(F.substring(entity, 1, 2), _shaped(F.substring(entity, F.lit(3), F.length(entity)), seed)))
+        .when(kind == "account", F.concat(F.substring(entity, F.lit(1), F.lit(2)), _shaped(F.substring(entity, F.lit(3), F.length(entity)), seed)))
         .when(kind == "number", _digits(entity, seed, F.lit(0)))
         .when(kind == "phone", _digits(entity, seed, country))
         .when(kind == "name", _name(entity, seed, attempt))
