@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capledger.llm.text import slices, string_buffers, words
+from capledger.llm.text import mix, slices, string_buffers, words
 
 EDIT_SHARE = 0.1  # edited words of an item, at most
 WALKS, SAMPLES, PLACES = 6, 3, 4
@@ -30,13 +30,14 @@ MOST_STRIDE = 8
 ITEMS_AT_ONCE = 4096
 BITMAP_BITS = 20
 
+_KEY = np.uint64(0x9E3779B97F4A7C15)
 _TEXT = "__decontaminate_text"
 
 
 @dataclass
 class Items:
     ids: list
-    symbols: list[np.ndarray]  # word hashes, 32 bits
+    symbols: list[np.ndarray]  # word hashes, never 0
     stride: int
     multipliers: np.ndarray  # (walks, steps): odd numbers that make the bits
     samples: list[list[tuple[int, np.ndarray]]]  # of each walk: (size class, sorted places)
@@ -50,27 +51,27 @@ def _walked(symbols: np.ndarray, at: np.ndarray, multipliers: np.ndarray, sample
     its bit is 0, so the pointer stays there."""
     pointer = at.astype(np.int64)
     keys = [np.full(len(at), np.uint64(7919 * (i + 1)), np.uint64) for i in range(len(samples))]
-    last = max(int(places[-1]) for _, places in samples)
-    for t in range(last + 1):
-        here = symbols[pointer]
-        for key, (_, places) in zip(keys, samples, strict=True):
-            if t in places:
-                key *= np.uint64(0x9E3779B97F4A7C15)
-                key += here
-                key ^= key >> np.uint64(32)
-        pointer += (here * multipliers[t]) >> np.uint32(31)
-    return [key * np.uint64(0xBF58476D1CE4E5B9) for key in keys]
+    taken: dict[int, list[np.ndarray]] = {}
+    for key, (_, places) in zip(keys, samples, strict=True):
+        for t in places.tolist():
+            taken.setdefault(t, []).append(key)
+    here, bit = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+    for t in range(max(taken) + 1):
+        np.take(symbols, pointer, out=here, mode="clip")
+        for key in taken.get(t, ()):
+            np.multiply(key, _KEY, out=key)
+            np.add(key, here, out=key)
+        np.multiply(here, multipliers[t], out=bit)
+        np.right_shift(bit, np.uint64(63), out=bit)
+        np.add(pointer, bit.view(np.int64), out=pointer)
+    return [mix(key) for key in keys]
 
 
 def _symbols(texts: pa.Array) -> list[np.ndarray]:
     data, offsets = string_buffers(texts)
     w = words(data, offsets)
-    small = _small(w.hashes)
-    return [small[w.first[i] : w.first[i + 1]] for i in range(len(texts))]
-
-
-def _small(hashes: np.ndarray) -> np.ndarray:
-    return np.maximum((hashes >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+    hashes = np.maximum(w.hashes, np.uint64(1))
+    return [hashes[w.first[i] : w.first[i + 1]] for i in range(len(texts))]
 
 
 def prepare_items(ids: list, texts: list[str], walks: int = WALKS, samples: int = SAMPLES, places: int = PLACES, seed: int = 5) -> Items | None:
@@ -81,7 +82,7 @@ def prepare_items(ids: list, texts: list[str], walks: int = WALKS, samples: int
     least = min(len(s) for _, s in found)
     stride = max(1, min(MOST_STRIDE, least // 2))
     rng = np.random.default_rng(seed)
-    multipliers = rng.integers(0, 1 << 31, (walks, MOST_STEPS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    multipliers = rng.integers(0, 1 << 63, (walks, MOST_STEPS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     size = lambda s: int(np.log2(len(s) / least))
     window = lambda c: least * 2**c - stride + 1
     classes = sorted({size(s) for _, s in found})
@@ -91,10 +92,12 @@ def prepare_items(ids: list, texts: list[str], walks: int = WALKS, samples: int
         own = []
         for c in classes:
             steps = max(1, min(MOST_STEPS, int(1.6 * window(c))))
-            own += [(c, np.sort(rng.choice(steps, min(places, steps), replace=False))) for _ in range(samples)]
+            # Spread over the walk: neighbouring places often give the same word.
+            count = min(places, steps)
+            own += [(c, np.floor((np.arange(count) + rng.uniform()) * steps / count).astype(int)) for _ in range(samples)]
         drawn.append(own)
         for n, (_, s) in enumerate(found):
-            ended = np.r_[s, np.zeros(1, np.uint32)]
+            ended = np.r_[s, np.zeros(1, np.uint64)]
             offsets = np.arange(len(s) - window(size(s)) + 1)
             for i, key in enumerate(_walked(ended, offsets, multipliers[walk], own)):
                 if own[i][0] == size(s):
@@ -126,8 +129,8 @@ def find_items(items: Items, data: np.ndarray, offsets: np.ndarray, share: float
     n = len(offsets) - 1
     count = np.diff(w.first)
     begin = w.first[:-1] + np.arange(n)  # a 0 follows each text
-    symbols = np.zeros(len(w.hashes) + n, np.uint32)
-    symbols[np.arange(len(w.hashes)) + w.doc] = _small(w.hashes)
+    symbols = np.zeros(len(w.hashes) + n, np.uint64)
+    symbols[np.arange(len(w.hashes)) + w.doc] = np.maximum(w.hashes, np.uint64(1))
     windows = -(-count // items.stride)
     row = np.repeat(np.arange(n), windows)
     if not len(row):
@@ -144,6 +147,7 @@ def find_items(items: Items, data: np.ndarray, offsets: np.ndarray, share: float
                     item, offset = items.entries[e]
                     seen.add((int(row[h]), int(item), int(at[h] - begin[row[h]] - offset)))
     found: dict[tuple[int, int], tuple[int, int]] = {}
+    sets = {item: set(items.symbols[item].tolist()) for item in {c[1] for c in seen}}  # a missing word is an edit at least
     for r, item, start in sorted(seen):
         own, best = items.symbols[item], found.get((r, item))
         allowed = int(share * len(own) + 1e-9)
@@ -153,7 +157,7 @@ def find_items(items: Items, data: np.ndarray, offsets: np.ndarray, share: float
         text = symbols[begin[r] : begin[r] + count[r]]
         if start >= 0 and np.array_equal(text[start : start + len(own)], own):
             found[r, item] = (0, start)
-        elif allowed and high - low >= len(own) - allowed:
+        elif allowed and high - low >= len(own) - allowed and len(sets[item].difference(text[low:high].tolist())) <= allowed:
             edits = least_edits(own, text[low:high])
             if edits <= allowed and (best is None or edits < best[0]):
                 found[r, item] = (edits, max(0, start))

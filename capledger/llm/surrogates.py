@@ -149,6 +149,10 @@ def _email(entity: Column, seed: Column) -> Column:
     return F.concat(F.when(upper, F.upper(made)).otherwise(made), top)
 
 
+def _list(names: list[str]) -> Column:
+    return F.split(F.lit(" ".join(names)), " ")
+
+
 def _name(entity: Column, seed: Column, attempt: Column) -> Column:
     """A form of address stays; given name of the same gender and script, and a family name."""
     form = F.regexp_extract(entity, rf"^((?:{_FORMS})\.? )", 1)
@@ -158,9 +162,9 @@ def _name(entity: Column, seed: Column, attempt: Column) -> Column:
     script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     given, family = F.lit(""), F.lit("")
     for (own, gender), names in GIVEN.items():
-        given = F.when((script == own) & first.isin(names), F.get(F.array(*[F.lit(n) for n in names]), F.pmod(_noise(seed, F.lit(1)), F.lit(len(names))).cast("int"))).otherwise(given)
+        given = F.when((script == own) & F.array_contains(_list(names), first), F.get(_list(names), F.pmod(_noise(seed, F.lit(1)), F.lit(len(names))).cast("int"))).otherwise(given)
     for own, names in FAMILY.items():
-        pick = lambda i, names=names: F.get(F.array(*[F.lit(n) for n in names]), F.pmod(_noise(seed, F.lit(i)), F.lit(len(names))).cast("int"))
+        pick = lambda i, names=names: F.get(_list(names), F.pmod(_noise(seed, F.lit(i)), F.lit(len(names))).cast("int"))
         # More attempts than a list has names: a double name.
         family = F.when(script == own, F.when(attempt < 4, pick(2)).otherwise(F.concat(pick(2), F.lit("-"), pick(3)))).otherwise(family)
     return F.concat(form, F.when(has_given, F.concat(given, F.lit(" "))).otherwise(""), family)
