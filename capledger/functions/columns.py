@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Exact arithmetic: a quantity times a rate is exact in decimal(38,15); sums and
-# differences are kept at 12 places, and doubles appear only in the final output.
-QUANTITY = "decimal(26,8)"
-RATE = "decimal(16,12)"
-AMOUNT = "decimal(36,12)"
+# Exact arithmetic: rates keep the 18 places in which facts are stored; products, sums and
+# differences are kept at 12 places, and doubles appear only in the final output. What
+# does not fit into these types fails the job.
+QUANTITY = "decimal(27,8)"
+RATE = "decimal(24,18)"
+AMOUNT = "decimal(38,12)"
 
 # What counts as one number in a header cell.
 NUMBER_TEXT = (
@@ -29,8 +30,9 @@ def finite(c: Column) -> Column:
 
 
 def quantity(c: Column) -> Column:
-    """Double or text to an exact quantity; NULL when it is not a finite number."""
-    return finite(c.try_cast("double")).try_cast(QUANTITY)
+    """Double or text to an exact quantity; NULL when it is not a finite number. A number
+    beyond 19 digits before the point is an error, never NULL."""
+    return finite(c.try_cast("double")).cast(QUANTITY)
 
 
 def nullif_any(c: Column, values: list[str]) -> Column:
@@ -62,8 +64,14 @@ def blank_to_null(c: Column) -> Column:
 
 
 def times(qty: Column, rate: Column) -> Column:
-    """Exact product of a QUANTITY and a RATE."""
-    return (qty * rate).cast(AMOUNT)
+    """Product of a QUANTITY and a RATE, to 12 places.
+
+    The rate's first 8 and last 10 places are multiplied apart, each within 38 digits.
+    """
+    head = F.floor(rate * F.lit(10**8)).cast("decimal(14,0)")
+    coarse = (head * F.lit(10**-8).cast("decimal(9,8)")).cast("decimal(14,8)")
+    fine = (rate - coarse).cast("decimal(18,18)")
+    return ((qty * coarse).cast(AMOUNT) + (qty * fine).cast(AMOUNT)).cast(AMOUNT)
 
 
 def sum_amounts(amounts: list[Column]) -> Column:

@@ -4,28 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capledger.functions.columns import computed_once
 
-# Where JSON may stand in an answer, tried in this order after the whole text.
-FENCED = r"```(?:\w+)?\s*([\s\S]+?)```"
-OBJECT = r"(?s)\{.*\}"
-ARRAY = r"(?s)\[.*\]"
+FENCE = "```"
+
+
+def _fenced(text: Column) -> Column:
+    """What stands between the first two fences, without the name of a language."""
+    pieces = F.split(text, FENCE)
+    return F.when(F.size(pieces) > 2, F.regexp_replace(F.get(pieces, F.lit(1)), r"^[\w+-]*(?=\s)", ""))
+
+
+def _spanned(text: Column, first: str, last: str) -> Column:
+    """From the first ``first`` to the last ``last``."""
+    begin, behind = F.instr(text, first), F.instr(F.reverse(text), last)
+    return F.when((begin > 0) & (behind > 0), F.substring(text, begin, F.length(text) - behind - begin + 2))
 
 
 def parse_json(text: Column) -> Column:
     """The first reading of ``text`` that is JSON, as a variant: all of it, a fenced
     block, the widest ``{…}``, the widest ``[…]``. NULL when none is."""
-    return F.coalesce(
-        F.try_parse_json(F.trim(text)),
-        F.try_parse_json(F.trim(F.regexp_extract(text, FENCED, 1))),
-        F.try_parse_json(F.regexp_extract(text, OBJECT, 0)),
-        F.try_parse_json(F.regexp_extract(text, ARRAY, 0)),
-    )
+    readings = [text, _fenced(text), _spanned(text, "{", "}"), _spanned(text, "[", "]")]
+    return F.coalesce(*[F.try_parse_json(F.trim(r)) for r in readings])
 
 
 def parse_answers(df: DataFrame, column: str, out: str = "parsed") -> tuple[DataFrame, DataFrame]:
@@ -64,28 +69,27 @@ def route_by_kind(candidates: DataFrame, kind: str = "block_type") -> tuple[Data
 
 
 def headers_line(headers: Column) -> Column:
-    """``'Type', 'Value'``, or a note that there are none."""
-    shown = F.transform(
-        F.filter(F.coalesce(headers, F.array().cast("array<string>")), lambda h: h != ""),
-        lambda h: F.concat(F.lit("'"), h, F.lit("'")),
-    )
-    return F.coalesce(F.nullif(F.array_join(shown, ", "), F.lit("")), F.lit("(none listed)"))
+    """``Type; Value``, or a note that the columns have no names."""
+    named = F.filter(headers, lambda h: h != "")
+    return F.when(F.size(named) > 0, F.array_join(named, "; ")).otherwise("(without names)")
 
 
 def candidate_block(chunk_id: Column, page: Column, text: Column) -> Column:
-    return F.concat(
-        F.lit("[chunk_id="), chunk_id.cast("string"), F.lit(" page="),
-        F.coalesce(page.cast("string"), F.lit("None")), F.lit("]\n"), text,
-    )
+    """A chunk between marks that name it, and its page where that is known."""
+    place = F.concat(F.lit("<chunk id="), chunk_id.cast("string"), F.coalesce(F.concat(F.lit(" page="), page.cast("string")), F.lit("")), F.lit(">"))
+    return F.concat_ws("\n", place, text, F.lit("</chunk>"))
 
 
-def field_lines(fields: list[tuple[str, str, bool, tuple[str, ...]]]) -> str:
-    """``(name, type, required, allowed)`` as the list of fields in a question."""
+def field_lines(fields: list[tuple[str, str, bool, tuple[str, ...]]], notes: Mapping[str, str] | None = None) -> str:
+    """``(name, type, required, allowed)`` as numbered lines, each with its note."""
     lines = []
-    for name, kind, required, allowed in fields:
-        need = ", required" if required else ""
-        among = f" [allowed: {', '.join(allowed)}]" if allowed else ""
-        lines.append(f"  - {name} ({kind}{need}){among}")
+    for i, (name, kind, required, allowed) in enumerate(fields, 1):
+        line = f"{i}. {name}: {kind}, {'always' if required else 'if stated'}"
+        if allowed:
+            line += "; one of " + " | ".join(allowed)
+        if note := (notes or {}).get(name):
+            line += f". {note}"
+        lines.append(line)
     return "\n".join(lines)
 
 
@@ -109,7 +113,8 @@ def annotate(
     """Calls ``fn`` once per row with its ``inputs`` and adds the text it returns.
 
     A call that raises gives a NULL answer and its message in ``error``; the other
-    rows go on. Retries are up to ``fn``. Store the result before using it more than
+    rows go on. ``fn`` sees the values as they are, NULL as None; kept columns are passed
+    through. Retries are up to ``fn``. Store the result before using it more than
     once: every use of the DataFrame asks again.
     """
     types = {f.name: f for f in df.schema.fields}
@@ -118,16 +123,18 @@ def annotate(
     ])
     read = list(dict.fromkeys([*keep, *inputs]))
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             answers, errors = [], []
-            for row in batch[inputs].to_dict("records"):
+            for row in batch.select(inputs).to_pylist():
                 try:
-                    answers.append(fn(row))
+                    answer = fn(row)
+                    answers.append(None if answer is None else str(answer))
                     errors.append(None)
                 except Exception as e:
                     answers.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield batch[keep].assign(**{out: answers, "error": errors})
+            columns = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=[*keep, out, "error"])
 
-    return df.select(*read).mapInPandas(call, schema)
+    return df.select(*read).mapInArrow(call, schema)

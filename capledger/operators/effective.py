@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capledger.functions.columns import AMOUNT, RATE, quantity, sum_amounts, times
+from capledger.functions.columns import AMOUNT, QUANTITY, RATE, quantity, sum_amounts, times
 from capledger.operators.bounded import cross_lines, cross_rows, localized, lookup_join, many_salts, salted_join
 
 PERIOD = ["period_start", "period_end"]
@@ -97,7 +97,7 @@ def _priced_lines(df: DataFrame, rates: DataFrame, periods: DataFrame, wanted: l
     rate_of = {tuple(r)[:3]: r[3] for r in chosen}
     lines = [(s, e, *[rate_of.get((s, e, k)) for k in wanted]) for s, e in spans.collect()]
     schema = T.StructType([
-        *spans.schema.fields, *[T.StructField(f"__rate_{i}", T.DecimalType(16, 12)) for i in range(len(wanted))]
+        *spans.schema.fields, *[T.StructField(f"__rate_{i}", T.DecimalType(24, 18)) for i in range(len(wanted))]
     ])
     return cross_lines(df, lines, schema)
 
@@ -125,7 +125,7 @@ def weighted_sum_long(
     by_period = cross_periods(summed, periods)
     priced = lookup_join(by_period, chosen, [measure, *PERIOD], "left", tiny=True)
     amount_of = F.when(
-        F.col("__qty") != 0, times(F.col("__qty").cast("decimal(26,8)"), F.col(value))
+        F.col("__qty") != 0, times(F.col("__qty").cast(QUANTITY), F.col(value))
     )
     return priced.groupBy(entity, *PERIOD).agg(
         F.coalesce(F.sum(amount_of).cast(AMOUNT), F.lit(0).cast(AMOUNT)).alias(total)

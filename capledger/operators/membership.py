@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capledger.operators.bounded import lookup_join
+from capledger.operators.bounded import few_rows, lookup_join
+from capledger.sources.scratch import stored
 
 
 def flag_membership(df: DataFrame, listed: DataFrame, on: str, flag: str = "is_listed") -> DataFrame:
@@ -14,11 +15,21 @@ def flag_membership(df: DataFrame, listed: DataFrame, on: str, flag: str = "is_l
     return lookup_join(df, names, [on], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def flag_any_member(df: DataFrame, listed: DataFrame, id_col: str, keys: str, on: str, flag: str = "is_listed") -> DataFrame:
-    """Like ``flag_membership`` for an array of keys: true when any of them is listed."""
-    each = df.select(id_col, F.explode(keys).alias(on))
-    hits = flag_membership(each, listed, on, flag).groupBy(id_col).agg(F.max(flag).alias(flag))
-    return df.join(hits, id_col, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+def flag_any_member(df: DataFrame, listed: DataFrame, keys: str, on: str, flag: str = "is_listed") -> DataFrame:
+    """Like ``flag_membership`` for an array of keys: true when any of them is listed.
+
+    A short list is held against each array in place. Beyond that the rows are stored under
+    a number of their own, and their keys looked up.
+    """
+    names = listed.select(on).where(F.col(on).isNotNull()).distinct()
+    few = few_rows(names)
+    if few is not None:
+        held = F.array(*[F.lit(r[0]) for r in few]).cast(f"array<{names.schema[on].dataType.simpleString()}>")
+        return df.withColumn(flag, F.coalesce(F.arrays_overlap(keys, held), F.lit(False)))
+    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "keyed-rows")
+    each = rows.select("__row", F.explode(keys).alias(on))
+    hits = flag_membership(each, names, on, flag).where(flag).select("__row").distinct().withColumn(flag, F.lit(True))
+    return rows.join(hits, "__row", "left").withColumn(flag, F.coalesce(flag, F.lit(False))).drop("__row")
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

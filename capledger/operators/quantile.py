@@ -21,6 +21,9 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     blocks of about 1/256 of its distinct values; only block totals are ranked per
     group, and only the block that holds the middle is sorted.
     """
+    given, group = keys, "__group"
+    if keys:  # one key, so that NULLs meet in joins as they do in groups
+        df, keys = df.withColumn(group, F.struct(*keys)), [group]
     rows = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     counts = stored(rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")), "counts")
     steps = [i / BLOCKS for i in range(1, BLOCKS)]
@@ -55,7 +58,8 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
         here = (F.col(rank) <= F.col("last")) & (F.col(rank) > F.col("last") - F.col("n"))
         return F.max(F.when(here, F.col("v")))
 
-    return ranked.groupBy(*keys).agg(((at("lo") + at("hi")) / 2).alias(out))
+    found = ranked.groupBy(*keys).agg(((at("lo") + at("hi")) / 2).alias(out))
+    return found.select(*[F.col(f"{group}.{c}") for c in given], out)
 
 
 def _below(cuts):

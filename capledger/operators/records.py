@@ -56,18 +56,17 @@ def one_number(c: Column) -> Column:
 
 
 def validate(df: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
-    """(ok, rejected): rejected rows name their failing fields, ok rows have typed numbers."""
+    """(ok, rejected): ok rows have typed numbers; rejected rows have ``failing``, the fields
+    that are missing or not usable, and a ``reason`` that names them."""
     failing = [F.when(F.col(c).isNull(), c) for c in rules.required]
     failing += [F.when(one_number(F.col(c)).isNull(), c) for c in rules.numbers]
     failing += [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*ok), c) for c, ok in rules.allowed]
     judged = computed_once(df, {"__bad": F.filter(F.array(*failing), lambda c: c.isNotNull())})
-    named = F.array_join(F.transform("__bad", lambda c: F.concat(F.lit("'"), c, F.lit("'"))), ", ")
     ok = judged.where(F.size("__bad") == 0).drop("__bad").withColumns(
         {c: one_number(F.col(c)) for c in rules.numbers}
     )
-    rejected = judged.where(F.size("__bad") > 0).withColumn(
-        "reason", F.concat(F.lit("missing/invalid required field(s): ["), named, F.lit("]"))
-    ).drop("__bad")
+    rejected = judged.where(F.size("__bad") > 0).withColumnRenamed("__bad", "failing").withColumn(
+        "reason", F.concat(F.lit("not usable: "), F.array_join("failing", ", ")))
     return ok, rejected
 
 

@@ -30,21 +30,23 @@ def active_versions(registry: DataFrame, key: str = "document_key") -> DataFrame
     return first_per_key(registry.where("active_flag"), [key], [F.col("version_id").desc()])
 
 
-def upsert_versions(registry: DataFrame, incoming: DataFrame, force: bool = False) -> DataFrame:
+def upsert_versions(registry: DataFrame, incoming: DataFrame, force: bool = False, order: list[str] | None = None) -> DataFrame:
     """The registry after a delivery of documents, with what happened to each row.
 
-    ``incoming`` has document_key, document_hash and embed_model; of several
-    deliveries of one key the first by hash counts. ``outcome`` is kept, skipped
-    (same content), replaced (no longer active) or added.
+    ``incoming`` has document_key, document_hash and embed_model; of several deliveries
+    of one key the last in ``order`` counts, ties settled by the least hash. ``outcome`` is
+    kept, skipped (same content), replaced (no longer active) or added. A new version has
+    the number after the highest one that the key ever had, active or not.
     """
-    fresh = first_per_key(incoming, ["document_key"], [F.col("document_hash")])
+    fresh = first_per_key(incoming, ["document_key"], [*[F.col(c).desc_nulls_last() for c in order or []], F.col("document_hash")])
+    highest = registry.groupBy("document_key").agg(F.max("version_id").alias("__highest"))
     now = active_versions(registry).select(
         "document_key", F.col("document_hash").alias("__old"), F.col("version_id").alias("__version")
     )
-    judged = fresh.join(now, "document_key", "left").withColumn(
+    judged = fresh.join(now, "document_key", "left").join(highest, "document_key", "left").withColumn(
         "__same", F.coalesce(F.col("__old") == F.col("document_hash"), F.lit(False)) & F.lit(not force)
     )
-    version = F.coalesce(F.col("__version"), F.lit(0)) + 1
+    version = F.coalesce(F.col("__highest"), F.lit(0)) + 1
     added = judged.where(~F.col("__same")).select(
         F.sha2(F.concat_ws("|", "document_key", version.cast("string")), 256).alias("rag_id"),
         "document_key", "document_hash", "embed_model",

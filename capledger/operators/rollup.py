@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -128,8 +131,9 @@ def fact_conflicts(facts: DataFrame, key: list[str], value: str) -> DataFrame:
     # Reading the counts here too lets both sides of the join share one shuffle of the facts.
     torn = stated.groupBy(*key).agg(
         F.count(F.lit(1)).alias("values"), F.sum("statements").alias("all")
-    ).where("values > 1 AND all > 1").select(*key)
-    return stated.join(torn, key, "left_semi")
+    ).where("values > 1 AND all > 1").select(*[F.col(c).alias(f"__{c}") for c in key])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key])
+    return stated.join(torn, same, "left_semi")
 
 
 def profile(df: DataFrame, by: str, measure: str, multi: Column | None = None) -> DataFrame:
@@ -141,25 +145,20 @@ def profile(df: DataFrame, by: str, measure: str, multi: Column | None = None) -
     if multi is not None:
         aggs.append(F.avg((F.size(multi) > 1).cast("int")).alias("multi_share"))
     groups = df.groupBy(by).agg(*aggs)
-    return groups.join(exact_median(df, [by], measure), by, "left")
+    medians = exact_median(df, [by], measure).withColumnRenamed(by, "__by")
+    return groups.join(medians, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
 
 
-def fingerprint(df: DataFrame, column: str, longest: int = 10_000) -> str:
-    """Identifies the set of source hashes in ``df``.
+def fingerprint(df: DataFrame, column: str) -> str:
+    """Identifies the set of source hashes in ``df``, in one form at every size.
 
-    The sorted hashes joined by commas. Beyond ``longest`` of them a digest of the
-    set takes their place: it is a function of the set alone and adds up per task.
+    A SHA-256 of the sorted hashes of each bucket, by their first three characters, and
+    one over the digests of the buckets in order.
     """
     hashes = df.select(F.col(column).alias("h")).where(F.col(column).isNotNull()).distinct()
-    few = hashes.limit(longest + 1).agg(F.array_sort(F.collect_list("h")).alias("hs")).first()["hs"]
-    if len(few) <= longest:
-        return ",".join(few)
-    row = hashes.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bit_xor(F.xxhash64("h")).alias("x"),
-        F.sum(F.xxhash64(F.concat(F.lit("#"), "h")).cast("decimal(38,0)")).alias("s"),
-    ).first()
-    return f"set:{row['n']}:{row['x']}:{row['s']}"
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    buckets = hashes.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(listed("h"), 256).alias("d"))
+    return buckets.agg(F.sha2(listed(F.concat_ws(":", "b", "d")), 256).alias("mark")).first()["mark"]
 
 
 def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:

@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from capledger.operators.bounded import few_rows
 from capledger.operators.ordered import first_per_key
 
-QUERIES_AT_ONCE = 1_000
-DIGITS = 9  # similarities equal to this many digits are ties, settled by id
+QUERIES_AT_ONCE = 1_000  # rows of one matrix
+BYTES_AT_ONCE = 32 << 20  # of all query vectors that travel with one pass
 
 
 def normalize_vectors(df: DataFrame, vector: str) -> DataFrame:
@@ -33,46 +32,55 @@ def cosine_topk(
 ) -> DataFrame:
     """(scope, query_id, rank, id, similarity): the ``k`` nearest vectors of each query in each scope.
 
-    The queries travel with the tasks, up to 1,000 at a time; more are taken in
-    turns. Each task keeps ``k`` rows per scope and query of what it has read, and
-    only those are shuffled.
+    Equal similarities are settled by id; an undefined one (a zero vector) comes last. The
+    queries travel with the tasks, as many as fit into 32 MB in one pass over the vectors.
+    Each task keeps ``k`` rows per scope and query of what it has read, and only those are
+    shuffled. Queries with equal ids are one query with several vectors: each finds its own
+    rows, which are ranked together. A vector whose length is not that of the queries fails
+    the job; NULL vectors are left out.
     """
     scope = scope or []
-    n = queries.count()
-    turns = max(1, -(-n // (QUERIES_AT_ONCE // 2)))
-    out = None
-    for turn in range(turns):
-        part = queries.where(F.pmod(F.xxhash64(query_id), F.lit(turns)) == turn) if turns > 1 else queries
-        near = _nearest(vectors, _bounded(part.select(query_id, query_vector)), k, id_col, vector, query_id, scope, queries)
-        out = near if out is None else out.unionByName(near)
-    ranked = first_per_key(out, [*scope, query_id], [F.col("similarity").desc_nulls_last(), F.col(id_col)], k, "rank")
-    return ranked.select(*scope, query_id, "rank", id_col, "similarity")
-
-
-def _bounded(part: DataFrame):
-    rows = few_rows(part, QUERIES_AT_ONCE)
-    if rows is None:
-        raise ValueError("too many queries under one id")
-    return rows
-
-
-def _nearest(vectors, rows, k, id_col, vector, query_id, scope, queries) -> DataFrame:
+    passes = list(_matrices(queries.select(query_id, query_vector)))
     types = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     types[query_id] = queries.schema[query_id].dataType.simpleString()
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*scope, query_id, id_col]) + ", similarity double"
-    if not rows:
-        return vectors.sparkSession.createDataFrame([], schema)
-    names = pa.array([r[0] for r in rows], to_arrow_type(queries.schema[query_id].dataType))
-    matrix = _unit(np.array([r[1] for r in rows], dtype=np.float64))
+    out = vectors.sparkSession.createDataFrame([], schema)
+    picked = vectors.select(*scope, id_col, vector).where(F.col(vector).isNotNull())
+    id_type = to_arrow_type(queries.schema[query_id].dataType)
+    for blocks in passes:
+        named = [(pa.array(names, id_type), _unit(matrix)) for names, matrix in blocks]
+
+        def search(batches: Iterator[pa.RecordBatch], named=named) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for names, matrix in named:
+                    found = _best_of_batch(batch, matrix, names, k, id_col, vector, query_id, scope)
+                    if found is not None:
+                        yield found
+
+        out = out.unionByName(picked.mapInArrow(search, schema))
+    ranked = first_per_key(out, [*scope, query_id], [F.col("similarity").desc_nulls_last(), F.col(id_col)], k, "rank")
+    return ranked.select(*scope, query_id, "rank", id_col, "similarity")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _best_of_batch(batch, matrix, names, k, id_col, vector, query_id, scope)
-            if found is not None:
-                yield found
 
-    picked = vectors.select(*scope, id_col, vector).where(F.col(vector).isNotNull())
-    return picked.mapInArrow(search, schema)
+def _matrices(queries: DataFrame) -> Iterator[list[tuple[list, np.ndarray]]]:
+    """Matrices of at most ``QUERIES_AT_ONCE`` queries, in groups of at most ``BYTES_AT_ONCE``."""
+    group, names, rows, size = [], [], [], 0
+    for name, row in queries.toLocalIterator():
+        if rows and len(row) != len(rows[0]):
+            raise ValueError(f"query {name!r} has {len(row)} components, others {len(rows[0])}")
+        names.append(name)
+        rows.append(row)
+        size += 8 * len(row)
+        if len(rows) == QUERIES_AT_ONCE or size >= BYTES_AT_ONCE:
+            group.append((names, np.array(rows, dtype=np.float64)))
+            names, rows = [], []
+        if size >= BYTES_AT_ONCE:
+            yield group
+            group, size = [], 0
+    if rows:
+        group.append((names, np.array(rows, dtype=np.float64)))
+    if group:
+        yield group
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -86,8 +94,14 @@ def _best_of_batch(batch, matrix, names, k, id_col, vector, query_id, scope):
     if n == 0:
         return None
     column = batch.column(batch.schema.get_field_index(vector))
-    data = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-    near = np.round(_unit(data.reshape(n, -1)) @ matrix.T, DIGITS)
+    lengths = pc.list_value_length(column)
+    if pc.any(pc.not_equal(lengths, matrix.shape[1])).as_py():
+        at = pc.index(pc.not_equal(lengths, matrix.shape[1]), True).as_py()
+        wrong = batch.column(batch.schema.get_field_index(id_col))[at].as_py()
+        raise ValueError(f"vector {wrong!r} has {lengths[at].as_py()} components, the queries {matrix.shape[1]}")
+    data = _unit(np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, -1))
+    # A sum per row and query in a fixed order: equal vectors have equal similarities wherever they stand.
+    near = np.stack([(data * q).sum(axis=1) for q in matrix], axis=1)
     group = np.zeros(n, dtype=np.int64)
     for s in scope:
         codes = batch.column(batch.schema.get_field_index(s)).dictionary_encode().indices.fill_null(-1).to_numpy()

@@ -39,11 +39,13 @@ _TYPES = {"period_start": "int", "period_end": "int", "exceptions": "array<strin
 
 @dataclass
 class Extraction:
-    """Records of one kind of fact, before and after checking."""
+    """Records of one kind of fact, before and after checking, and the answers without any:
+    (concept, rag_id, chunk_id, answer, error) of calls that failed or gave no JSON."""
 
     records: DataFrame
     accepted: DataFrame
     rejected: DataFrame
+    failed: DataFrame
 
 
 def candidates(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -118,12 +120,22 @@ def extract(
     """
     found = stored(found, "candidates")
     tables, prose = A.route_by_kind(found) if kind.from_tables else (None, found)
-    records = prose_records(stored(ask_prose(prose, kind, ask), "prose-answers"), kind)
+    told = stored(ask_prose(prose, kind, ask), "prose-answers")
+    records, failed = prose_records(told, kind), failures(told, kind)
     if tables is not None:
-        records = R.union_records(table_records(stored(ask_tables(tables, kind, ask), "table-answers"), rows, kind), records)
+        told = stored(ask_tables(tables, kind, ask), "table-answers")
+        records = R.union_records(table_records(told, rows, kind), records)
+        failed = failures(told, kind).unionByName(failed)
     records = R.stamp_from_parent(records, known, "rag_id", "jurisdiction").withColumn("concept", F.lit(kind.name))
     accepted, rejected = R.validate(records, R.Rules.of(kind))
-    return Extraction(records, accepted, rejected)
+    return Extraction(records, accepted, rejected, failed)
+
+
+def failures(answered: DataFrame, kind: FactKind) -> DataFrame:
+    """Answers that hold no JSON, and calls that raised."""
+    _, broken = A.parse_answers(answered, "answer")
+    chunk = F.col("chunk_id").cast("long") if "chunk_id" in broken.columns else F.lit(None).cast("long")
+    return broken.select(F.lit(kind.name).alias("concept"), "rag_id", chunk.alias("chunk_id"), "answer", "error")
 
 
 def new_facts(stored: DataFrame, accepted: DataFrame, kind: FactKind) -> DataFrame:

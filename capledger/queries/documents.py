@@ -257,7 +257,7 @@ SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS
 
 @query("cosine_topk", f"""SELECT label, query_id, rank, vec_id, round(similarity, 6) AS similarity FROM (
 SELECT *, CAST(row_number() OVER (PARTITION BY label, query_id ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM (
-  SELECT label, query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), query_vector), 9) AS similarity
+  SELECT label, query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), query_vector) AS similarity
   FROM embeddings, ({CENTRES_SQL}))) WHERE rank <= 15""")
 def topk(spark, folder):
     near = cosine_topk(table(spark, folder, "embeddings"), label_centres(spark, folder), 15, "vec_id", "embedding", scope=["label"])

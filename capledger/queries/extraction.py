@@ -86,9 +86,9 @@ def keep_matches(spark, folder):
     return A.keep_matches(parsed, "parsed").select("event_id", "event_type")
 
 
-@query("render_questions", f"""SELECT event_id, 'Is ' || event_type || ' a {{fact}}?' || chr(10) || '[chunk_id=' || event_id || ' page=' ||
-CASE WHEN event_type = 'view' THEN 'None' ELSE CAST({_K} AS VARCHAR) END || ']' || chr(10) || props || chr(10) || 'Columns: ' ||
-CASE WHEN event_type = 'error' THEN '(none listed)' ELSE '''' || event_type || ''', ''Rate''' END AS question FROM events""")
+@query("render_questions", f"""SELECT event_id, 'Is ' || event_type || ' a {{fact}}?' || chr(10) || '<chunk id=' || event_id ||
+CASE WHEN event_type = 'view' THEN '' ELSE ' page=' || {_K} END || '>' || chr(10) || props || chr(10) || '</chunk>' || chr(10) || 'Columns: ' ||
+CASE WHEN event_type = 'error' THEN '(without names)' ELSE event_type || '; Rate' END AS question FROM events""")
 def render_questions(spark, folder):
     headers = F.when(F.col("event_type") != "error", F.array(F.col("event_type"), F.lit(""), F.lit("Rate")))
     page = F.when(F.col("event_type") != "view", _k())
@@ -128,10 +128,10 @@ def validate_ok(spark, folder):
     return ok.select("o_orderkey", "jurisdiction", "property_type", F.col("value").cast("double").alias("value"))
 
 
-@query("validate_rejects", f"""SELECT o_orderkey, 'missing/invalid required field(s): [''' || array_to_string(bad, ''', ''') || ''']' AS reason
+@query("validate_rejects", f"""SELECT o_orderkey, array_to_string(bad, ',') AS failing, 'not usable: ' || array_to_string(bad, ', ') AS reason
 FROM ({_BAD_SQL}) WHERE len(bad) > 0""")
 def validate_rejects(spark, folder):
-    return R.validate(_records(spark, folder), R.Rules.of(EMISSIONS_FACTOR))[1].select("o_orderkey", "reason")
+    return R.validate(_records(spark, folder), R.Rules.of(EMISSIONS_FACTOR))[1].select("o_orderkey", F.array_join("failing", ",").alias("failing"), "reason")
 
 
 @query("rows_by_column", """SELECT event_id, event_type AS label, CAST(value AS VARCHAR) AS value FROM events
@@ -170,11 +170,12 @@ def insert_new(spark, folder):
     return R.insert_new(keyed.where("value > 90"), keyed, ["user_id", "event_type", "period_start"], ["value", "event_id"])
 
 
-@query("union_records", """SELECT event_id, value, CASE WHEN event_type = 'purchase' THEN 't/sf' END AS unit FROM events WHERE event_type IN ('purchase', 'view')""")
+@query("union_records", """SELECT event_id, value, CASE WHEN event_type IN ('purchase', 'click') THEN 't/sf' END AS unit FROM events""")
 def union_records(spark, folder):
     events = table(spark, folder, "events")
-    a = events.where("event_type = 'purchase'").select("event_id", "value", F.lit("t/sf").alias("unit"))
-    return R.union_records(a, events.where("event_type = 'view'").select("event_id", "value"))
+    from_tables = F.col("event_type").isin("purchase", "click")
+    a = events.where(from_tables).select("event_id", "value", F.lit("t/sf").alias("unit"))
+    return R.union_records(a, events.where(~from_tables).select("event_id", "value"))
 
 
 @query("extraction_counts", f"""SELECT event_type AS concept, count(*) AS extracted, count(*) FILTER ({_K} < 10) AS skipped FROM events GROUP BY event_type""")
@@ -186,21 +187,23 @@ def extraction_counts(spark, folder):
 
 def _reply(row: dict) -> str:
     """A deterministic stand-in for the caller's annotation function."""
-    if row["k"] > 80:
+    if row["k"] is not None and row["k"] > 80:
         raise ValueError(f"k {row['k']}")
-    return f"{row['event_type']}:{row['k']}"
+    return f"{row['event_type']}:{row['k']}:{row['big']}"
 
 
-@query("annotate_candidates", f"""SELECT event_id, CASE WHEN {_K} <= 80 THEN event_type || ':' || {_K} END AS answer,
-CASE WHEN {_K} > 80 THEN 'ValueError: k ' || {_K} END AS error FROM events""")
+@query("annotate_candidates", f"""WITH e AS (SELECT event_id, event_type, CASE WHEN event_type <> 'view' THEN {_K} END AS k, 9007199254740992 + event_id AS big FROM events)
+SELECT big, k, CASE WHEN k > 80 THEN NULL ELSE event_type || ':' || coalesce(CAST(k AS VARCHAR), 'None') || ':' || big END AS answer,
+CASE WHEN k > 80 THEN 'ValueError: k ' || k END AS error FROM e""")
 def annotate_candidates(spark, folder):
-    events = table(spark, folder, "events").select("event_id", "event_type", _k().alias("k"))
-    return A.annotate(events, _reply, ["event_type", "k"], ["event_id"])
+    events = table(spark, folder, "events").select(
+        "event_type", F.when(F.col("event_type") != "view", _k()).alias("k"), (F.lit(9007199254740992) + F.col("event_id")).alias("big"))
+    return A.annotate(events, _reply, ["event_type", "k", "big"], ["big", "k"])
 
 
 def _expert(row: dict) -> str:
     """Answers the two kinds of questions of a fact extraction from the question's own text."""
-    ids = re.findall(r"\[chunk_id=(\d+) page", row["question"])
+    ids = re.findall(r"<chunk id=(\d+)", row["question"])
     if row["question"].startswith("Does this table"):
         return "```json\n" + json.dumps({
             "is_match": True, "jurisdiction": "Town", "label_column": "Type", "value_column": "Rate",
@@ -211,7 +214,7 @@ def _expert(row: dict) -> str:
 
 
 @query("facts_load", f"""WITH near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS rn FROM (
-  SELECT label, vec_id, embedding[1] > 0 AS is_table, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), query_vector), 9) AS similarity
+  SELECT label, vec_id, embedding[1] > 0 AS is_table, list_cosine_similarity(CAST(embedding AS DOUBLE[]), query_vector) AS similarity
   FROM embeddings JOIN ({CENTRES_SQL}) ON query_id = label)) WHERE rn <= 15)
 SELECT label AS rag_id, vec_id AS chunk_id, CASE WHEN is_table THEN 'Row ' || vec_id ELSE 'Prose ' || vec_id END AS property_type,
   CAST(CASE WHEN is_table THEN vec_id + 0.25 ELSE vec_id + 0.5 END AS DOUBLE) AS value, CASE WHEN label > 4 THEN 'City ' || label ELSE 'Town' END AS jurisdiction

@@ -43,16 +43,18 @@ def sanitize(spark, folder):
     return sanitize_columns(_raw_orders(spark, folder))
 
 
-@query("lineage_stamp", """SELECT l_returnflag, 'lineitem.parquet' AS source_file, true AS hashed, count(*) AS n, count(*) AS numbered
+@query("lineage_stamp", """SELECT l_returnflag, 'lineitem.parquet' AS source_file, 1 AS hashes, true AS hashed, count(*) AS n, count(*) AS numbered
 FROM lineitem GROUP BY l_returnflag""")
 def lineage_stamp(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_returnflag")
-    stamped = tables.with_lineage(lines, tables.file_hashes(spark, f"{folder}/lineitem.parquet"))
-    return stamped.groupBy("l_returnflag").agg(
+    files = tables.file_hashes(spark, f"{folder}/lineitem.parquet")
+    held = spark.read.format("binaryFile").load(f"{folder}/lineitem.parquet").agg(F.collect_set(F.sha2("content", 256)))
+    return tables.with_lineage(lines, files).groupBy("l_returnflag").agg(
         F.max("_source_file").alias("source_file"),
-        F.bool_and(F.length("_source_file_hash") == 64).alias("hashed"),
+        F.countDistinct("_source_file_hash").alias("hashes"),
+        F.bool_and(F.array_contains(held.scalar(), F.col("_source_file_hash"))).alias("hashed"),
         F.count(F.lit(1)).alias("n"),
-        F.count("_source_row_number").alias("numbered"),
+        F.countDistinct("_source_row_number").alias("numbered"),
     )
 
 
@@ -130,29 +132,42 @@ ELSE lpad(CAST(l_orderkey AS VARCHAR), 10, '0') || '   ' || CASE WHEN l_returnfl
  || format('{:,}', CAST(floor(l_extendedprice) AS BIGINT)) || '   '
  || CASE WHEN l_linenumber < 3 THEN '12 MAIN ST' WHEN l_linenumber < 5 THEN 'BROADWAY' ELSE 'OLD POST ROAD' END || '  '
  || CASE WHEN l_linestatus = 'O' THEN '10001-1234' ELSE '10027' END || CASE WHEN l_tax > 0.04 THEN '   Y' ELSE '' END END AS text FROM lineitem"""
-_NAMES_SQL = ", ".join(f"'{f}'" for f in covered_list.LINE_FIELDS)
-_PARSED_SQL = f"""SELECT regexp_extract(text, '{covered_list.LINE_LAYOUT}', [{_NAMES_SQL}]) AS f FROM ({_LINES_SQL})
-WHERE regexp_matches(text, '{covered_list.LINE_LAYOUT}')"""
-
-
-@query("layout_lines", "SELECT " + ", ".join(f"nullif(f.{c}, '') AS {c}" for c in covered_list.LINE_FIELDS) + f" FROM ({_PARSED_SQL})")
+_CELLS_SQL = f"""SELECT *, c[7] IS NOT NULL AND regexp_full_match(c[7], '[A-Z0-9]{{2}}') AND regexp_full_match(c[8], '[0-9][A-Z]?') AND regexp_full_match(c[9], '[0-9]+') AS e
+FROM (SELECT text, string_split_regex(text, ' {{2,}}') AS c FROM ({_LINES_SQL}) WHERE regexp_matches(text, '^[0-9]{{10}} '))"""
+_WORDS_SQL = f"""SELECT *, string_split_regex(array_to_string(c[pos + 3:], ' '), ' +') AS w, CAST(c[-1] NOT LIKE '% %' AND regexp_matches(c[-2], '(^| )[0-9]{{1,5}}(-[0-9]{{4}})?$') AND len(c) > pos + 5 AS INT) AS flagged
+FROM (SELECT *, CASE WHEN e THEN 7 ELSE 6 END AS pos FROM ({_CELLS_SQL}))"""
+_FIELDS_SQL = f"""SELECT text, c[1] AS bbl, c[2] AS requires_water_data, c[3] AS borough, c[4] AS block, c[5] AS lot, CASE WHEN e THEN c[6] END AS easement,
+  c[pos] AS building_class, c[pos + 1] AS tax_class, c[pos + 2] AS building_count, w[1] AS dof_square_footage,
+  CASE WHEN len(w) - flagged > 3 THEN w[2] END AS street_number, array_to_string(CASE WHEN len(w) - flagged > 3 THEN w[3:len(w) - flagged - 1] ELSE w[2:len(w) - flagged - 1] END, ' ') AS street_name,
+  w[len(w) - flagged] AS zip_code, CASE WHEN flagged = 1 THEN c[-1] END AS multi_building_lot_flag,
+  len(c) > pos + 3 AND c[2] IN ('Yes', 'No') AND regexp_full_match(w[1], '[0-9,]+') AND len(w) - flagged > 2 AND regexp_full_match(w[len(w) - flagged], '[0-9]{{1,5}}(-[0-9]{{4}})?') AS fits
+FROM ({_WORDS_SQL})"""
+_PARSED_SQL = f"SELECT * FROM ({_FIELDS_SQL}) WHERE fits"
+
+
+def _printed(spark, folder):
+    """The lines as text files, read back in their order."""
+    path = scratch_path(spark, "list")
+    _list_lines(spark, folder).write.text(path)
+    return covered_list.scan_lines(spark, path)
+
+
+@query("layout_lines", f"SELECT {', '.join(covered_list.LINE_FIELDS)} FROM ({_PARSED_SQL})")
 def layout_lines(spark, folder):
-    return covered_list.parse_layout_lines(_list_lines(spark, folder), "text")[0]
+    return covered_list.parse_layout_lines(_printed(spark, folder), "text")[0]
 
 
-@query("layout_unmatched", f"""SELECT text AS line FROM ({_LINES_SQL}) WHERE regexp_matches(text, '{covered_list.LINE_START}')
-AND NOT regexp_matches(text, '{covered_list.LINE_LAYOUT}')""")
+@query("layout_unmatched", f"SELECT text AS line FROM ({_FIELDS_SQL}) WHERE fits IS NOT TRUE")
 def layout_unmatched(spark, folder):
-    return covered_list.parse_layout_lines(_list_lines(spark, folder), "text")[1]
+    return covered_list.parse_layout_lines(_printed(spark, folder), "text")[1]
 
 
 @query("reload_dimension", f"""SELECT bbl, block, lot, building_count, dof_square_footage, requires_water_data FROM (
-SELECT f.bbl AS bbl, f.block AS block, f.lot AS lot, CAST(f.building_count AS INT) AS building_count,
-  CAST(replace(f.dof_square_footage, ',', '') AS DOUBLE) AS dof_square_footage, f.requires_water_data = 'Yes' AS requires_water_data,
-  row_number() OVER (PARTITION BY f.bbl ORDER BY f.block, f.lot, f.dof_square_footage, f.building_count) AS rn
+SELECT bbl, block, lot, CAST(building_count AS INT) AS building_count, CAST(replace(dof_square_footage, ',', '') AS DOUBLE) AS dof_square_footage,
+  requires_water_data = 'Yes' AS requires_water_data, row_number() OVER (PARTITION BY bbl ORDER BY block, lot, dof_square_footage, building_count) AS rn
 FROM ({_PARSED_SQL})) WHERE rn = 1""")
 def reload_dimension(spark, folder):
-    rows, _ = covered_list.parse_layout_lines(_list_lines(spark, folder), "text")
+    rows, _ = covered_list.parse_layout_lines(_printed(spark, folder), "text")
     loaded = covered_list.covered_buildings(rows, ["block", "lot", "dof_square_footage", "building_count"], "list.txt")
     path = scratch_path(spark, "covered")
     tables.write_table(loaded, path)
@@ -173,6 +188,30 @@ def bronze_load(spark, folder):
         (F.length("_source_file_hash") == 64).alias("hashed"), F.lit(again["skipped"]).alias("skipped_again"))
 
 
+_EARLY_SQL = "year(o_orderdate) < 1996"
+
+
+@query("bronze_mixed_headers", f"""SELECT CAST(o_orderkey AS VARCHAR) AS order_id, o_orderpriority AS notes, CAST(year(o_orderdate) AS VARCHAR) AS year_ending,
+CASE WHEN {_EARLY_SQL} AND o_orderkey % 2 = 1 THEN o_orderstatus END AS extra, CASE WHEN NOT {_EARLY_SQL} THEN CAST(o_custkey AS VARCHAR) END AS more,
+(SELECT count(*) FROM orders WHERE {_EARLY_SQL}) AS early_ids FROM orders""")
+def bronze_mixed_headers(spark, folder):
+    """Two extracts with other columns in another order in one load, and one more column in a second."""
+    orders = table(spark, folder, "orders")
+    key, notes, year = F.col("o_orderkey").cast("string").alias("Order Id"), F.col("o_orderpriority").alias("Notes"), F.year("o_orderdate").cast("string").alias("Year Ending")
+    early = F.year("o_orderdate") < 1996
+    a = orders.where(early & (F.col("o_orderkey") % 2 == 0)).select(key, year, notes)
+    b = orders.where(early & (F.col("o_orderkey") % 2 == 1)).select(notes, F.col("o_orderstatus").alias("Extra"), key, year)
+    c = orders.where(~early).select(year, F.col("o_custkey").cast("string").alias("More"), notes, key)
+    path = scratch_path(spark, "mixed")
+    first, second, third = (_write_csv(x, scratch_path(spark, "extract")) for x in (a, b, c))
+    plans.load_raw(spark, [first, second], path)
+    ids = plans.read_raw(spark, path).agg(F.countDistinct("_source_row_number")).first()[0]
+    plans.load_raw(spark, third, path)
+    return plans.read_raw(spark, path).select(
+        F.col("Order_Id").alias("order_id"), F.col("Notes").alias("notes"), "year_ending", F.col("Extra").alias("extra"), F.col("More").alias("more"),
+        F.lit(ids).alias("early_ids"))
+
+
 def _raw_filings(spark, folder):
     """Order lines as raw filings: one order is a property, its lines amended submissions."""
     given = {

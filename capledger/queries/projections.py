@@ -137,7 +137,7 @@ OR o_custkey + 1 IN (SELECT p_partkey FROM part WHERE p_size > 40) AS is_listed
 def membership_any(spark, folder):
     parts = table(spark, folder, "part").where("p_size > 40").select(F.col("p_partkey").alias("key"))
     orders = table(spark, folder, "orders").select("o_orderkey", F.array("o_custkey", F.col("o_custkey") + 1).alias("keys"))
-    return membership.flag_any_member(orders, parts, "o_orderkey", "keys", "key").select("o_orderkey", "is_listed")
+    return membership.flag_any_member(orders, parts, "keys", "key").select("o_orderkey", "is_listed")
 
 
 @query("coverage_filter", f"""SELECT c_custkey AS entity, c_acctbal AS area FROM customer

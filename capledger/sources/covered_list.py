@@ -2,49 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capledger.functions.columns import computed_once
 from capledger.operators.ordered import first_per_key
+from capledger.sources.tables import write_table
 
-# The layout of one line, its fields in order, and how a line of the list begins.
-LINE_LAYOUT = (
-    r"^(\d{10})\s{2,}(Yes|No)\s{2,}(\d)\s{2,}(\d+)\s{2,}(\d+)\s{2,}(?:(\S+)\s{2,})?"
-    r"([A-Z0-9]{2})\s{2,}(\d[A-Z]?)\s{2,}(\d+)\s{2,}([\d,]+)\s+(?:(\S+)\s+)?(.+?)\s+"
-    r"(\d{1,5}(?:-\d{4})?)(?:\s{2,}(\S+))?\s*$"
-)
+# The fields of the list, in the order of a line.
 LINE_FIELDS = (
     "bbl", "requires_water_data", "borough", "block", "lot", "easement", "building_class", "tax_class",
     "building_count", "dof_square_footage", "street_number", "street_name", "zip_code", "multi_building_lot_flag",
 )
-LINE_START = r"^\d{10}\s"
-_MARK = "\u0001"
+LINE_START = "^[0-9]{10} "
+GAP = " {2,}"  # columns are at least two blanks apart
+#: Shapes of single cells.
+DIGITS, LETTERS_2, TAX, AREA, ZIP = "^[0-9]+$", "^[A-Z0-9]{2}$", "^[0-9][A-Z]?$", "^[0-9,]+$", "^[0-9]{1,5}(-[0-9]{4})?$"
 
 
-def split_layout(line: Column, layout: str, fields: int) -> Column:
-    """The captured fields of a line as an array; a line that does not match is one field.
+def split_line(line: Column) -> dict[str, Column]:
+    """The fields of a line by their place, and ``fits``: whether all have their shape.
 
-    One pass of the pattern yields all fields; a field that is absent is NULL.
+    Five cells lead; an easement may stand before the building class; after the area come
+    the words of the address, whose first is a street number if others follow, the zip code,
+    and in a cell of its own an optional flag.
     """
-    joined = _MARK.join(f"${i}" for i in range(1, fields + 1))
-    parts = F.split(F.regexp_replace(line, layout, joined), _MARK)
-    return F.transform(parts, lambda p: F.nullif(p, F.lit("")))
+    cells = F.split(line, GAP)
+    cell = lambda i: F.coalesce(F.get(cells, F.lit(i) if isinstance(i, int) else i), F.lit(""))
+    shaped = lambda c, shape: c.rlike(shape)
+    has_easement = shaped(cell(6), LETTERS_2) & shaped(cell(7), TAX) & shaped(cell(8), DIGITS) & shaped(F.split(cell(9), " ")[0], AREA)
+    at = F.when(has_easement, 6).otherwise(5)
+    words = F.split(F.array_join(F.slice(cells, at + 4, F.greatest(F.size(cells) - at - 3, F.lit(0))), " "), " +")
+    count = F.size(cells)
+    before = F.split(cell(count - 2), " ")
+    flagged = ~cell(count - 1).contains(" ") & shaped(F.get(before, F.size(before) - 1), ZIP) & (count - 2 > at + 3)
+    last = F.size(words) - F.when(flagged, 1).otherwise(0)
+    street = F.filter(F.slice(words, F.lit(2), F.greatest(last - 2, F.lit(0))), lambda w: w != "")
+    numbered = F.size(street) > 1
+    fits = [
+        shaped(cell(0), "^[0-9]{10}$"), cell(1).isin("Yes", "No"), shaped(cell(2), "^[0-9]$"), shaped(cell(3), DIGITS), shaped(cell(4), DIGITS),
+        shaped(cell(at), LETTERS_2), shaped(cell(at + 1), TAX), shaped(cell(at + 2), DIGITS), shaped(words[0], AREA),
+        F.size(street) > 0, F.coalesce(shaped(F.get(words, last - 1), ZIP), F.lit(False)),
+    ]
+    parts = [
+        cell(0), cell(1), cell(2), cell(3), cell(4), F.when(has_easement, cell(5)), cell(at), cell(at + 1), cell(at + 2), words[0],
+        F.when(numbered, street[0]), F.array_join(F.when(numbered, F.slice(street, 2, F.size(street))).otherwise(street), " "),
+        F.get(words, last - 1), F.when(flagged, cell(count - 1)),
+    ]
+    return {**dict(zip(LINE_FIELDS, parts, strict=True)), "fits": reduce(and_, fits)}
+
 
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, text): the lines of text files in their order. Numbers rise within a
+    file and are not consecutive."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("text"))
 
-def parse_layout_lines(
-    lines: DataFrame, text: str, start: str = LINE_START, layout: str = LINE_LAYOUT,
-    fields: tuple[str, ...] = LINE_FIELDS, keep: tuple[str, ...] = (),
-) -> tuple[DataFrame, DataFrame]:
+
+def parse_layout_lines(lines: DataFrame, text: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(rows, unmatched): parsed lines, and lines that begin like one and do not fit.
 
     Other lines (headers, footers, notes) are ignored.
     """
-    begun = lines.select(*keep, F.trim(F.col(text)).alias("line")).where(F.col("line").rlike(start))
-    read = computed_once(begun, {"f": split_layout(F.col("line"), layout, len(fields))})
-    fitting = F.size("f") == len(fields)
-    rows = read.where(fitting).select(*keep, *[F.col("f")[i].alias(name) for i, name in enumerate(fields)])
-    return rows, read.where(~fitting).select(*keep, "line")
+    begun = lines.select(*keep, F.trim(F.col(text)).alias("line")).where(F.col("line").rlike(LINE_START))
+    read = computed_once(begun, split_line(F.col("line")))
+    return read.where("fits").select(*keep, *LINE_FIELDS), read.where("NOT fits").select(*keep, "line")
+
+
+def reload_covered_list(spark: SparkSession, text_path: str, table_path: str, source_file: str) -> dict:
+    """Replaces the table of covered buildings by what the text files list; the first line of a
+    lot wins. Returns how many lots there are and how many lines did not fit."""
+    rows, unmatched = parse_layout_lines(scan_lines(spark, text_path), "text", keep=("file", "line_no"))
+    write_table(covered_buildings(rows, ["file", "line_no"], source_file).drop("file", "line_no"), table_path)
+    return {"lots": spark.read.parquet(table_path).count(), "unmatched": unmatched.count()}
 
 
 def covered_buildings(rows: DataFrame, order: list[str], source_file: str) -> DataFrame:

@@ -10,19 +10,22 @@ from pyspark.sql.utils import AnalysisException
 from capledger.operators.bounded import lookup_join
 
 NO_PARTITION = "<null>"
+HEADER_BYTES = 1 << 20  # more than any header line has
 
 
 def read_raw_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All columns as text, as in the file; quoted fields may hold commas and newlines.
 
-    A file with quoted newlines cannot be split, so it is one task: deliver large
-    extracts as many files.
+    All files must have the same header line; a file with another one fails the job. A file
+    with quoted newlines cannot be split, so it is one task: deliver large extracts as many
+    files.
     """
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    return spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False, multiLine=True, escape='"')
 
 
 def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, file_path, file_name, length, file_hash) with the SHA-256 of each file's bytes.
+    """(path, file_path, file_name, length, file_hash, header): the SHA-256 of each file's
+    bytes, and its first line.
 
     ``path`` opens the file, ``file_path`` is how rows read from it name it. One task
     holds one file, of up to 2 GB.
@@ -31,6 +34,7 @@ def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.select(
         "path", "_metadata.file_path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length",
         F.sha2("content", 256).alias("file_hash"),
+        F.substring_index(F.substring("content", 1, HEADER_BYTES).cast("string"), "\n", 1).alias("header"),
     )
 
 
@@ -52,20 +56,28 @@ def with_lineage(df: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """A lake table, or None where there is none yet.
+    """A lake table, or None where there is none yet; without ``schema`` with the columns of
+    all its files.
 
     Pass the schema of tables partitioned by text: partition values are otherwise
     read as numbers or dates where they look like them.
     """
+    if not _exists(spark, path):
+        return None
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        return reader.parquet(path)
+        return reader.option("mergeSchema", schema is None).parquet(path)
     except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return None
         raise
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Replaces the whole table."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")

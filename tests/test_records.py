@@ -60,7 +60,7 @@ def test_validation_names_the_failing_fields(spark):
         (1, "NYC", "Office", 2024, 2029, "0.00758", "t"), (2, None, "Office", 2024, None, "0.1 0.2", "t")], RECORD)
     ok, bad = R.validate(df, R.Rules.of(V.EMISSIONS_FACTOR))
     assert [(r["chunk_id"], float(r["value"])) for r in ok.collect()] == [(1, 0.00758)]
-    assert [r["reason"] for r in bad.collect()] == ["missing/invalid required field(s): ['jurisdiction', 'period_end', 'value']"]
+    assert [r["reason"] for r in bad.collect()] == ["not usable: jurisdiction, period_end, value"]
 
 
 def test_allowed_values_are_checked_when_asked(spark):
@@ -117,13 +117,13 @@ def test_questions(spark):
     out = A.render_questions(df, "{a} and {b}\n{c}{d}", {
         "a": A.candidate_block(F.col("chunk_id"), F.col("page"), F.col("text")), "b": A.headers_line(F.col("heads")),
         "c": A.headers_line(F.lit(None).cast("array<string>"))}).first()["question"]
-    assert out == "[chunk_id=7 page=None]\nbody {text} and 'Type'\n(none listed){d}"
+    assert out == "<chunk id=7>\nbody {text}\n</chunk> and Type\n(without names){d}"
 
 
 def expert(row):
     """Plays the part of the caller's model."""
     q = row["question"]
-    ids = [int(i) for i in re.findall(r"\[chunk_id=(\d+)", q)]
+    ids = [int(i) for i in re.findall(r"<chunk id=(\d+)", q)]
     if q.startswith("Which jurisdiction"):
         return '```json\n{"jurisdiction": " New York City "}\n```'
     if "is_match" in q:
@@ -155,7 +155,7 @@ def test_facts_from_tables_and_prose(spark):
     assert {(r["property_type"], float(r["value"]), r["jurisdiction"], r["chunk_id"]) for r in caps.accepted.collect()} == {
         ("Office", 0.00758, "New York City", 2), ("Bank", 0.00987, "New York City", 2)}
     assert [(r["property_type"], r["reason"]) for r in caps.rejected.collect()] == [
-        ("Hotel", "missing/invalid required field(s): ['value']")] * 2
+        ("Hotel", "not usable: value")] * 2
     counts = R.extraction_counts(caps.records, caps.rejected).collect()
     assert [tuple(r) for r in counts] == [("EmissionsFactor", 4, 2)]
     penalties = plans.extract(found.where("chunk_id <> 4"), rows, V.PENALTY_RULE, expert, known)

@@ -168,7 +168,9 @@ def test_median_of_hot_and_small_groups(spark, monkeypatch, small):
 
 def test_fingerprint_is_of_the_set(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "h string")
-    assert fingerprint(df, "h") == "a,b"
-    long = fingerprint(df, "h", longest=1)
-    assert long.startswith("set:2:") and long == fingerprint(df.distinct(), "h", longest=1)
-    assert long != fingerprint(df.where("h = 'a'").union(spark.createDataFrame([("c",)], "h string")), "h", longest=1)
+    mark = fingerprint(df, "h")
+    assert len(mark) == 64 and mark == fingerprint(df.distinct(), "h") == fingerprint(df.repartition(5), "h")
+    assert mark != fingerprint(df.where("h = 'a'").union(spark.createDataFrame([("c",)], "h string")), "h")
+    many = spark.range(20_000).selectExpr("sha2(string(id), 256) AS h")
+    assert len(fingerprint(many, "h")) == 64 and fingerprint(many, "h") != fingerprint(many.limit(19_999), "h")
+    assert fingerprint(df.where("h IS NULL"), "h") == fingerprint(df.limit(0), "h")
