@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from capledger.llm.decontaminate import contaminations
 from capledger.llm.html_text import extract_texts, fit_weights
 from capledger.llm.language_crf import languages_of
-from capledger.llm.mixing import mix_sources
+from capledger.llm.mixing import BITS, BLOCK_TOKENS, MOST_BLOCKS, mix_sources
 from capledger.llm.order_minhash import near_duplicate_classes
-from capledger.llm.spherical import embedding_duplicates
+from capledger.llm.spherical import COSINE, embedding_duplicates
 from capledger.llm.surrogates import replace_entities
 from capledger.llm.token_counts import token_length_report
 from capledger.llm.toxicity import toxicity_scores
-from capledger.llm.warc import read_archives, resolved, write_archives
+from capledger.llm.warc import LEAST_REVISIT, read_archives, resolved, write_archives
 from capledger.sources.scratch import scratch_path
 
 #: A deployment passes a secret of its own.
@@ -54,7 +54,13 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return languages_of(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
-@query("op3_warc_segments")
+OP3_SQL = f"""SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to, CAST(NULL AS VARCHAR) AS fault
+FROM (SELECT *, octet_length(encode(payload)) >= {LEAST_REVISIT} AND last IS NOT NULL AND page_id IS DISTINCT FROM last AS again
+  FROM (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages))"""
+
+
+@query("op3_warc_segments", OP3_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(table(spark, folder, "pages"), path)
@@ -72,12 +78,42 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return replaced.select("doc_id", "text", "n_entities")
 
 
-@query("op6_spherical_cells")
+OP6_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+usable AS (SELECT * FROM v WHERE x IS NOT NULL AND label IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  AND list_cosine_similarity(a.x, b.x) >= {COSINE}),
+reached(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links, min(other) AS component_id, v.vec_id = min(other) AS kept
+FROM v JOIN reached r ON r.vec_id = v.vec_id GROUP BY v.vec_id"""
+
+
+@query("op6_spherical_cells", OP6_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_duplicates(table(spark, folder, "embeddings"))
 
 
-@query("op7_temperature_mixing")
+_REPEATS = "total * list_max(list_transform(t, lambda x: exp({a} * ln(x / peak)) / x)) / list_sum(list_transform(t, lambda x: exp({a} * ln(x / peak))))"
+_NEXT = "(low + pow(0.5, i + 1))"
+OP7_SQL = f"""WITH RECURSIVE r AS (SELECT doc_id, source, coalesce('=' || source, '~') AS key, coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+  CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 0) AS BIGINT) AS n FROM documents),
+s AS (SELECT key, CAST(sum(n) AS BIGINT) AS tokens FROM r GROUP BY key HAVING sum(n) > 0),
+l AS (SELECT list(CAST(tokens AS DOUBLE) ORDER BY key) AS t, CAST(sum(tokens) AS DOUBLE) AS total, CAST(max(tokens) AS DOUBLE) AS peak FROM s),
+bisected(i, low) AS (SELECT 0, CAST(0 AS DOUBLE) UNION ALL
+  SELECT i + 1, CASE WHEN {_REPEATS.format(a=_NEXT)} > {MOST_REPETITIONS} THEN {_NEXT} ELSE low END FROM bisected, l WHERE i < {BITS}),
+e AS (SELECT CASE WHEN {_REPEATS.format(a="1.0")} > {MOST_REPETITIONS} THEN 1.0 WHEN {_REPEATS.format(a="0.0")} <= {MOST_REPETITIONS} THEN 0.0
+  ELSE low + pow(0.5, {BITS}) END AS a, total FROM bisected, l WHERE i = {BITS}),
+w AS (SELECT key, tokens, exp(a * ln(CAST(tokens AS DOUBLE) / total)) AS power, total FROM s, e),
+p AS (SELECT *, own // tokens AS epochs, own % tokens AS rest FROM (SELECT key, tokens, CAST(floor(power / (SELECT sum(power) FROM w) * total) AS BIGINT) AS own,
+  least({MOST_BLOCKS}, CAST(ceil(tokens / {BLOCK_TOKENS}) AS BIGINT)) AS blocks FROM w)),
+partial AS (SELECT DISTINCT key, id FROM (SELECT key, id, rest, sum(n) OVER (PARTITION BY key ORDER BY o RANGE UNBOUNDED PRECEDING) AS so_far
+  FROM (SELECT r.key, id, n, rest, md5('mix|' || epochs || '|' || r.key || '|' || id) AS o FROM r JOIN p USING (key))) WHERE so_far <= rest AND rest > 0),
+copies AS (SELECT r.*, p.*, unnest(range(epochs + CASE WHEN q.id IS NULL THEN 0 ELSE 1 END)) AS epoch
+  FROM r JOIN p ON p.key = r.key LEFT JOIN partial q ON q.key = r.key AND q.id = r.id),
+placed AS (SELECT *, CAST(floor(CAST('0x' || left(md5('mix|' || epoch || '|' || key || '|' || id), 8) AS BIGINT) * blocks / pow(2, 32)) AS BIGINT) AS block FROM copies)
+SELECT doc_id, source, n AS n_tokens, CAST(epoch AS INT) AS epoch, block, least((epoch * blocks + block + 0.5::DOUBLE) / (blocks * own / tokens + 1), 1.0::DOUBLE) AS slot FROM placed"""
+
+
+@query("op7_temperature_mixing", OP7_SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix_sources(table(spark, folder, "documents"), repetitions=MOST_REPETITIONS)
     return mixed.select("doc_id", "source", *[F.col(f"mix_{c}").alias(c) for c in ("n_tokens", "epoch", "block", "slot")])

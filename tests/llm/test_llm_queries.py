@@ -1,9 +1,14 @@
 """The registered queries over the smallest tables, and what their columns are."""
 
 import pathlib
+import sys
 
 import pytest
 
+sys.path[:0] = [str(pathlib.Path(__file__).parents[1])]
+
+from compare import compare, connect
+
 from capledger.llm.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,3 +39,9 @@ def test_one_row_for_each_row(spark, op):
     key = columns.split()[0]
     want = spark.read.parquet(f"{FOLDER}/{table}.parquet")
     assert sorted(r[0] for r in got.select(key).collect()) == sorted(r[0] for r in want.select(key).collect())
+
+
+@pytest.mark.parametrize("name", SQL)
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.01"])
+def test_query_agrees_with_its_sql(spark, name, folder):
+    assert compare(QUERIES[name](spark, folder), connect(folder), SQL[name]) is None
