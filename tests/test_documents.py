@@ -205,7 +205,7 @@ def test_registry_versions(spark):
 @pytest.mark.parametrize("at_once", [2, 1000])
 def test_nearest_vectors_against_numpy(spark, monkeypatch, at_once):
     monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", at_once)
-    monkeypatch.setattr(vectors, "_bounded", lambda part: part.collect())
+    monkeypatch.setattr(vectors, "BYTES_AT_ONCE", 64 * at_once)
     rng = np.random.default_rng(0)
     data = rng.normal(size=(300, 8))
     data[10:20] = data[5]
