@@ -14,6 +14,7 @@ class FactKind:
     key: tuple[str, ...]            # natural key within one document version
     from_tables: bool               # usually printed as a table, not as prose
     hint: str                       # what to search the document for
+    about: str                      # what the fact says, for a question
     optional: tuple[str, ...] = ()
     allowed: tuple[str, ...] = field(default=())  # allowed values of `label`
 
@@ -61,6 +62,7 @@ EMISSIONS_FACTOR = FactKind(
     key=("rag_id", "jurisdiction", "property_type", "period_start", "period_end"),
     from_tables=True,
     hint="emissions caps by property type and compliance period",
+    about="the most a building of one type may emit per unit of floor area and year, in one span of years",
     optional=("extracted_quote",),
 )
 FUEL_COEFFICIENT = FactKind(
@@ -71,6 +73,7 @@ FUEL_COEFFICIENT = FactKind(
     key=("rag_id", "jurisdiction", "fuel_type", "period_start", "period_end"),
     from_tables=True,
     hint="emissions coefficients by fuel or energy source and compliance period",
+    about="how much one unit of a fuel or of bought energy counts as emitted, in one span of years or in all",
     optional=("period_start", "period_end", "extracted_quote"),
     allowed=FUEL_TYPES,
 )
@@ -82,6 +85,7 @@ PENALTY_RULE = FactKind(
     key=("rag_id", "chunk_id", "jurisdiction", "rule_type"),
     from_tables=False,
     hint="civil penalty for exceeding the limit, failing to file, false statements",
+    about="what an owner pays for one kind of breach, and per what",
     optional=("period_start", "period_end", "formula_description", "extracted_quote"),
     allowed=RULE_TYPES,
 )
@@ -93,7 +97,28 @@ COVERED_BUILDING_RULE = FactKind(
     key=("rag_id", "chunk_id", "jurisdiction", "threshold_type"),
     from_tables=False,
     hint="which buildings are covered: floor area thresholds and exemptions",
+    about="from what floor area on the rules bind a building, or several on one lot, and who is exempt",
     optional=("aggregation_rule", "exceptions", "extracted_quote"),
     allowed=THRESHOLD_TYPES,
 )
 FACT_KINDS = {k.name: k for k in (EMISSIONS_FACTOR, FUEL_COEFFICIENT, PENALTY_RULE, COVERED_BUILDING_RULE)}
+
+#: What a field is meant to hold, for a question.
+FIELD_NOTES = {
+    "jurisdiction": "The city, county or state whose rule it is",
+    "property_type": "The use of the building, as the rule names it",
+    "fuel_type": "The fuel or energy source",
+    "rule_type": "The breach that is fined",
+    "threshold_type": "Whether the area is that of one building or of all on a lot",
+    "value": "One number, digits and a point only",
+    "rate": "One number, without its currency",
+    "threshold_sf": "One number of square feet",
+    "unit": "The unit of the number, as printed",
+    "rate_unit": "Currency, and per what",
+    "period_start": "First year, four digits",
+    "period_end": "Last year, four digits",
+    "formula_description": "How the amount is worked out, in a sentence",
+    "aggregation_rule": "How areas on one lot are added up",
+    "exceptions": "Each exemption as one text",
+    "extracted_quote": "The words of the document that state it",
+}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SPAN = 100_000
+PUSHED_RANKS = 1_000
 
 
 def ordered_scan(
@@ -76,8 +77,17 @@ def ordered_scan(
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int = 1, rank: str | None = None) -> DataFrame:
-    """The first ``k`` rows of each key; the rank limit applies before the shuffle too."""
+    """The first ``k`` rows of each key; the rank limit applies before the shuffle too.
+
+    Spark limits ranks before a shuffle up to ``PUSHED_RANKS``. For more, the first ``k`` are
+    picked from each of many parts of a key before those are ranked together, so no task
+    gets a whole large key. ``order`` should be total, else ties are settled by chance.
+    """
     name = rank or "__rank"
     w = Window.partitionBy(*keys).orderBy(*order)
+    if k > PUSHED_RANKS:
+        part = Window.partitionBy(*keys, "__part").orderBy(*order)
+        parted = df.withColumn("__part", F.spark_partition_id())
+        df = parted.withColumn(name, F.row_number().over(part)).where(F.col(name) <= k).drop(name, "__part")
     out = df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
     return out if rank else out.drop(name)

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capledger.functions.vocabulary import FactKind
+from capledger.functions.vocabulary import FACT_KINDS, FIELD_NOTES, FactKind
 from capledger.operators import answers as A
 from capledger.operators import records as R
 from capledger.operators.bounded import fits
+from capledger.operators.layout import first_k_text
 from capledger.operators.vectors import cosine_topk
 from capledger.sources.scratch import stored
 
 TOP_K = 15
 
-MATCH_QUESTION = """Does this table state the fact {concept}?
+MATCH_QUESTION = """Does this table state the fact {concept}, that is {about}?
 {candidate}
 Columns: {columns}
 Answer with JSON: is_match, jurisdiction, label_column, value_column, period_start, period_end, unit."""
 
-PROSE_QUESTION = """List every {concept} stated below, as JSON {"records": [...]}.
+PROSE_QUESTION = """List every {concept} stated below, as JSON {"records": [...]}. It is {about}.
 Fields:
 {fields}
 {candidate}"""
@@ -67,6 +69,7 @@ def jurisdictions(first_texts: DataFrame, ask: Callable[[dict], object]) -> Data
 def ask_tables(found: DataFrame, kind: FactKind, ask: Callable[[dict], object]) -> DataFrame:
     asked = A.render_questions(found, MATCH_QUESTION, {
         "concept": F.lit(kind.name),
+        "about": F.lit(kind.about),
         "candidate": A.candidate_block(F.col("chunk_id"), F.col("page_number"), F.col("full_text")),
         "columns": A.headers_line(F.col("column_headers")),
     })
@@ -80,7 +83,7 @@ def ask_prose(found: DataFrame, kind: FactKind, ask: Callable[[dict], object]) -
         (f, "number" if f == kind.number else _TYPES.get(f, "string"), f in kind.required or f == kind.number,
          kind.allowed if f == kind.label else ())
         for f in kind.fields
-    ])
+    ], FIELD_NOTES)
     block = A.candidate_block(F.col("chunk_id"), F.col("page_number"), F.col("raw_text"))
     if kind.from_tables:
         blocks = found.select("rag_id", block.alias("candidate"))
@@ -89,7 +92,7 @@ def ask_prose(found: DataFrame, kind: FactKind, ask: Callable[[dict], object]) -
             F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("bs")
         ).select("rag_id", F.array_join(F.transform("bs", lambda x: x["b"]), "\n---\n").alias("candidate"))
     asked = A.render_questions(blocks, PROSE_QUESTION, {
-        "concept": F.lit(kind.name), "fields": F.lit(fields), "candidate": F.col("candidate"),
+        "concept": F.lit(kind.name), "about": F.lit(kind.about), "fields": F.lit(fields), "candidate": F.col("candidate"),
     })
     return A.annotate(asked, ask, ["question"], ["rag_id"])
 
@@ -140,3 +143,29 @@ def failures(answered: DataFrame, kind: FactKind) -> DataFrame:
 
 def new_facts(stored: DataFrame, accepted: DataFrame, kind: FactKind) -> DataFrame:
     return R.insert_new(stored, accepted, list(kind.key), ["chunk_id", kind.label, kind.number])
+
+
+def load_facts(
+    chunks: DataFrame, vectors: DataFrame, rows: DataFrame, queries: DataFrame, targets: Mapping[str, DataFrame],
+    ask: Callable[[dict], object], kinds: Mapping[str, FactKind] = FACT_KINDS, opening: int = 3, k: int = TOP_K,
+) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, DataFrame]:
+    """All kinds of facts of some documents: (new facts by kind, counts, rejected, failed).
+
+    ``queries`` has (query_id, query_vector) with the kind's name as id, ``targets`` the facts
+    that are there. One search serves all kinds; jurisdictions are asked for once per
+    document. ``counts`` is (concept, extracted, skipped); ``rejected`` names the failing
+    fields, ``failed`` the calls and answers that gave nothing.
+    """
+    known = stored(jurisdictions(first_k_text(chunks, "rag_id", opening), ask), "known")
+    found = stored(candidates(chunks, vectors, queries, k), "found")
+    fresh, counts, rejected, failed = {}, [], [], []
+    for name, kind in kinds.items():
+        got = extract(found.where(F.col("query_id") == name).drop("query_id"), rows, kind, ask, known)
+        records = stored(got.records, "records")
+        ok, bad = R.validate(records, R.Rules.of(kind))
+        fresh[name] = stored(new_facts(targets[name], ok, kind), "new-facts")
+        counts.append(R.extraction_counts(records, bad))
+        rejected.append(bad.select("concept", "rag_id", F.col("chunk_id").cast("long").alias("chunk_id"), "failing", "reason"))
+        failed.append(got.failed)
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return fresh, union(counts), union(rejected), union(failed)

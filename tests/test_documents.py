@@ -242,3 +242,41 @@ def test_registration_marks_what_to_parse_again(spark):
     later = spark.createDataFrame([("a", "text a"), ("b", "new text")], "document_key string, text string")
     _, again = plans.register(held.drop("outcome"), later, "m")
     assert [r["document_key"] for r in again.collect()] == ["b"]
+
+
+def test_store_keeps_earlier_versions(spark, tmp_path):
+    root = str(tmp_path / "docs")
+    empty = spark.createDataFrame([], "rag_id string, document_key string, document_hash string, embed_model string, version_id int, active_flag boolean")
+    embed = lambda c: c.select("doc", "chunk_id", F.array(F.length("embed_text").cast("float")).alias("embedding"))
+    first = spark.createDataFrame([("a", "one two\nthree", 1), ("b", "four", 1), ("b", "four", 1), ("c", "old", 1), ("c", "new", 2)], "document_key string, text string, sent int")
+    held, counts = plans.ingest(empty, first, "m", 2, root, embed=embed, order=["sent"])
+    assert counts == {"added": 3, "skipped": 0}
+    later = spark.createDataFrame([("a", "one two\nthree", 3), ("c", "newer", 3)], first.schema)
+    held, counts = plans.ingest(held, later, "m", 2, root, embed=embed, order=["sent"])
+    assert counts == {"added": 1, "skipped": 1}
+    chunks = spark.read.parquet(f"{root}/document_chunks")
+    assert sorted(r["raw_text"] for r in chunks.collect()) == ["four", "new", "newer", "one two", "three"]
+    assert spark.read.parquet(f"{root}/document_vectors").count() == 5
+    inactive = held.withColumn("active_flag", F.lit(False))
+    again, _ = plans.ingest(inactive, later.where("sent = 3 AND document_key = 'c'"), "m", 2, root)
+    assert {(r["version_id"]) for r in again.where("document_key = 'c'").collect()} == {1, 2, 3}
+    assert again.select("rag_id").distinct().count() == again.count()
+
+
+def test_null_documents_and_flags(spark):
+    from capledger.operators.cleanse import drop_revisions
+    from capledger.operators.layout import table_rows
+
+    items = spark.createDataFrame([(None, 1, "x"), (None, 2, "H"), (None, 3, "y"), ("d", 1, "z")], "doc string, ord int, t string")
+    kept = drop_revisions(items, "doc", "ord", F.col("t") == "H").collect()
+    assert sorted(r["t"] for r in kept) == ["H", "y", "z"]
+    cells = spark.createDataFrame([("d", "t1", 0, 0, "v", None, None)], "doc string, table_ref string, row int, col int, text string, column_header boolean, row_section boolean")
+    tables = spark.createDataFrame([("d", "t1", ["A"], False, False)], "doc string, table_ref string, headers array<string>, skip_first_row boolean, is_continuation boolean")
+    assert [r["cells"] for r in table_rows(cells, tables).collect()] == [{"A": "v"}]
+
+
+def test_vectors_of_other_lengths_are_refused(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id int, v array<float>")
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, query_vector array<double>")
+    with pytest.raises(Exception, match="vector 2 has 1 components"):
+        vectors.cosine_topk(df, q, 1, "id", "v").collect()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from capledger.functions import filings as names
 from capledger.operators.effective import weighted_sum, weighted_sum_long
-from capledger.plans.projection import Facts, project_filings
+from capledger.plans.projection import Facts, load_gold, project_filings
 from capledger.plans.serving import entity_lookup, usage_mix, verdicts
 
 CITY = "New York City"
@@ -147,3 +147,13 @@ def test_serving(spark):
     assert [r["period_start"] for r in entity_lookup(p, "property_id", "7").collect()] == [s for s, _ in PERIODS]
     mix = {r["measure"]: r["share"] for r in usage_mix(p).where("property_id = '12915497'").collect()}
     assert set(mix) == {"Grid Electricity", "Natural Gas"} and sum(mix.values()) == pytest.approx(1)
+
+
+def test_gold_job_writes_and_counts(spark, tmp_path):
+    path = str(tmp_path / "gold")
+    small = filing("9", "Social/Meeting Hall", 100.0)
+    assert load_gold(clean(spark, HALL, HOMES, small), facts(spark), path) == {
+        "entities_evaluated": 3, "entities_covered": 2, "rows_written": 8}
+    assert spark.read.parquet(path).count() == 8
+    assert load_gold(clean(spark, HALL), facts(spark), path)["rows_written"] == 4
+    assert spark.read.parquet(path).count() == 4

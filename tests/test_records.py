@@ -162,3 +162,33 @@ def test_facts_from_tables_and_prose(spark):
     got = penalties.accepted.collect()
     assert [(r["rule_type"], float(r["rate"]), r["chunk_id"], r["jurisdiction"]) for r in got] == [("excess_emissions", 268.0, 0, "New York City")]
     assert plans.new_facts(penalties.accepted, penalties.accepted, V.PENALTY_RULE).count() == 0
+    assert [(r["concept"], r["answer"]) for r in caps.failed.collect()] == [("EmissionsFactor", '{"records": [{"chunk_')]
+
+
+def test_facts_of_all_kinds(spark):
+    chunks = spark.createDataFrame([
+        (1, 0, 1, "text", "intro", "intro", None), (1, 1, 2, "table", "Caps", "Caps", ["Type", "Cap"]), (1, 2, 3, "text", "broken", "broken", None),
+    ], "rag_id int, chunk_id int, page_number int, block_type string, raw_text string, full_text string, column_headers array<string>")
+    vectors = spark.createDataFrame([(1, i, [1.0, i / 10]) for i in range(3)], "rag_id int, chunk_id int, embedding array<float>")
+    rows = spark.createDataFrame([(1, 1, 1, {"Type": "Office", "Cap": "0.5"})], "rag_id int, chunk_id int, row int, cells map<string,string>")
+    queries = spark.createDataFrame([(name, [1.0, 0.0]) for name in V.FACT_KINDS], "query_id string, query_vector array<double>")
+
+    def ask(row):
+        if "FuelCoefficient" in row["question"]:
+            raise TimeoutError("no answer")
+        return expert(row)
+
+    target = {n: spark.createDataFrame([], ", ".join(["rag_id int, chunk_id int", *[f"{f} string" for f in k.fields if f not in ("period_start", "period_end")], "period_start int, period_end int"])) for n, k in V.FACT_KINDS.items()}
+    held = spark.createDataFrame([(1, 1, "New York City", "Office", 2024, 2029)], "rag_id int, chunk_id int, jurisdiction string, property_type string, period_start int, period_end int")
+    fresh, counts, rejected, failed = plans.load_facts(chunks, vectors, rows, queries, {**target, "EmissionsFactor": held}, ask)
+    assert {n: f.count() for n, f in fresh.items()} == {"EmissionsFactor": 0, "FuelCoefficient": 0, "PenaltyRule": 0, "CoveredBuildingRule": 0}
+    assert {tuple(r) for r in counts.collect()} >= {("EmissionsFactor", 2, 1)}
+    assert ("EmissionsFactor", ("value",)) in {(r["concept"], tuple(r["failing"])) for r in rejected.collect()}
+    broken = {(r["concept"], r["error"] is not None) for r in failed.collect()}
+    assert ("FuelCoefficient", True) in broken and ("EmissionsFactor", False) in broken
+
+
+def test_annotations_see_values_as_they_are(spark):
+    seen = spark.createDataFrame([(2**53 + 1, None, "a"), (7, 5, None)], "id long, n long, t string")
+    got = {r["id"]: r["answer"] for r in A.annotate(seen, lambda r: repr((r["n"], r["t"])), ["n", "t"], ["id", "n"]).collect()}
+    assert got == {2**53 + 1: "(None, 'a')", 7: "(5, None)"}

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from capledger.operators import bounded, effective, membership, quantile
+from capledger.operators import bounded, effective, membership, ordered, quantile
 from capledger.operators.ordered import ordered_scan
 from capledger.operators.rollup import fingerprint
 
@@ -174,3 +174,32 @@ def test_fingerprint_is_of_the_set(spark):
     many = spark.range(20_000).selectExpr("sha2(string(id), 256) AS h")
     assert len(fingerprint(many, "h")) == 64 and fingerprint(many, "h") != fingerprint(many.limit(19_999), "h")
     assert fingerprint(df.where("h IS NULL"), "h") == fingerprint(df.limit(0), "h")
+
+
+def test_null_keys_meet(spark):
+    from capledger.operators.membership import flag_any_member
+    from capledger.operators.rollup import fact_conflicts, profile
+
+    facts = spark.createDataFrame([("Gas", None, 1), ("Gas", None, 2), ("Oil", 2024, 3)], "fuel string, start int, value int")
+    assert sorted(r["value"] for r in fact_conflicts(facts, ["fuel", "start"], "value").collect()) == [1, 2]
+    rows = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "c string, x double")
+    assert {r["c"]: r["median"] for r in profile(rows, "c", "x").collect()} == {None: 2.0, "a": 5.0}
+    listed = spark.createDataFrame([("k",), (None,)], "key string")
+    df = spark.createDataFrame([(None, ["k"]), (1, ["z"]), (1, ["k", None]), (2, None)], "id int, keys array<string>")
+    got = flag_any_member(df, listed, "keys", "key").collect()
+    assert [r["is_listed"] for r in got] == [True, False, True, False]
+
+
+def test_many_first_rows_are_picked_before_the_shuffle(spark):
+    df = spark.range(5000).selectExpr("id % 2 AS k", "id AS v").repartition(4)
+    got = ordered.first_per_key(df, ["k"], [F.col("v").desc()], 1500)
+    assert got.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low")).orderBy("k").collect() == [(0, 1500, 2000), (1, 1500, 2001)]
+
+
+def test_scratch_is_in_a_shared_folder(spark):
+    from capledger.sources.scratch import scratch_root, stored
+
+    held = stored(spark.range(3), "x")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    assert scratch_root(spark).startswith(shared) and held.inputFiles()[0].split(":", 1)[-1].lstrip("/").startswith(scratch_root(spark).split(":", 1)[-1].lstrip("/"))
+    assert scratch_root(spark.newSession()) == scratch_root(spark)
