@@ -25,13 +25,15 @@ def try_numeric(spark, folder):
     return cleanse.try_numeric(parts, ["brand", "kind", "size"])
 
 
-@query("parse_ts", """SELECT CAST(year(t) AS INT) AS y, CAST(month(t) AS INT) AS m, CAST(day(t) AS INT) AS d, count(*) AS n FROM (
-SELECT CASE WHEN l_returnflag <> 'R' THEN l_shipdate END AS t FROM lineitem) GROUP BY ALL""")
+@query("parse_ts", """SELECT e, f, strftime(t, '%Y-%m-%d %H:%M:%S') AS t, count(*) AS n FROM (SELECT event_type AS e, event_id % 7 AS f,
+CASE WHEN event_type <> 'error' THEN date_trunc('second', ts) + INTERVAL 1 HOUR * (event_id % 24) END AS t FROM events) GROUP BY ALL""")
 def parse_ts(spark, folder):
-    text = F.when(F.col("l_returnflag") == "R", "13/45/2021 12:00:00 AM").otherwise(F.date_format("l_shipdate", "MM/dd/yyyy hh:mm:ss a"))
+    """Times of all hours, before and after noon, and texts that are none."""
+    at = F.date_trunc("second", "ts") + F.make_dt_interval(hours=(F.col("event_id") % 24).cast("int"))
+    text = F.when(F.col("event_type") == "error", "13/45/2021 12:00:00 AM").otherwise(F.date_format(at, "MM/dd/yyyy hh:mm:ss a"))
     t = C.parse_time(text, "MM/dd/yyyy hh:mm:ss a")
-    return table(spark, folder, "lineitem").groupBy(F.year(t).alias("y"), F.month(t).alias("m"), F.day(t).alias("d")).agg(
-        F.count(F.lit(1)).alias("n"))
+    return table(spark, folder, "events").groupBy(
+        F.col("event_type").alias("e"), (F.col("event_id") % 7).alias("f"), F.date_format(t, "yyyy-MM-dd HH:mm:ss").alias("t")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("normalize_keys", """SELECT c_custkey, '1' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') || '0001' AS first_key,
@@ -79,10 +81,13 @@ def latest_per_key(spark, folder):
     return cleanse.latest_per_key(lines, ["l_orderkey", "l_linenumber"], F.col("l_shipdate"), ties).drop("l_shipdate")
 
 
-@query("drop_revisions", r"""SELECT conv_id, turn, length(regexp_replace(text, '\[[^\]]*\]', '', 'g')) AS kept_chars FROM conversations c
-LEFT JOIN (SELECT conv_id AS id, max(turn) AS s FROM conversations WHERE role = 'system' GROUP BY conv_id) ON id = conv_id
-WHERE s IS NULL OR turn >= s""")
+@query("drop_revisions", r"""WITH c AS (SELECT CASE WHEN conv_id % 5 <> 0 THEN conv_id END AS conv, conv_id, turn, role, text, conv_id * 1000 + turn AS place FROM conversations)
+SELECT conv, conv_id, turn, sha256(regexp_replace(coalesce(text, ''), '\[[^\]]*\]', '', 'g')) AS kept FROM c
+LEFT JOIN (SELECT conv AS id, max(place) AS s FROM c WHERE role = 'system' GROUP BY conv) ON id IS NOT DISTINCT FROM conv WHERE s IS NULL OR place >= s""")
 def drop_revisions(spark, folder):
-    turns = table(spark, folder, "conversations")
-    kept = cleanse.drop_revisions(turns, "conv_id", "turn", F.col("role") == "system")
-    return kept.select("conv_id", "turn", F.length(cleanse.drop_struck_text(F.col("text"))).cast("long").alias("kept_chars"))
+    """The turns of some conversations have no document id: they are one document."""
+    turns = table(spark, folder, "conversations").select(
+        F.when(F.col("conv_id") % 5 != 0, F.col("conv_id")).alias("conv"), "conv_id", "turn", "role", "text", (F.col("conv_id") * 1000 + F.col("turn")).alias("place"))
+    kept = cleanse.drop_revisions(turns, "conv", "place", F.col("role") == "system")
+    text = F.coalesce(cleanse.drop_struck_text(F.col("text")), F.lit(""))
+    return kept.select("conv", "conv_id", "turn", F.sha2(text, 256).alias("kept"))

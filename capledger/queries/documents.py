@@ -209,19 +209,24 @@ def chunk_documents(spark, folder):
     return out.select("doc_id", "chunk_no", "section", F.col("n_tokens").cast("long").alias("n_tokens"), F.sha2("raw_text", 256).alias("raw_text"))
 
 
-@query("document_ingest", f"""{_WALK_SQL} SELECT sha256(doc_id || '|1') AS rag_id, count(*) AS chunks, CAST(max(chunk_no) AS BIGINT) AS last_chunk,
-CAST(sum(length(raw_text)) AS BIGINT) AS chars FROM chunks GROUP BY doc_id""")
+@query("document_ingest", f"""{_WALK_SQL} SELECT sha256(doc_id || '|1') AS rag_id, CAST(chunk_no AS BIGINT) AS chunk_id, sha256(raw_text) AS raw_text,
+CAST(length('{plans.DOCUMENT_PREFIX}' || CASE WHEN section IS NULL OR starts_with(trim(raw_text, ' ' || chr(9) || chr(10) || chr(13)), section) THEN raw_text
+  ELSE section || chr(10) || raw_text END) AS DOUBLE) AS embedding, 0 AS added_again FROM chunks""")
 def document_ingest(spark, folder):
-    """Registers all documents, chunks what is new, stores the chunks and reads them back."""
+    """Two deliveries of all documents, the first with every document twice, the second unchanged."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("document_key"), "text")
-    empty = spark.createDataFrame([], "rag_id string, document_key string, document_hash string, embed_model string, version_id int, active_flag boolean")
-    _, changed = plans.register(empty, docs, "m")
-    prose = plans.text_chunks(changed, BUDGET, _short_line)
-    chunks = plans.embedding_texts(layout.number_chunks(prose, prose.where("false")))
-    path = scratch_path(spark, "chunks")
-    chunks.write.parquet(path)
-    return read_table(spark, path).groupBy(F.col("doc").alias("rag_id")).agg(
-        F.count(F.lit(1)).alias("chunks"), F.max("chunk_id").alias("last_chunk"), F.sum(F.length("raw_text")).alias("chars"))
+    held = spark.createDataFrame([], "rag_id string, document_key string, document_hash string, embed_model string, version_id int, active_flag boolean")
+    root = scratch_path(spark, "ingest")
+
+    def embed(chunks):
+        return chunks.select("doc", "chunk_id", F.length("embed_text").cast("double").alias("embedding"))
+
+    held, _ = plans.ingest(held, docs.unionByName(docs), "m", BUDGET, root, _short_line, embed)
+    _, counts = plans.ingest(held, docs, "m", BUDGET, root, _short_line, embed)
+    chunks, vectors = read_table(spark, f"{root}/document_chunks"), read_table(spark, f"{root}/document_vectors")
+    return chunks.join(vectors, ["doc", "chunk_id"]).select(
+        F.col("doc").alias("rag_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.sha2("raw_text", 256).alias("raw_text"), "embedding",
+        F.lit(counts["added"]).alias("added_again"))
 
 
 @query("doc_tables_roundtrip", f"""WITH {_ITEMS_SQL},
