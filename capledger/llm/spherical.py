@@ -23,7 +23,7 @@ from capledger.sources.scratch import stored
 
 COSINE = 0.98
 SAMPLE = 20_000
-CELL_ROWS = 1_000
+CELL_ROWS = 2_000
 MOST_CELLS = 1_024
 BLOCK_ROWS = 1_000
 ROUNDS = 12
@@ -81,7 +81,6 @@ def _links_of_unit(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
     u, v = first["node"].to_numpy(), second["node"].to_numpy()
     linked &= u[:, None] != v[None, :]
     # Least row of each local group, by passing it along until nothing changes.
-    none = np.iinfo(np.int64).max
     low_u, low_v = u.copy(), v.copy()
     rows, cols = np.nonzero(linked)
     while True:
@@ -91,7 +90,6 @@ def _links_of_unit(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
         if (new_u == low_u).all() and (new_v == low_v).all():
             break
         low_u, low_v = new_u, new_v
-    del none
     home = second["home"].to_numpy()
     same = bool(frame["same"].iloc[0])
     n_u = linked.sum(axis=1)
@@ -121,7 +119,8 @@ def embedding_duplicates(
     rows = stored(given, "vectors")
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     usable = rows.where(F.col("x").isNotNull() & F.col("label").isNotNull() & finite).withColumn("label", F.concat_ws(":", F.size("x"), "label"))
-    n = usable.count()
+    # Only equal labels meet, so cells are for the rows of the most frequent label.
+    n = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     cells = int(min(most_cells, max(1, n // cell_rows)))
     picked = usable.select("x").orderBy(F.xxhash64("x")).limit(sample).toArrow().column("x").to_pylist()
     by_size: dict[int, np.ndarray] = {}
