@@ -31,5 +31,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read back: what uses it several times does not compute
     it again, and a lost executor costs no more than a second read."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
