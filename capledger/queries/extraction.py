@@ -13,6 +13,7 @@ from capledger.operators import records as R
 from capledger.plans import facts as plans
 from capledger.queries.documents import CENTRES_SQL, label_centres
 from capledger.queries.registry import query, table
+from capledger.sources.scratch import stored
 
 _K = "CAST(json_extract_string(props, '$.k') AS INT)"
 
@@ -201,6 +202,22 @@ def annotate_candidates(spark, folder):
     return A.annotate(events, _reply, ["event_type", "k", "big"], ["big", "k"])
 
 
+def _partly(row: dict) -> str:
+    """Answers for clicks, speaks for others, and fails for a fifth of all."""
+    if row["k"] > 80:
+        raise ValueError(f"k {row['k']}")
+    return '{"records": []}' if row["event_type"] == "click" else "none"
+
+
+@query("facts_failures", f"""SELECT 'EmissionsFactor' AS concept, user_id AS rag_id, event_id AS chunk_id, CASE WHEN {_K} <= 80 THEN 'none' END AS answer,
+CASE WHEN {_K} > 80 THEN 'ValueError: k ' || {_K} END AS error FROM events WHERE {_K} > 80 OR event_type <> 'click'""")
+def facts_failures(spark, folder):
+    """Calls that raise and answers without JSON stay with their reasons."""
+    events = table(spark, folder, "events").select(F.col("user_id").alias("rag_id"), F.col("event_id").alias("chunk_id"), "event_type", _k().alias("k"))
+    answered = stored(A.annotate(events, _partly, ["event_type", "k"], ["rag_id", "chunk_id"]), "partly")
+    return plans.failures(answered, EMISSIONS_FACTOR)
+
+
 def _expert(row: dict) -> str:
     """Answers the two kinds of questions of a fact extraction from the question's own text."""
     ids = re.findall(r"<chunk id=(\d+)", row["question"])
