@@ -257,7 +257,6 @@ def near_duplicate_classes(
     are passed through and never name a class unless all its ids are NULL. Rows with the
     same id and different texts stay apart. Empty tables give empty results.
     """
-    spark = docs.sparkSession
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
     texts = given.where("text IS NOT NULL")
     for seed in range(1, 6):
@@ -287,20 +286,25 @@ def near_duplicate_classes(
     unsettled = stored(placed.join(parted, "key", "left_semi").select("node", "component").distinct(), "unsettled")
     again = stored(sequences.join(unsettled, "node"), "again")
     rare = stored(again.mapInArrow(_rare_symbols(_frequencies(again, shingle), shingle, similarity), _RARE), "rare")
-    each = rare.select("node", "component", "symbols", F.posexplode("rare").alias("rank", "symbol"))
+    # With each symbol the two before it: texts that share one of these have met there already.
+    each = rare.select("node", "component", "symbols", "rare", F.posexplode("rare").alias("rank", "symbol")).select(
+        "node", "component", "symbols", "rank", "symbol", *[F.coalesce(F.get("rare", F.col("rank") - i), F.lit(-i)).alias(f"before_{i}") for i in (1, 2)])
     parts = each.groupBy("symbol", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("symbol").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    shared = each.join(largest.select("symbol", "main"), "symbol").join(rare.select("node", "rare"), "node").join(nodes.select("node", "parity"), "node")
-    shared = stored(shared.select("symbol", "main", "node", "component", "symbols", "rank", "parity", F.slice("rare", F.lit(1), F.col("rank")).alias("before")), "shared")
-    outside = shared.where("component <> main").select("symbol", *[F.col(c).alias(f"o_{c}") for c in ("node", "component", "symbols", "rank", "parity", "before")])
+    shared = each.join(largest.select("symbol", "main"), "symbol").join(nodes.select("node", "parity"), "node")
+    shared = stored(shared, "shared")
+    outside = shared.where("component <> main").select("symbol", *[F.col(c).alias(f"o_{c}") for c in shared.columns if c not in ("symbol", "main")])
     both = F.col("o_symbols") + F.col("symbols")
     differ = reduce(add, [F.bit_count(F.get("o_parity", F.lit(i)).bitwiseXOR(F.get("parity", F.lit(i)))) for i in range(PARITIES // 64)])
-    # A pair is taken at its first common symbol, if what follows there can be enough.
+    # At its first common symbol what follows must be enough; most later ones are left out.
+    seen = F.lit(False)
+    for i, o in ((1, 1), (2, 2), (1, 2), (2, 1)):
+        seen = seen | ((F.col(f"before_{i}") == F.col(f"o_before_{o}")) & (F.col("rank") >= i) & (F.col("o_rank") >= o))
     follows = F.least(F.col("o_symbols") - F.col("o_rank"), F.col("symbols") - F.col("rank"))
     rest = outside.join(shared, "symbol").where(
         (F.col("o_component") != F.col("component")) & _alike("o_symbols", "symbols", similarity)
         & (follows >= both * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)) & (differ <= both * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6))
-        & ~F.arrays_overlap("o_before", "before"))
+        & ~seen)
     rest = rest.withColumnRenamed("o_node", "u")
     rest = rest.select(F.greatest("u", "node").alias("u"), F.least("u", "node").alias("v")).distinct().join(
         pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
