@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capledger.llm.text import mix, slices, string_buffers, words
+from capledger.llm.text import mix, slices, small_batches, string_buffers, words
 
 EDIT_SHARE = 0.1  # edited words of an item, at most
 WALKS, SAMPLES, PLACES = 6, 3, 4
@@ -189,6 +189,7 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     NULL and empty texts, and items without a word, are never found. Repeated rows and items
     are reported each. Items are taken ``ITEMS_AT_ONCE`` at a time, each time over all documents.
     """
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
     schema = "id long, item_id long, edits int, word long"
     out = docs.sparkSession.createDataFrame([], schema)
@@ -208,6 +209,7 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE) -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns kept."""
+    small_batches(docs.sparkSession)
     kept = docs
     for block in _blocks(items, item_id, item_text):
 

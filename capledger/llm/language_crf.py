@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from capledger.llm.text import mix, slices, string_buffers, words
+from capledger.llm.text import mix, slices, small_batches, string_buffers, words
 from capledger.llm.toxicity import fold
 
 PER_LANGUAGE = 400  # texts of each language that are learned from, at most
@@ -200,6 +200,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> LanguageModel:
     """Learns from at most ``per_language`` texts of each non-NULL language, taken by a hash
     of the id, of each at most ``SEGMENTS`` parts. Those parts alone reach the driver."""
+    small_batches(docs.sparkSession)
     named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     usable = named.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
@@ -243,6 +244,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     ``und`` with score 0 where the text is NULL or has no letter, or no language was
     learned. The score is the mean probability of the language over the words.
     """
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"), F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
     found = given.mapInArrow(_predict(model), "id long, has_letter boolean, lang string, share double")
     known = F.col("has_letter") & (F.col("lang") != UNKNOWN)

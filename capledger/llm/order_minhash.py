@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capledger.llm.components import component_labels
-from capledger.llm.text import mix, slices, string_buffers, words
+from capledger.llm.text import mix, slices, small_batches, string_buffers, words
 from capledger.sources.scratch import stored
 
 SHINGLE = 5
@@ -257,6 +257,7 @@ def near_duplicate_classes(
     are passed through and never name a class unless all its ids are NULL. Rows with the
     same id and different texts stay apart. Empty tables give empty results.
     """
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
     texts = given.where("text IS NOT NULL")
     for seed in range(1, 6):

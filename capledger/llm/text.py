@@ -12,8 +12,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 _IN_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
@@ -21,6 +23,14 @@ _BYTE_CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64
 _powers: list[np.ndarray] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch to ``BATCH_ROWS`` for this session: rows hold whole
+    texts here, and each Python worker and its task hold a batch at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser, in wrapping arithmetic."""
     x = (x ^ np.uint64(seed & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)

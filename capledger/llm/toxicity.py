@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capledger.llm.text import slices, string_buffers, words
+from capledger.llm.text import slices, small_batches, string_buffers, words
 from capledger.sources.scratch import stored
 
 PER_CLASS = 6000  # labelled texts of each class that are learned from, at most
@@ -134,6 +134,7 @@ def fit_toxicity(
     says so. Only counts of words and the few weighted words of the sample reach the driver.
     Without any label all scores are near 0.
     """
+    small_batches(docs.sparkSession)
     one = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("__toxic"))
     order = [F.xxhash64("__id"), F.col("__id")]
     picked = [one.where(f"__toxic = {c} AND __id IS NOT NULL").orderBy(*order).limit(per_class) for c in (0, 1)]
@@ -176,6 +177,7 @@ def score_texts(model: Toxicity, data: np.ndarray, offsets: np.ndarray) -> np.nd
 
 def with_toxicity(docs: DataFrame, model: Toxicity, text_col: str = "text", score_col: str = _SCORE) -> DataFrame:
     """All rows and columns, and the score (0 to 1). A NULL or empty text has the score of no words."""
+    small_batches(docs.sparkSession)
     if score_col in docs.columns:
         raise ValueError(f"{score_col} is a column already")
     given = docs.withColumn(_TEXT, F.lower(F.col(f"`{text_col}`").cast("string")))
