@@ -7,7 +7,9 @@ one entity has one surrogate in the whole corpus, however it is written.
 
 Different entities must not meet in one surrogate, nor a surrogate be somebody's entity. The
 distinct entities are checked for that; those that collide take the next attempt until
-none do. A row only needs to know the attempts of its own colliding entities.
+none do. A row only needs to know the attempts of its own colliding entities. Later
+attempts draw from an ever larger space (longer names, added characters), so that the
+distinct entities never use it up, however many there are.
 """
 
 from __future__ import annotations
@@ -31,6 +33,12 @@ FAMILY = {
     "cyrillic": "Волков Соколов Лебедев Козлов Новиков Морозов Павлов Семенов".split(),
     "greek": "Παππάς Οικονόμου Γεωργίου Νικολάου Αλεξίου Βασιλείου".split(),
 }
+# Syllables of made-up family names, by script.
+SYLLABLES = {
+    "latin": [c + v for c in "bdfgklmnprstvz" for v in "aeiou"],
+    "cyrillic": [c + v for c in "бвгдзклмнпрст" for v in "аеиоу"],
+    "greek": [c + v for c in "βγδζκλμνπρστφ" for v in "αειου"],
+}
 # Forms of address and the gender that they tell.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme"], "m": ["Mr", "Herr", "Señor", "Monsieur"], "": ["Dr", "Prof"]}
 
@@ -57,6 +65,8 @@ ENTITY = "|".join(f"{f'(?={start})' if start else ''}(?:{'|'.join(f'(?:{PATTERNS
 #: small letter or a form of address. Few texts have none of these, but all are found fast.
 TRACE = rf"[0-9@=:]| (?<=\p{{Ll}} )\p{{Lu}}|\.(?<=(?:{_FORMS})\.) \p{{Lu}}"
 MOST_ATTEMPTS = 40
+LISTED_ATTEMPTS = 2  # attempts with a listed family name alone
+SHAPED_ATTEMPTS = 4  # attempts that keep an entity's shape to the letter
 
 
 def entities(text: Column) -> Column:
@@ -137,17 +147,24 @@ def _card(entity: Column, seed: Column) -> Column:
     return _once(_digits(entity, seed, F.lit(1)), checked)
 
 
-def _address(entity: Column, seed: Column) -> Column:
-    """Numbers of as many digits, each from 0 to 255."""
+def _added(letters: str, seed: Column, attempt: Column) -> Column:
+    """Nothing for the attempts that keep the shape, then four more characters with each."""
+    more = F.sequence(F.lit(1), (attempt - SHAPED_ATTEMPTS + 1) * 4)
+    added = F.array_join(F.transform(more, lambda i: _pick(letters, _noise(seed, i + 4096))), "")
+    return F.when(attempt < SHAPED_ATTEMPTS, F.lit("")).otherwise(added)
+
+
+def _address(entity: Column, seed: Column, attempt: Column) -> Column:
+    """Numbers of as many digits, each from 0 to 255; later attempts take any numbers, as versions like 1.2.3.4 have few of one digit."""
     parts = F.split(entity, r"\.")
-    return F.array_join(F.transform(parts, lambda p, i: F.when(F.length(p) == 1, F.pmod(_noise(seed, i), F.lit(10))).when(F.length(p) == 2, F.pmod(_noise(seed, i), F.lit(90)) + 10).otherwise(F.pmod(_noise(seed, i), F.lit(156)) + 100).cast("string")), ".")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(attempt >= SHAPED_ATTEMPTS, F.pmod(_noise(seed, i), F.lit(256))).when(F.length(p) == 1, F.pmod(_noise(seed, i), F.lit(10))).when(F.length(p) == 2, F.pmod(_noise(seed, i), F.lit(90)) + 10).otherwise(F.pmod(_noise(seed, i), F.lit(156)) + 100).cast("string")), ".")
 
 
-def _email(entity: Column, seed: Column) -> Column:
+def _email(entity: Column, seed: Column, attempt: Column) -> Column:
     """The last part of the domain stays."""
     lower = F.lower(entity)
     body, top = F.regexp_extract(lower, r"^(.*)\.[^.]+$", 1), F.regexp_extract(entity, r"(\.[^.]+)$", 1)
-    made = _shaped(body, seed)
+    made = F.concat(_added("abcdefghijklmnopqrstuvwxyz", seed, attempt), _shaped(body, seed))
     upper = entity == F.upper(entity)
     return F.concat(F.when(upper, F.upper(made)).otherwise(made), top)
 
@@ -156,6 +173,10 @@ def _list(names: list[str]) -> Column:
     return F.split(F.lit(" ".join(names)), " ")
 
 
+def _syllables(syllables: list[str], seed: Column, n: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.get(_list(syllables), F.pmod(_noise(seed, i + 2), F.lit(len(syllables))).cast("int"))), "")
+
+
 def _name(entity: Column, seed: Column, attempt: Column) -> Column:
     """A form of address stays; given name of the same gender and script, and a family name."""
     form = F.regexp_extract(entity, rf"^((?:{_FORMS})\.? )", 1)
@@ -168,8 +189,9 @@ def _name(entity: Column, seed: Column, attempt: Column) -> Column:
         given = F.when((script == own) & F.array_contains(_list(names), first), F.get(_list(names), F.pmod(_noise(seed, F.lit(1)), F.lit(len(names))).cast("int"))).otherwise(given)
     for own, names in FAMILY.items():
         pick = lambda i, names=names: F.get(_list(names), F.pmod(_noise(seed, F.lit(i)), F.lit(len(names))).cast("int"))
-        # More attempts than a list has names: a double name.
-        family = F.when(script == own, F.when(attempt < 4, pick(2)).otherwise(F.concat(pick(2), F.lit("-"), pick(3)))).otherwise(family)
+        # Then a double name; its second part has as many syllables as there were attempts.
+        second = F.initcap(_syllables(SYLLABLES[own], seed, attempt))
+        family = F.when(script == own, F.when(attempt < LISTED_ATTEMPTS, pick(2)).otherwise(F.concat(pick(2), F.lit("-"), second))).otherwise(family)
     return F.concat(form, F.when(has_given, F.concat(given, F.lit(" "))).otherwise(""), family)
 
 
@@ -193,16 +215,20 @@ def _made(entity: Column, attempt: Column, kind: Column, seed: Column, value: Co
     country = F.length(F.regexp_replace(F.regexp_extract(entity, r"^(\+\d{1,3})(?=[ .-])", 1), "[^0-9]", ""))
     head = F.substring(entity, F.lit(1), F.length(entity) - F.length(value))
     hexed = _each(value, lambda c, i: F.when(c.rlike("[0-9a-f]"), _pick("0123456789abcdef", _noise(seed, i))).otherwise(c))
+    more = _added("abcdefghijklmnopqrstuvwxyz0123456789", seed, attempt)
+    # A key of fixed length has enough characters, a phone number goes on in groups of four.
+    longer = F.when(entity.rlike("^(?:AKIA|ASIA)"), F.lit("")).otherwise(more)
+    groups = F.regexp_replace(_added("0123456789", seed, attempt), r"(\d{4})", "-$1")
     keyed = F.regexp_extract(entity, r"^(AKIA|ASIA|gh[pousr]_|sk-|xox[abpr]-)", 1)
     return (
-        F.when(kind == "email", _email(entity, seed))
-        .when(kind == "key", F.concat(keyed, _shaped(F.substring(entity, F.length(keyed) + 1, F.length(entity)), seed)))
-        .when(kind == "setting", F.concat(head, F.when(value.rlike("^[0-9a-f]+$"), hexed).otherwise(_shaped(value, seed))))
-        .when(kind == "address", _address(entity, seed))
+        F.when(kind == "email", _email(entity, seed, attempt))
+        .when(kind == "key", F.concat(keyed, _shaped(F.substring(entity, F.length(keyed) + 1, F.length(entity)), seed), longer))
+        .when(kind == "setting", F.concat(head, F.when(value.rlike("^[0-9a-f]+$"), hexed).otherwise(_shaped(value, seed)), more))
+        .when(kind == "address", _address(entity, seed, attempt))
         .when(kind == "card", _card(entity, seed))
         .when(kind == "account", F.concat(F.substring(entity, F.lit(1), F.lit(2)), _shaped(F.substring(entity, F.lit(3), F.length(entity)), seed)))
         .when(kind == "number", _digits(entity, seed, F.lit(0)))
-        .when(kind == "phone", _digits(entity, seed, country))
+        .when(kind == "phone", F.concat(_digits(entity, seed, country), groups))
         .when(kind == "name", _name(entity, seed, attempt))
         .otherwise(hexed)
     )
@@ -228,7 +254,7 @@ def colliding_attempts(distinct: DataFrame, key: str, change=surrogate) -> DataF
         todo = stored(tried.join(settled.select("kind", "own"), ["kind", "own"], "left_anti").select("kind", "own", "entity"), "colliding")
         if todo.isEmpty():
             return settled.where("attempt > 0").select("kind", "own", "attempt")
-    raise RuntimeError("surrogates keep colliding: the names or numbers of a kind are used up")
+    raise RuntimeError("surrogates keep colliding: the numbers of a kind are used up")
 
 
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None, change=surrogate) -> DataFrame:

@@ -88,6 +88,20 @@ def test_collisions_are_resolved(spark):
     assert 0 < colliding_attempts(distinct, KEY, _narrow).count() < 12
 
 
+def test_small_spaces_are_not_used_up(spark):
+    letters = "abcdefghij"
+    names = [f"Mr. Q{a}{b}{c}{d}" for a in letters[:3] for b in letters for c in letters for d in letters]
+    names += [f"Herr Ж{a}{b}ов" for a in "абвгдежзик" for b in "абвгдежзик"] + [f"Dr Ω{a}{b}" for a in "αβγδεζηθικ" for b in "αβγδεζηθικ"]
+    quads = [f"1.{a}.{b}.{c}" for a in range(10) for b in range(10) for c in range(10)] + [f"2.{a}.{b}.{c}" for a in range(10) for b in range(10) for c in range(10)]
+    short = [f"{a}@{b}.com" for a in letters + "klmnopqrst" for b in letters + "klmnopqrst"] + ["-@-.com", "password=......", "7: sk-__________"]
+    phones = [f"+7 {a} {b}" for a in range(10, 99) for b in range(10, 70)]
+    texts = names + quads + short + phones
+    got = _replaced(spark, texts)
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+    assert all(re.fullmatch(r"Mr\. [A-Z][a-z]+(-[A-Z][a-z]+)?", new) for new in got[:3000])
+    assert all(re.fullmatch(r"\d+(\.\d+){3}", new) and max(map(int, new.split("."))) < 256 for new in got[len(names) : len(names) + len(quads)])
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, TEXTS[0], "e", 1)], SCHEMA)
     plan = replace_entities(docs, KEY)._jdf.queryExecution().toString()
