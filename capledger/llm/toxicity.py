@@ -130,14 +130,18 @@ def fit_toxicity(
 ) -> Toxicity:
     """Learns from at most ``per_class`` labelled texts of each class, taken by a hash of the id.
 
+    A class that is cut counts as what it is: the bias is moved by the log of how often the
+    classes were labelled over how often they were taken, so scores don't depend on the cap.
     Labels other than 0 and 1 are left out; a document with several labels is toxic if any
     says so. Only counts of words and the few weighted words of the sample reach the driver.
     Without any label all scores are near 0.
     """
     small_batches(docs.sparkSession)
     one = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("__toxic"))
+    one = stored(one.where("__id IS NOT NULL"), "labels-by-id")
+    labelled = {r["__toxic"]: r["n"] for r in one.groupBy("__toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("__id"), F.col("__id")]
-    picked = [one.where(f"__toxic = {c} AND __id IS NOT NULL").orderBy(*order).limit(per_class) for c in (0, 1)]
+    picked = [one.where(f"__toxic = {c}").orderBy(*order).limit(per_class) for c in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # bounded by per_class
     text = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
     sample = stored(text.join(chosen, "__id").select(F.col("__toxic").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")), "labelled")
@@ -156,7 +160,11 @@ def fit_toxicity(
     known = np.unique(np.r_[chosen_words, np.array(terms, np.int64)])
     found = sets.select("toxic", F.array_intersect("words", F.lit(known.tolist())).alias("own")).collect()
     named = {r["term"]: r["n"] for r in sample.mapInArrow(_named, "kind string, term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return _fit([np.array(r["own"], np.int64) for r in found], np.array([r["toxic"] for r in found], float), known, named, swap_penalty)
+    model = _fit([np.array(r["own"], np.int64) for r in found], np.array([r["toxic"] for r in found], float), known, named, swap_penalty)
+    if n0 and n1:
+        taken = {c: labelled[c] / min(labelled[c], per_class) for c in (0, 1)}
+        model.bias += float(np.log(taken[1] / taken[0]))
+    return model
 
 
 def score_texts(model: Toxicity, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -48,6 +48,24 @@ def test_held_out_scores(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.5) for r in rows)
 
 
+def test_scores_do_not_depend_on_the_cap(spark):
+    """One text in ten is toxic; words lean to a class but none decides it."""
+    r = random.Random(5)
+    docs, labels = [], []
+    for i in range(4000):
+        toxic = i % 10 == 0
+        docs.append((i, " ".join(f"w{j}" for j in range(8) if r.random() < (0.6 if toxic == (j < 5) else 0.3))))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole, cut, even = (fit_toxicity(docs, labels, per_class=n) for n in (4000, 1200, 350))
+    texts = [r["text"] for r in docs.collect()]
+    scores = [np.array([_score(m, t) for t in texts]) for m in (whole, cut, even)]
+    assert abs(scores[0].mean() - 0.1) < 0.01
+    for other in scores[1:]:
+        assert abs(other.mean() - 0.1) < 0.02 and np.abs(other - scores[0]).mean() < 0.03
+        assert ((other >= 0.5) == (scores[0] >= 0.5)).mean() > 0.97
+
+
 def test_odd_rows(spark):
     docs, labels = _corpus(spark)
     model = fit_toxicity(docs.unionByName(docs.limit(3)), labels.unionByName(spark.createDataFrame([(1, 1, None), (None, 1, 1), (2, 0, 1), (2, 0, 7)], labels.schema)))
