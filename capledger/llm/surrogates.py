@@ -3,7 +3,9 @@
 Each entity becomes another of its kind: digits become digits, letters letters of the
 same case, an address keeps its numbers in range, a card number its check digit, a name its
 gender and script. The surrogate is a keyed hash of the kind and the canonical form, so
-one entity has one surrogate in the whole corpus, however it is written.
+one entity has one surrogate in the whole corpus, however it is written. Names are replaced
+word by word: a family name becomes the same one with or without a form of address, given
+name or initial, and a listed given name the same other one of the list.
 
 Different entities must not meet in one surrogate, nor a surrogate be somebody's entity. The
 distinct entities are checked for that; those that collide take the next attempt until
@@ -14,6 +16,8 @@ distinct entities never use it up, however many there are.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +46,16 @@ SYLLABLES = {
 # Forms of address and the gender that they tell.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme"], "m": ["Mr", "Herr", "Señor", "Monsieur"], "": ["Dr", "Prof"]}
 
+# Capitals that initials are exchanged among, and what may stand before a family name.
+INITIALS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŁŚŠŻŽ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
+PARTICLES = "van von der den de del della di da dos du la le ten ter zu".split()
+
 _ADDRESS = ".".join([r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"] * 4).replace(".(", r"\.(")
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
 _FORMS = "|".join(t for titles in TITLES.values() for t in titles)
 _CAPITAL = r"\p{Lu}[\p{L}'’-]+"
+# Between the first word of a name and its last: up to three initials or capitalised words, and particles.
+_BETWEEN = rf"(?:(?:(?:\p{{Lu}}\.)+|{_CAPITAL}) ){{0,3}}(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|sk-|xox[abpr]-)[A-Za-z0-9_-]{10,}+)",
@@ -56,15 +66,16 @@ PATTERNS = {
     "number": r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[.-])\d{3,4}[ .-]?\d{4}(?![0-9])|(?<![0-9+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?![0-9])|(?<![0-9+])\+\d{8,14}(?![0-9])",
     "hex": r"(?<![0-9A-Za-z])(?=[a-f]*\d)[0-9a-f]{32,64}(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}])(?:(?:{_FORMS})\.? (?:(?:{_NAMES}) )?{_CAPITAL}|(?:{_NAMES}) {_CAPITAL})(?![\p{{L}}])",
+    "name": rf"(?<![\p{{L}}])(?:(?:{_FORMS})\.?|(?:{_NAMES})) {_BETWEEN}{_CAPITAL}(?![\p{{L}}])",
 }
+_TAIL = r"((?:['’-]*['’]s)*['’-]*)"
 #: The same order of preference; a look at the first character spares most places all patterns.
 _BY_START = [("", "email"), ("[A-Za-z]", "key setting"), ("[0-9+(]", "address card number phone"), ("[A-Z]", "account"), ("[0-9a-f]", "hex"), (r"\p{Lu}", "name")]
 ENTITY = "|".join(f"{f'(?={start})' if start else ''}(?:{'|'.join(f'(?:{PATTERNS[n]})' for n in names.split())})" for start, names in _BY_START)
 #: Every entity has a digit, an at-sign, an equals sign or colon, or a capitalised word behind a
 #: small letter or a form of address. Few texts have none of these, but all are found fast.
 TRACE = rf"[0-9@=:]| (?<=\p{{Ll}} )\p{{Lu}}|\.(?<=(?:{_FORMS})\.) \p{{Lu}}"
-MOST_ATTEMPTS = 40
+MOST_ATTEMPTS = 40  # below 64: a name has the attempts of its words in one number, six bits each, the last word lowest
 LISTED_ATTEMPTS = 2  # attempts with a listed family name alone
 SHAPED_ATTEMPTS = 4  # attempts that keep an entity's shape to the letter
 
@@ -87,13 +98,42 @@ def canonical(kind: Column, entity: Column) -> Column:
     digits = F.regexp_replace(entity, "[^0-9]", "")
     return (
         F.when(kind.isin("card", "phone", "number"), digits)
-        .when(kind.isin("email", "name"), F.lower(entity))
+        .when(kind == "email", F.lower(entity))
+        .when(kind == "name", _plain(F.regexp_extract(entity, r"([^ ]+)$", 1)))
         .when(kind == "account", F.regexp_replace(entity, " ", ""))
         .when(kind == "setting", _value(entity))
         .otherwise(entity)
     )
 
 
+def _plain(word: Column) -> Column:
+    """A word of a name in lower case, without what a possessive or a quote adds."""
+    return F.lower(F.regexp_extract(word, rf"^(.{{2,}}?){_TAIL}$", 1))
+
+
+def _units(entity: Column) -> Column:
+    """The words of a name without its form of address; a particle stays with the word before it."""
+    return F.split(F.regexp_replace(entity, rf"^(?:{_FORMS})\.? ", ""), r" (?=\p{Lu})")
+
+
+def _is_family(word: Column, place: Column) -> Column:
+    """Whether a word, so many places from the end, is none of the listed given names, initials and particles."""
+    return word.rlike(rf"^{_CAPITAL}$") & ((place == 0) | ~word.isin([n for names in GIVEN.values() for n in names]))
+
+
+def parts_of(kind: Column, entity: Column) -> Column:
+    """What has a surrogate of its own, as (own, place, entity): a name's words, else the entity itself."""
+    one = F.array(F.struct(canonical(kind, entity).alias("own"), F.lit(0).alias("place"), entity.alias("entity")))
+
+    def words(units: Column) -> Column:
+        each = F.transform(units, lambda u, i: F.struct(F.regexp_extract(u, "^([^ ]+)", 1).alias("word"), (F.size(units) - 1 - i).alias("place")))
+        family = F.filter(each, lambda x: _is_family(x["word"], x["place"]))
+        # A writing of the word alone.
+        return F.transform(family, lambda x: F.struct(_plain(x["word"]).alias("own"), x["place"].alias("place"), F.concat(F.lit("Dr "), F.regexp_extract(x["word"], rf"^(.{{2,}}?){_TAIL}$", 1)).alias("entity")))
+
+    return F.when(kind == "name", _once(_units(entity), words)).otherwise(one)
+
+
 def _value(entity: Column) -> Column:
     return F.regexp_replace(entity, r"^[A-Za-z_-]+[ \t]?[=:][ \t]?[\"']?", "")
 
@@ -177,22 +217,53 @@ def _syllables(syllables: list[str], seed: Column, n: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.get(_list(syllables), F.pmod(_noise(seed, i + 2), F.lit(len(syllables))).cast("int"))), "")
 
 
-def _name(entity: Column, seed: Column, attempt: Column) -> Column:
-    """A form of address stays; given name of the same gender and script, and a family name."""
+def _shuffled(values: list[str], key: str) -> list[str]:
+    """For each value another one, no two the same: the next in a keyed order."""
+    order = sorted(values, key=lambda v: hashlib.sha256(f"{key}|given|{v}".encode()).digest())
+    after = dict(zip(order, order[1:] + order[:1]))
+    return [after[v] for v in values]
+
+
+def _family(word: Column, attempt: Column, key: str) -> Column:
+    """A family name of the same script; a possessive ending stays."""
+    script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+    def made(seed: Column) -> Column:
+        family = F.lit("")
+        for own, names in FAMILY.items():
+            first = F.get(_list(names), F.pmod(_noise(seed, F.lit(2)), F.lit(len(names))).cast("int"))
+            # Then a double name; its second part has as many syllables as there were attempts.
+            second = F.initcap(_syllables(SYLLABLES[own], seed, attempt))
+            family = F.when(script == own, F.when(attempt < LISTED_ATTEMPTS, first).otherwise(F.concat(first, F.lit("-"), second))).otherwise(family)
+        return family
+
+    seed = F.concat_ws("|", F.lit(key), F.lit("name"), _plain(word), attempt.cast("string"))
+    return F.concat(_once(seed, made), F.regexp_extract(word, rf"^.{{2,}}?{_TAIL}$", 1))
+
+
+def _name(entity: Column, attempt: Column, key: str) -> Column:
+    """A form of address and particles stay; given names of the same gender and script, other
+    initials, and family names for all other words."""
     form = F.regexp_extract(entity, rf"^((?:{_FORMS})\.? )", 1)
-    rest = F.regexp_replace(entity, rf"^(?:{_FORMS})\.? ", "")
-    has_given = rest.rlike(rf"^(?:{_NAMES}) ")
-    first = F.regexp_extract(rest, r"^([^ ]+)", 1)
-    script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    given, family = F.lit(""), F.lit("")
-    for (own, gender), names in GIVEN.items():
-        given = F.when((script == own) & F.array_contains(_list(names), first), F.get(_list(names), F.pmod(_noise(seed, F.lit(1)), F.lit(len(names))).cast("int"))).otherwise(given)
-    for own, names in FAMILY.items():
-        pick = lambda i, names=names: F.get(_list(names), F.pmod(_noise(seed, F.lit(i)), F.lit(len(names))).cast("int"))
-        # Then a double name; its second part has as many syllables as there were attempts.
-        second = F.initcap(_syllables(SYLLABLES[own], seed, attempt))
-        family = F.when(script == own, F.when(attempt < LISTED_ATTEMPTS, pick(2)).otherwise(F.concat(pick(2), F.lit("-"), second))).otherwise(family)
-    return F.concat(form, F.when(has_given, F.concat(given, F.lit(" "))).otherwise(""), family)
+    given = [n for names in GIVEN.values() for n in names]
+    others = [n for names in GIVEN.values() for n in _shuffled(names, key)]
+    capitals, exchanged = "".join(INITIALS), "".join(c for letters in INITIALS for c in _shuffled(list(letters), key))
+
+    def changed(x: Column) -> Column:
+        word, place = x["word"], x["place"]
+        own = F.pmod(F.floor(attempt / F.pow(F.lit(64.0), place)), F.lit(64)).cast("int")
+        new = (
+            F.when(_is_family(word, place), _once(own, lambda a: _family(word, a, key)))
+            .when(word.rlike(r"^(?:\p{Lu}\.)+$"), F.translate(word, capitals, exchanged))
+            .otherwise(F.coalesce(F.get(_list(others), (F.array_position(_list(given), word) - 1).cast("int")), word))
+        )
+        return F.concat(new, x["rest"])
+
+    def units(given_units: Column) -> Column:
+        each = F.transform(given_units, lambda u, i: F.struct(F.regexp_extract(u, "^([^ ]+)", 1).alias("word"), F.regexp_extract(u, "^[^ ]+(.*)$", 1).alias("rest"), (F.size(given_units) - 1 - i).alias("place")))
+        return F.array_join(F.transform(each, changed), " ")
+
+    return F.concat(form, _once(_units(entity), units))
 
 
 def _once(value: Column, use) -> Column:
@@ -208,10 +279,10 @@ def surrogate(entity: Column, attempt: Column, key: str) -> Column:
         return F.struct(x["entity"], x["attempt"], x["kind"], seed.alias("seed"), _value(x["entity"]).alias("value"))
 
     given = F.struct(entity.alias("entity"), attempt.alias("attempt"), kind_of(entity).alias("kind"))
-    return _once(given, lambda x: _once(seeded(x), lambda y: _made(y["entity"], y["attempt"], y["kind"], y["seed"], y["value"])))
+    return _once(given, lambda x: _once(seeded(x), lambda y: _made(y["entity"], y["attempt"], y["kind"], y["seed"], y["value"], key)))
 
 
-def _made(entity: Column, attempt: Column, kind: Column, seed: Column, value: Column) -> Column:
+def _made(entity: Column, attempt: Column, kind: Column, seed: Column, value: Column, key: str) -> Column:
     country = F.length(F.regexp_replace(F.regexp_extract(entity, r"^(\+\d{1,3})(?=[ .-])", 1), "[^0-9]", ""))
     head = F.substring(entity, F.lit(1), F.length(entity) - F.length(value))
     hexed = _each(value, lambda c, i: F.when(c.rlike("[0-9a-f]"), _pick("0123456789abcdef", _noise(seed, i))).otherwise(c))
@@ -229,7 +300,7 @@ def _made(entity: Column, attempt: Column, kind: Column, seed: Column, value: Co
         .when(kind == "account", F.concat(F.substring(entity, F.lit(1), F.lit(2)), _shaped(F.substring(entity, F.lit(3), F.length(entity)), seed)))
         .when(kind == "number", _digits(entity, seed, F.lit(0)))
         .when(kind == "phone", F.concat(_digits(entity, seed, country), groups))
-        .when(kind == "name", _name(entity, seed, attempt))
+        .when(kind == "name", _name(entity, attempt, key))
         .otherwise(hexed)
     )
 
@@ -265,10 +336,13 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", count_co
     """
     text = F.col(f"`{text_col}`").cast("string")
     own = docs.where(text.rlike(TRACE)).select(text.alias("text")).select(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.explode(F.array_distinct(entities(F.col("text")))).alias("entity"))
-    found = stored(own.withColumn("kind", kind_of(F.col("entity"))).withColumn("own", canonical(F.col("kind"), F.col("entity"))), "entities")
-    distinct = stored(found.groupBy("kind", "own").agg(F.min("entity").alias("entity")), "distinct-entities")
+    found = own.withColumn("kind", kind_of(F.col("entity"))).withColumn("part", F.explode(parts_of(F.col("kind"), F.col("entity"))))
+    found = stored(found.select("digest", "entity", "kind", F.col("part.own").alias("own"), F.col("part.place").alias("place"), F.col("part.entity").alias("writing")), "entities")
+    distinct = stored(found.groupBy("kind", "own").agg(F.min("writing").alias("entity")), "distinct-entities")
     again = colliding_attempts(distinct, key, change)
-    affected = found.join(again, ["kind", "own"]).groupBy("digest").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("__attempts"))
+    packed = F.sum(F.col("attempt") * F.pow(F.lit(64.0), F.col("place"))).cast("int").alias("attempt")
+    affected = found.select("digest", "entity", "kind", "own", "place").distinct().join(again, ["kind", "own"]).groupBy("digest", "entity").agg(packed)
+    affected = affected.groupBy("digest").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("__attempts"))
     affected = stored(affected.withColumnRenamed("digest", "__digest"), "affected")
     if affected.isEmpty():
         named = docs.withColumn("__attempts", F.lit(None).cast("map<string,int>"))

@@ -60,6 +60,28 @@ def test_key_and_coreference(spark):
     assert one[1] == "x " + one[0] and one[0] != two[0]
 
 
+def test_names_are_the_same_however_written(spark):
+    texts = ["Mr Hobbs", "Mr. Hobbs", "John Hobbs", "Mr. John Hobbs", "saw John F. Hobbs's dog", "Mrs. Mary Anna Hobbs", "Dr. J.F. Hobbs",
+             "Mr. Priya Sharma", "Mr. Anil Sharma", "Ms. Sharma", "Maria de la Cruz", "Herr von Trapp", "Mr. Peter Trapp", "Иван П. Петров", "г. Мария Петров"]
+    got = _replaced(spark, texts)
+    family = got[0].split()[1]
+    name = re.fullmatch(r"Mr\. (\w+) (\S+)", got[3])
+    assert got[1] == f"Mr. {family}" and name[2] == family and got[2] == f"{name[1]} {family}" and name[1] in GIVEN["latin", "m"]
+    assert re.fullmatch(rf"saw {name[1]} [A-Z]\. {family}'s dog", got[4]) and " F." not in got[4]
+    assert re.fullmatch(rf"Mrs\. (\w+) (\w+) {family}", got[5]) and set(got[5].split()[1:3]) <= set(GIVEN["latin", "f"])
+    assert re.fullmatch(rf"Dr\. [A-Z]\.[A-Z]\. {family}", got[6])
+    sharma = got[9].split()[1]
+    assert got[7].endswith(" " + sharma) and got[8].endswith(" " + sharma) and got[7] != got[8] and "Priya" not in got[7]
+    assert re.fullmatch(r"\w+ de la (\S+)", got[10]) and "Cruz" not in got[10]
+    assert got[11].startswith("Herr von ") and got[11].split()[-1] == got[12].split()[-1] != "Trapp"
+    assert got[13].split()[-1] == got[14].split()[-1] != "Петров"
+    many = [f"Mr. {a}{b}ka {c}{b}son" for a in "BCDFG" for b in "aeiou" for c in "HJKLM"] + [f"Mr. {c}{b}son" for b in "aeiou" for c in "HJKLM"]
+    new = _replaced(spark, many)
+    assert len(set(new)) == len(many)
+    last = dict(zip((m.split()[-1] for m in many), (n.split()[-1] for n in new)))
+    assert all(last[m.split()[-1]] == n.split()[-1] for m, n in zip(many, new)) and len(set(last.values())) == 25
+
+
 def test_odd_rows(spark):
     long = "word " * 40_000 + "10.1.2.3 " + "a" * 100_000
     docs = spark.createDataFrame([(1, None, "e", 1), (1, "", "e", 1), (None, "10.1.2.3", None, None), (None, "10.1.2.3", None, None), (5, long, "x", 2)], SCHEMA)
