@@ -73,8 +73,8 @@ _TAIL = r"((?:['’-]*['’]s)*['’-]*)"
 _BY_START = [("", "email"), ("[A-Za-z]", "key setting"), ("[0-9+(]", "address card number phone"), ("[A-Z]", "account"), ("[0-9a-f]", "hex"), (r"\p{Lu}", "name")]
 ENTITY = "|".join(f"{f'(?={start})' if start else ''}(?:{'|'.join(f'(?:{PATTERNS[n]})' for n in names.split())})" for start, names in _BY_START)
 #: Every entity has a digit, an at-sign, an equals sign or colon, or a capitalised word behind a
-#: small letter or a form of address. Few texts have none of these, but all are found fast.
-TRACE = rf"[0-9@=:]| (?<=\p{{Ll}} )\p{{Lu}}|\.(?<=(?:{_FORMS})\.) \p{{Lu}}"
+#: small letter or a form of address, or starts as a key does. Few texts have none of these, but all are found fast.
+TRACE = rf"[0-9@=:]| (?<=\p{{Ll}} )\p{{Lu}}|\.(?<=(?:{_FORMS})\.) \p{{Lu}}|AKIA|ASIA|sk-|gh[pousr]_|xox[abpr]-"
 MOST_ATTEMPTS = 40  # below 64: a name has the attempts of its words in one number, six bits each, the last word lowest
 LISTED_ATTEMPTS = 2  # attempts with a listed family name alone
 SHAPED_ATTEMPTS = 4  # attempts that keep an entity's shape to the letter
