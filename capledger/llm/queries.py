@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capledger.llm.decontaminate import contaminations
+from capledger.llm.fingerprints import edit_report
 from capledger.llm.html_text import extract_texts, fit_weights
 from capledger.llm.language_crf import languages_of
 from capledger.llm.mixing import BITS, BLOCK_TOKENS, MOST_BLOCKS, mix_sources
 from capledger.llm.order_minhash import near_duplicate_classes
+from capledger.llm.spelling import EDIT_EVERY, FORM_FACTOR, LEAST_COUNT, LEAST_LENGTH, spelling_variants
 from capledger.llm.spherical import COSINE, embedding_duplicates
 from capledger.llm.surrogates import replace_entities
 from capledger.llm.token_counts import token_length_report
 from capledger.llm.toxicity import toxicity_scores
 from capledger.llm.warc import LEAST_REVISIT, read_archives, resolved, write_archives
+from capledger.llm.whitening import whitened_embeddings
 from capledger.sources.scratch import scratch_path
 
 #: A deployment passes a secret of its own.
@@ -133,3 +136,39 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return extract_texts(pages, fit_weights(pages))
+
+
+# The crc32 of each pair of document and run goes byte by byte through its table of 256 numbers.
+OP11_SQL = f"""WITH RECURSIVE bits(k, i, c) AS (SELECT k, 0, k FROM range(256) t(k) UNION ALL
+  SELECT k, i + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE i < 8),
+crc AS (SELECT k, c AS v FROM bits WHERE i = 8),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT row_number() OVER () AS p, id, run, count(*) AS n FROM runs WHERE length(run) >= {LEAST_LENGTH} GROUP BY id, run),
+coded AS (SELECT p, hex(encode(id || ':' || run)) AS bytes FROM counted),
+walk(p, i, c, bytes) AS (SELECT p, 0, 4294967295, bytes FROM coded UNION ALL
+  SELECT p, i + 1, xor(c >> 8, v), bytes FROM walk JOIN crc ON k = xor(c & 255, CAST('0x' || substr(bytes, 2 * i + 1, 2) AS BIGINT)) WHERE 2 * i < length(bytes)),
+hashed AS (SELECT p, xor(c, 4294967295) AS h FROM walk WHERE 2 * i = length(bytes)),
+edited AS (SELECT CASE WHEN h % {EDIT_EVERY} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM counted JOIN hashed USING (p)),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, unnest(range(length(word))) t(i)),
+near AS (SELECT c.word, w.word AS other FROM cut c JOIN words w ON w.word = c.rest UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.rest
+  UNION SELECT a.word, b.word FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(other, struct_pack(m := -o.n, w := other)) AS form, max(o.n) AS form_n FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+forms AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {FORM_FACTOR} * n THEN form END AS form, CASE WHEN form_n >= {FORM_FACTOR} * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+path(word, p, further) AS (SELECT word, word, form FROM forms UNION ALL SELECT x.word, f.word, f.form FROM path x JOIN forms f ON f.word = x.further)
+SELECT word, form, p AS root, n, n_near, form_n FROM path JOIN forms USING (word) WHERE further IS NULL"""
+
+
+@query("op11_trie_frontier", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op12_minhash_fingerprints")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return edit_report(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_incremental_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened_embeddings(table(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")

@@ -21,12 +21,13 @@ COLUMNS = {
     "op4": ("documents", "doc_id held_out score predicted"),
     "op5": ("documents", "doc_id text n_entities"),
     "op6": ("embeddings", "vec_id n_links component_id kept"),
+    "op12": ("documents", "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next"),
     "op10": ("pages", "page_id url text n_chars"),
 }
 
 
 def test_one_query_for_each_operator():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(SQL) <= set(QUERIES)
 
 
