@@ -9,6 +9,10 @@ with an edit follows only the edge that spells its word. What ends on a word aft
 a neighbour. An inserted letter is a left out one seen from the other side, and two spellings part at a node
 of the trie, so no other transition is needed.
 
+Near the root each node has many children, near the ends few. One edit leaves one half of a word as
+it is, so the first half is spelled without edits, and a second trie, of the words read
+backwards, finds the edits there.
+
 Nodes are named by a 64-bit hash of their prefix. Equal hashes of different prefixes would
 only join two nodes: that adds states and loses none, and each pair is checked at the end.
 """
@@ -20,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capledger.llm.text import hash_runs
@@ -85,9 +89,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trie_edges(words: DataFrame) -> DataFrame:
-    """(node, label, child, ends): the edges between the root, branches and ends of ``words`` (word, id, twin).
+    """(node, head, label, child, ends): the edges between the root, branches and ends of ``words`` (word, id, twin).
 
-    ``ends`` tells that a word ends at the child. The root is node 0.
+    ``head`` is the first letter of the label, ``ends`` tells that a word ends at the child. The root is node 0.
     """
     prefixes = stored(words.mapInArrow(_prefixes, _AT), "prefixes")
     nodes = prefixes.groupBy("node").agg(F.min("head").alias("least"), F.max("head").alias("most"))
@@ -98,20 +102,20 @@ def trie_edges(words: DataFrame) -> DataFrame:
     def edge(to, i):
         came = F.get("path", i - 1)
         depth = F.coalesce(came["depth"], F.lit(0))
-        return F.struct(F.coalesce(came["node"], F.lit(0)).alias("node"), F.substring("word", depth + 1, to["depth"] - depth).alias("label"), to["node"].alias("child"), to["ends"].alias("ends"))
+        return F.struct(F.coalesce(came["node"], F.lit(0)).alias("node"), F.substring("word", depth + 1, F.lit(1)).alias("head"), F.substring("word", depth + 1, to["depth"] - depth).alias("label"), to["node"].alias("child"), to["ends"].alias("ends"))
 
     spelled = words.select("word", "id", "twin").join(paths, ["id", "twin"])
     return spelled.select(F.inline(F.transform("path", edge))).distinct()
 
 
-def one_edit_pairs(words: DataFrame, edges: DataFrame) -> DataFrame:
-    """(word, other): each word with every word that differs by one inserted, deleted or replaced letter.
+def _edited_late(words: DataFrame, edges: DataFrame, first: Column) -> DataFrame:
+    """(word, other): the words of ``words`` (word, id) that one letter of ``word`` left out or
+    replaced, at position ``first`` or later where the two part, leads to.
 
-    ``words`` has word, id (its node) and n. The frontier goes on until it is empty, as many levels as
-    branches and ends lie on one path.
+    The frontier goes on until it is empty, as many levels as branches and ends lie on one path.
     """
     small = fits(edges)
-    left, next_letter = F.length("word") - F.col("position"), F.substring("word", F.col("position") + 1, F.lit(1))
+    left = F.length("word") - F.col("position")
     size = F.length("label")
 
     def rest(skip, length):
@@ -121,33 +125,45 @@ def one_edit_pairs(words: DataFrame, edges: DataFrame) -> DataFrame:
         return F.when(condition, F.struct((F.col("position") + moved).alias("position"), F.col("child").alias("node"), F.lit(edits).alias("edits"),
                                           at.alias("at"), put.alias("put"), F.col("ends").alias("ends")))
 
-    own = F.substring("label", 1, 1) == next_letter
-    fresh = F.col("edits") == 0
-    steps = F.array_compact(F.array(
-        state(rest(0, size) == F.col("label"), size, 0, F.length("word") - 1, F.lit("")),
-        state(~own & (left > size) & (rest(1, size) == F.col("label")), size + 1, 1, F.col("position"), F.lit("")),
-        state(~own & (left >= size) & (rest(1, size - 1) == F.substring("label", F.lit(2), size - 1)), size, 1, F.col("position"), F.substring("label", 1, 1)),
-    ))
-    follow = F.array_compact(F.array(state(rest(0, size) == F.col("label"), size, 1, F.col("at"), F.col("put"))))
+    def met(states, on):
+        return states.join(F.broadcast(edges), on) if small else split_join(states, edges, on, "inner")
+
     # ``at`` and ``put``: the letter that is edited, and what stands there instead; the last one goes unless another is edited.
-    start = {"position": F.lit(0), "node": F.lit(0).cast("long"), "edits": F.lit(0), "at": F.lit(0), "put": F.lit(""), "ends": F.lit(False)}
+    edits = F.array_compact(F.array(
+        state((left > size) & (rest(1, size) == F.col("label")), size + 1, 1, F.col("position"), F.lit("")),
+        state((left >= size) & (rest(1, size - 1) == F.substring("label", F.lit(2), size - 1)), size, 1, F.col("position"), F.col("head")),
+    ))
+    start = {"position": F.lit(0), "node": F.lit(0).cast("long"), "edits": F.lit(0), "at": F.length("word") - 1, "put": F.lit(""), "ends": F.lit(False)}
     frontier = words.select("word", *[c.alias(name) for name, c in start.items()])
     found = []
     while True:
-        met = frontier.drop("ends").join(F.broadcast(edges), "node") if small else split_join(frontier.drop("ends"), edges, ["node"], "inner")
-        met = met.where(fresh | own)
-        level = stored(met.select("word", F.inline(F.when(fresh, steps).otherwise(follow))), "frontier")
+        spelling = met(frontier.drop("ends").withColumn("head", rest(0, F.lit(1))), ["node", "head"]).where(rest(0, size) == F.col("label"))
+        spelled = spelling.select("word", (F.col("position") + size).alias("position"), F.col("child").alias("node"), "edits", "at", "put", "ends")
+        parting = met(frontier.where((F.col("edits") == 0) & (F.col("position") >= first)).select("word", "position", "node"), ["node"]).where(F.col("head") != rest(0, F.lit(1)))
+        level = stored(spelled.unionByName(parting.select("word", F.inline(edits))), "frontier")
         # A word that ends here after one edit, or one letter short of this one.
         found.append(level.where(F.col("ends") & (left + F.col("edits") == 1)).select("word", "node", "at", "put"))
         frontier = level.where(left > 0)
         if frontier.isEmpty():
             break
-    ended = reduce(DataFrame.unionByName, found).distinct()
+    ended = reduce(DataFrame.unionByName, found)
     others = words.select(F.col("id").alias("node"), F.col("word").alias("other"))
     spelled = F.concat(F.substring("word", F.lit(1), F.col("at")), "put", F.substring("word", F.col("at") + 2, F.length("word")))
-    pairs = ended.join(others, "node").where(F.col("other") == spelled).select("word", "other")
+    return ended.join(others, "node").where(F.col("other") == spelled).select("word", "other")
+
+
+def one_edit_pairs(words: DataFrame) -> DataFrame:
+    """(word, other): each of the distinct words of ``words`` with every one that differs by one inserted, deleted or replaced letter."""
+    half = F.floor(F.length("word") / 2).cast("int")
+    found = []
+    for read, first in ((lambda c: c, half), (F.reverse, F.length("word") - half)):
+        directed = words.select(read(F.col("word")).alias("word")).withColumn("twin", F.xxhash64("word"))
+        directed = stored(directed.mapInArrow(_named, "word string, twin long, id long"), "words")
+        edges = stored(trie_edges(directed), "edges")
+        found.append(_edited_late(directed, edges, first).select(read(F.col("word")).alias("word"), read(F.col("other")).alias("other")))
+    pairs = found[0].unionByName(found[1])
     longer = pairs.where(F.length("word") > F.length("other"))
-    return pairs.unionByName(longer.select(F.col("other").alias("word"), F.col("word").alias("other")))
+    return pairs.unionByName(longer.select(F.col("other").alias("word"), F.col("word").alias("other"))).distinct()
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -170,10 +186,8 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     without a form. NULL and empty texts and empty tables give no words, repeated rows
     count each time, other columns are not read.
     """
-    counted = word_counts(docs, id_col, text_col, **options).withColumn("twin", F.xxhash64("word"))
-    words = stored(counted.mapInArrow(_named, "word string, n long, twin long, id long"), "words")
-    edges = stored(trie_edges(words), "edges")
-    pairs = one_edit_pairs(words, edges)
+    words = stored(word_counts(docs, id_col, text_col, **options), "counts")
+    pairs = one_edit_pairs(words)
     near = pairs.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
     best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("minus"), "other")).alias("best"))
     good = F.col("best.minus") * -1 >= F.col("n") * factor
