@@ -2,16 +2,16 @@
 
 The words of a corpus form a trie whose nodes are stored as edges (node, label, child). Chains
 without a branch are one edge, so a very long word has few of them. A frontier of states
-(word, position, node, edits) starts with every word at the root and is joined with the edges
-level by level: a state without an edit follows its own edge, or spends its edit on another
-one by leaving out a letter of the word or by putting the edge's letter in its place; a state
-with an edit follows only the edge that spells its word. What ends on a word after one edit is
-a neighbour. An inserted letter is a left out one seen from the other side, and two spellings part at a node
-of the trie, so no other transition is needed.
+(word, position, node, edits) is joined with the edges level by level: a state without an edit
+follows its own edge, or spends its edit on another one by leaving out a letter of the word or by
+putting the edge's letter in its place; a state with an edit follows only the edge that spells its
+word. What ends on a word after one edit is a neighbour. An inserted letter is a left out one
+seen from the other side, and two spellings part at a node of the trie, so no other transition is needed.
 
 Near the root each node has many children, near the ends few. One edit leaves one half of a word as
-it is, so the first half is spelled without edits, and a second trie, of the words read
-backwards, finds the edits there.
+it is, so a state starts where the first half of its word ends, and the edits of that half are
+found on a second trie, of the words read backwards. Both are in one table, and no node
+has more words below it than share half of their letters.
 
 Nodes are named by a 64-bit hash of their prefix. Equal hashes of different prefixes would
 only join two nodes: that adds states and loses none, and each pair is checked at the end.
@@ -24,11 +24,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capledger.llm.text import hash_runs
-from capledger.operators.bounded import fits, lookup_join, split_join
+from capledger.llm.text import hash_runs, mix
+from capledger.operators.bounded import fits
 from capledger.sources.scratch import stored
 
 LETTERS = "[a-zÀ-ÿ]+"
@@ -37,7 +37,8 @@ FORM_FACTOR = 5
 EDIT_EVERY = 199
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_AT = "id long, twin long, depth int, node long, head int"
+_WORD = "word string, way int, first int, twin long, id long"
+_AT = "id long, twin long, start boolean, depth int, node long, head int"
 _END = -1  # in the place of a next letter
 
 
@@ -65,103 +66,109 @@ def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(words).encode("latin-1"), np.uint8), np.r_[0, np.cumsum([len(w) for w in words], dtype=np.int64)]
 
 
+def _nodes(data: np.ndarray, start: np.ndarray, end: np.ndarray, way: np.ndarray) -> np.ndarray:
+    return (hash_runs(data, start, end) ^ mix(way.astype(np.uint64), 1)).view(np.int64)
+
+
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, begin = _letters(batch.column("word"))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hash_runs(data, begin[:-1], begin[1:]).view(np.int64))], names=[*batch.schema.names, "id"])
+        node = _nodes(data, begin[:-1], begin[1:], batch.column("way").to_numpy())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node)], names=[*batch.schema.names, "id"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each prefix of each word but the empty one, with the letter that follows."""
+    """The prefixes of each word from its first half on, with the letter that follows."""
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
             part = batch.slice(start, 1000)
             data, begin = _letters(part.column("word"))
-            size = np.diff(begin)
-            word = np.repeat(np.arange(len(size)), size)
-            depth = np.arange(len(word)) - begin[word] + 1
-            head = np.r_[data[1:].astype(np.int32), np.int32(_END)]
-            head[begin[1:] - 1] = _END
-            node = hash_runs(data, begin[word], begin[word] + depth).view(np.int64)
+            first = part.column("first").to_numpy()
+            count = np.diff(begin) - first + 1
+            word = np.repeat(np.arange(len(count)), count)
+            depth = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + first[word]
+            at = begin[word] + depth
+            head = np.where(at < begin[word + 1], np.r_[data, np.uint8(0)][at].astype(np.int32), _END)
+            node = _nodes(data, begin[word], at, part.column("way").to_numpy()[word])
             ids, twins = part.column("id").to_numpy(), part.column("twin").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[word]), pa.array(twins[word]), pa.array(depth.astype(np.int32)), pa.array(node), pa.array(head)],
-                                             names=["id", "twin", "depth", "node", "head"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[word]), pa.array(twins[word]), pa.array(depth == first[word]), pa.array(depth.astype(np.int32)), pa.array(node), pa.array(head)],
+                                             names=["id", "twin", "start", "depth", "node", "head"])
 
 
-def trie_edges(words: DataFrame) -> DataFrame:
-    """(node, head, label, child, ends): the edges between the root, branches and ends of ``words`` (word, id, twin).
-
-    ``head`` is the first letter of the label, ``ends`` tells that a word ends at the child. The root is node 0.
-    """
+def trie_paths(words: DataFrame) -> DataFrame:
+    """Each of ``words`` (word, way, first, twin, id) with its path (depth, node, ends): the nodes it
+    passes from depth ``first`` on where words begin, part or end."""
     prefixes = stored(words.mapInArrow(_prefixes, _AT), "prefixes")
-    nodes = prefixes.groupBy("node").agg(F.min("head").alias("least"), F.max("head").alias("most"))
-    kept = stored(nodes.where(f"least = {_END} OR least <> most").select("node", (F.col("least") == _END).alias("ends")), "nodes")
-    on_path = lookup_join(prefixes.drop("head"), kept, ["node"], "inner")
+    nodes = prefixes.groupBy("node").agg(F.min("head").alias("least"), F.max("head").alias("most"), F.max("start").alias("start"))
+    kept = nodes.where(f"start OR least = {_END} OR least <> most").select("node", (F.col("least") == _END).alias("ends"))
+    on_path = prefixes.select("id", "twin", "depth", "node").join(kept, "node")
     paths = on_path.groupBy("id", "twin").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "ends"))).alias("path"))
+    return words.join(paths, ["id", "twin"])
 
-    def edge(to, i):
-        came = F.get("path", i - 1)
-        depth = F.coalesce(came["depth"], F.lit(0))
-        return F.struct(F.coalesce(came["node"], F.lit(0)).alias("node"), F.substring("word", depth + 1, F.lit(1)).alias("head"), F.substring("word", depth + 1, to["depth"] - depth).alias("label"), to["node"].alias("child"), to["ends"].alias("ends"))
 
-    spelled = words.select("word", "id", "twin").join(paths, ["id", "twin"])
-    return spelled.select(F.inline(F.transform("path", edge))).distinct()
+def trie_edges(paths: DataFrame) -> DataFrame:
+    """(node, head, label, child, ends): the edges of all paths. ``head`` is the first letter of the label,
+    ``ends`` tells that a word ends at the child."""
 
+    def edge(i):
+        came, to = F.get("path", i), F.get("path", i + 1)
+        letters = F.substring("word", came["depth"] + 1, to["depth"] - came["depth"])
+        return F.struct(came["node"].alias("node"), F.substring(letters, F.lit(1), F.lit(1)).alias("head"), letters.alias("label"), to["node"].alias("child"), to["ends"].alias("ends"))
 
-def _edited_late(words: DataFrame, edges: DataFrame, first: Column) -> DataFrame:
-    """(word, other): the words of ``words`` (word, id) that one letter of ``word`` left out or
-    replaced, at position ``first`` or later where the two part, leads to.
+    steps = F.when(F.size("path") > 1, F.sequence(F.lit(0), F.size("path") - 2))
+    return paths.select(F.inline(F.transform(steps, edge))).distinct()
 
-    The frontier goes on until it is empty, as many levels as branches and ends lie on one path.
+
+def _edited_late(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(word, way, other): what each word of ``trie_paths`` becomes as another one when one letter is left out
+    or replaced, not before its path begins.
+
+    The frontier goes on until it is empty, as many levels as nodes lie on one path.
     """
     small = fits(edges)
-    left = F.length("word") - F.col("position")
+    left, next_letter = F.length("word") - F.col("position"), F.substring("word", F.col("position") + 1, F.lit(1))
     size = F.length("label")
 
     def rest(skip, length):
         return F.substring("word", F.col("position") + skip + 1, length)
 
     def state(condition, moved, edits, at, put):
-        return F.when(condition, F.struct((F.col("position") + moved).alias("position"), F.col("child").alias("node"), F.lit(edits).alias("edits"),
+        return F.when(condition, F.struct((F.col("position") + moved).alias("position"), F.col("child").alias("node"), edits.alias("edits"),
                                           at.alias("at"), put.alias("put"), F.col("ends").alias("ends")))
 
-    def met(states, on):
-        return states.join(F.broadcast(edges), on) if small else split_join(states, edges, on, "inner")
-
     # ``at`` and ``put``: the letter that is edited, and what stands there instead; the last one goes unless another is edited.
-    edits = F.array_compact(F.array(
-        state((left > size) & (rest(1, size) == F.col("label")), size + 1, 1, F.col("position"), F.lit("")),
-        state((left >= size) & (rest(1, size - 1) == F.substring("label", F.lit(2), size - 1)), size, 1, F.col("position"), F.col("head")),
+    own = F.col("head") == next_letter
+    spelled = F.array_compact(F.array(state(rest(0, size) == F.col("label"), size, F.col("edits"), F.col("at"), F.col("put"))))
+    edited = F.array_compact(F.array(
+        state((left > size) & (rest(1, size) == F.col("label")), size + 1, F.lit(1), F.col("position"), F.lit("")),
+        state((left >= size) & (rest(1, size - 1) == F.substring("label", F.lit(2), size - 1)), size, F.lit(1), F.col("position"), F.col("head")),
     ))
-    start = {"position": F.lit(0), "node": F.lit(0).cast("long"), "edits": F.lit(0), "at": F.length("word") - 1, "put": F.lit(""), "ends": F.lit(False)}
-    frontier = words.select("word", *[c.alias(name) for name, c in start.items()])
+    start = {"position": F.get("path", F.lit(0))["depth"], "node": F.get("path", F.lit(0))["node"], "edits": F.lit(0),
+             "at": F.length("word") - 1, "put": F.lit(""), "ends": F.get("path", F.lit(0))["ends"]}
+    level = paths.select("word", "way", *[c.alias(name) for name, c in start.items()])
     found = []
     while True:
-        spelling = met(frontier.drop("ends").withColumn("head", rest(0, F.lit(1))), ["node", "head"]).where(rest(0, size) == F.col("label"))
-        spelled = spelling.select("word", (F.col("position") + size).alias("position"), F.col("child").alias("node"), "edits", "at", "put", "ends")
-        parting = met(frontier.where((F.col("edits") == 0) & (F.col("position") >= first)).select("word", "position", "node"), ["node"]).where(F.col("head") != rest(0, F.lit(1)))
-        level = stored(spelled.unionByName(parting.select("word", F.inline(edits))), "frontier")
         # A word that ends here after one edit, or one letter short of this one.
-        found.append(level.where(F.col("ends") & (left + F.col("edits") == 1)).select("word", "node", "at", "put"))
+        found.append(level.where(F.col("ends") & (left + F.col("edits") == 1)).select("word", "way", "node", "at", "put"))
         frontier = level.where(left > 0)
         if frontier.isEmpty():
             break
-    ended = reduce(DataFrame.unionByName, found)
-    others = words.select(F.col("id").alias("node"), F.col("word").alias("other"))
-    spelled = F.concat(F.substring("word", F.lit(1), F.col("at")), "put", F.substring("word", F.col("at") + 2, F.length("word")))
-    return ended.join(others, "node").where(F.col("other") == spelled).select("word", "other")
+        met = frontier.drop("ends").join(F.broadcast(edges) if small else edges, "node").where(own | (F.col("edits") == 0))
+        level = stored(met.select("word", "way", F.inline(F.when(own, spelled).otherwise(edited))), "frontier")
+    others = paths.select(F.col("id").alias("node"), "way", F.col("word").alias("other"))
+    spelling = F.concat(F.substring("word", F.lit(1), F.col("at")), "put", F.substring("word", F.col("at") + 2, F.length("word")))
+    return reduce(DataFrame.unionByName, found).join(others, ["node", "way"]).where(F.col("other") == spelling).select("word", "way", "other")
 
 
 def one_edit_pairs(words: DataFrame) -> DataFrame:
     """(word, other): each of the distinct words of ``words`` with every one that differs by one inserted, deleted or replaced letter."""
     half = F.floor(F.length("word") / 2).cast("int")
-    found = []
-    for read, first in ((lambda c: c, half), (F.reverse, F.length("word") - half)):
-        directed = words.select(read(F.col("word")).alias("word")).withColumn("twin", F.xxhash64("word"))
-        directed = stored(directed.mapInArrow(_named, "word string, twin long, id long"), "words")
-        edges = stored(trie_edges(directed), "edges")
-        found.append(_edited_late(directed, edges, first).select(read(F.col("word")).alias("word"), read(F.col("other")).alias("other")))
-    pairs = found[0].unionByName(found[1])
+    both = words.select(F.inline(F.array(F.struct("word", F.lit(0).alias("way"), half.alias("first")),
+                                         F.struct(F.reverse("word").alias("word"), F.lit(1).alias("way"), (F.length("word") - half).alias("first")))))
+    named = stored(both.withColumn("twin", F.xxhash64("word", "way")).mapInArrow(_named, _WORD), "words")
+    paths = stored(trie_paths(named), "paths")
+    pairs = _edited_late(paths, stored(trie_edges(paths), "edges"))
+    pairs = pairs.select(*[F.when(F.col("way") == 0, F.col(c)).otherwise(F.reverse(c)).alias(c) for c in ("word", "other")])
     longer = pairs.where(F.length("word") > F.length("other"))
     return pairs.unionByName(longer.select(F.col("other").alias("word"), F.col("word").alias("other"))).distinct()
 

@@ -74,12 +74,8 @@ def _rows():
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_agrees_with_all_pairs(spark, broadcast, monkeypatch):
-    from capledger.operators import bounded
-
     if not broadcast:
         monkeypatch.setattr("capledger.llm.spelling.fits", lambda df: False)
-        monkeypatch.setattr(bounded, "HOT_ROWS", 50)
-        monkeypatch.setattr(bounded, "HOT_SHARE", 20)
     rows = _rows()
     got = _got(spelling_variants(spark.createDataFrame(rows, SCHEMA).repartition(3)))
     assert got == _brute(rows)
