@@ -132,9 +132,10 @@ ELSE lpad(CAST(l_orderkey AS VARCHAR), 10, '0') || '   ' || CASE WHEN l_returnfl
  || format('{:,}', CAST(floor(l_extendedprice) AS BIGINT)) || '   '
  || CASE WHEN l_linenumber < 3 THEN '12 MAIN ST' WHEN l_linenumber < 5 THEN 'BROADWAY' ELSE 'OLD POST ROAD' END || '  '
  || CASE WHEN l_linestatus = 'O' THEN '10001-1234' ELSE '10027' END || CASE WHEN l_tax > 0.04 THEN '   Y' ELSE '' END END AS text FROM lineitem"""
-_CELLS_SQL = f"""SELECT *, c[7] IS NOT NULL AND regexp_full_match(c[7], '[A-Z0-9]{{2}}') AND regexp_full_match(c[8], '[0-9][A-Z]?') AND regexp_full_match(c[9], '[0-9]+') AS e
+_CELLS_SQL = f"""SELECT *, c[7] IS NOT NULL AND regexp_full_match(c[7], '[A-Z0-9]{{2}}') AND regexp_full_match(c[8], '[0-9][A-Z]?') AND regexp_full_match(c[9], '[0-9]+')
+  AND regexp_full_match(string_split(c[10], ' ')[1], '[0-9,]+') AS e
 FROM (SELECT text, string_split_regex(text, ' {{2,}}') AS c FROM ({_LINES_SQL}) WHERE regexp_matches(text, '^[0-9]{{10}} '))"""
-_WORDS_SQL = f"""SELECT *, string_split_regex(array_to_string(c[pos + 3:], ' '), ' +') AS w, CAST(c[-1] NOT LIKE '% %' AND regexp_matches(c[-2], '(^| )[0-9]{{1,5}}(-[0-9]{{4}})?$') AND len(c) > pos + 5 AS INT) AS flagged
+_WORDS_SQL = f"""SELECT *, string_split_regex(array_to_string(c[pos + 3:], ' '), ' +') AS w, CAST(c[-1] NOT LIKE '% %' AND regexp_matches(c[-2], '(^| )[0-9]{{1,5}}(-[0-9]{{4}})?$') AND len(c) > pos + 4 AS INT) AS flagged
 FROM (SELECT *, CASE WHEN e THEN 7 ELSE 6 END AS pos FROM ({_CELLS_SQL}))"""
 _FIELDS_SQL = f"""SELECT text, c[1] AS bbl, c[2] AS requires_water_data, c[3] AS borough, c[4] AS block, c[5] AS lot, CASE WHEN e THEN c[6] END AS easement,
   c[pos] AS building_class, c[pos + 1] AS tax_class, c[pos + 2] AS building_count, w[1] AS dof_square_footage,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capledger.functions.columns import computed_once
@@ -19,40 +19,46 @@ LINE_FIELDS = (
 )
 LINE_START = "^[0-9]{10} "
 GAP = " {2,}"  # columns are at least two blanks apart
-#: Shapes of single cells.
+#: Shapes of single cells, and of cells that begin or end with one.
 DIGITS, LETTERS_2, TAX, AREA, ZIP = "^[0-9]+$", "^[A-Z0-9]{2}$", "^[0-9][A-Z]?$", "^[0-9,]+$", "^[0-9]{1,5}(-[0-9]{4})?$"
+AREA_FIRST, ZIP_LAST = "^[0-9,]+( |$)", "(^| )[0-9]{1,5}(-[0-9]{4})?$"
 
 
-def split_line(line: Column) -> dict[str, Column]:
-    """The fields of a line by their place, and ``fits``: whether all have their shape.
+def read_fields(lines: DataFrame, line: str) -> DataFrame:
+    """Adds the fields of a line by their place, and ``fits``: whether all have their shape.
 
     Five cells lead; an easement may stand before the building class; after the area come
     the words of the address, whose first is a street number if others follow, the zip code,
-    and in a cell of its own an optional flag.
+    and in a cell of its own an optional flag. A line has an easement if the four cells behind it are shaped like
+    class, tax class, count and area: of ``E  A1  2B  7  1,000  12 MAIN ST`` the easement is E, but
+    ``A1  2B  7  1,000  12 MAIN ST`` fits that shape as well, with easement A1, class 2B and area 12.
+
+    Cells, the place of the class, words and fields are read one after the other, each once per line.
     """
-    cells = F.split(line, GAP)
-    cell = lambda i: F.coalesce(F.get(cells, F.lit(i) if isinstance(i, int) else i), F.lit(""))
     shaped = lambda c, shape: c.rlike(shape)
-    has_easement = shaped(cell(6), LETTERS_2) & shaped(cell(7), TAX) & shaped(cell(8), DIGITS) & shaped(F.split(cell(9), " ")[0], AREA)
-    at = F.when(has_easement, 6).otherwise(5)
-    words = F.split(F.array_join(F.slice(cells, at + 4, F.greatest(F.size(cells) - at - 3, F.lit(0))), " "), " +")
-    count = F.size(cells)
-    before = F.split(cell(count - 2), " ")
-    flagged = ~cell(count - 1).contains(" ") & shaped(F.get(before, F.size(before) - 1), ZIP) & (count - 2 > at + 3)
-    last = F.size(words) - F.when(flagged, 1).otherwise(0)
+    cell = lambda i: F.coalesce(F.get("__cells", F.lit(i) if isinstance(i, int) else i), F.lit(""))
+    read = computed_once(lines, {"__cells": F.split(line, GAP)})
+    has_easement = shaped(cell(6), LETTERS_2) & shaped(cell(7), TAX) & shaped(cell(8), DIGITS) & shaped(cell(9), AREA_FIRST)
+    read = computed_once(read, {"__at": F.when(has_easement, 6).otherwise(5), "__count": F.size("__cells")})
+    at, count = F.col("__at"), F.col("__count")
+    address = F.array_join(F.slice("__cells", at + 4, F.greatest(count - at - 3, F.lit(0))), " ")
+    flagged = ~cell(count - 1).contains(" ") & shaped(cell(count - 2), ZIP_LAST) & (count - 2 > at + 3)
+    read = computed_once(read, {"__words": F.split(address, " +"), "__flagged": flagged})
+    words, last = F.col("__words"), F.size("__words") - F.col("__flagged").cast("int")
     street = F.filter(F.slice(words, F.lit(2), F.greatest(last - 2, F.lit(0))), lambda w: w != "")
-    numbered = F.size(street) > 1
+    read = computed_once(read, {"__street": street, "__zip": F.coalesce(F.get(words, last - 1), F.lit(""))})
+    street, numbered = F.col("__street"), F.size("__street") > 1
     fits = [
         shaped(cell(0), "^[0-9]{10}$"), cell(1).isin("Yes", "No"), shaped(cell(2), "^[0-9]$"), shaped(cell(3), DIGITS), shaped(cell(4), DIGITS),
-        shaped(cell(at), LETTERS_2), shaped(cell(at + 1), TAX), shaped(cell(at + 2), DIGITS), shaped(words[0], AREA),
-        F.size(street) > 0, F.coalesce(shaped(F.get(words, last - 1), ZIP), F.lit(False)),
+        shaped(cell(at), LETTERS_2), shaped(cell(at + 1), TAX), shaped(cell(at + 2), DIGITS), shaped(words[0], AREA), F.size(street) > 0, shaped(F.col("__zip"), ZIP),
     ]
     parts = [
-        cell(0), cell(1), cell(2), cell(3), cell(4), F.when(has_easement, cell(5)), cell(at), cell(at + 1), cell(at + 2), words[0],
+        cell(0), cell(1), cell(2), cell(3), cell(4), F.when(at == 6, cell(5)), cell(at), cell(at + 1), cell(at + 2), words[0],
         F.when(numbered, street[0]), F.array_join(F.when(numbered, F.slice(street, 2, F.size(street))).otherwise(street), " "),
-        F.get(words, last - 1), F.when(flagged, cell(count - 1)),
+        F.col("__zip"), F.when(F.col("__flagged"), cell(count - 1)),
     ]
-    return {**dict(zip(LINE_FIELDS, parts, strict=True)), "fits": reduce(and_, fits)}
+    fields = {**dict(zip(LINE_FIELDS, parts, strict=True)), "fits": reduce(and_, fits)}
+    return computed_once(read, fields).drop("__cells", "__at", "__count", "__words", "__flagged", "__street", "__zip")
 
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +74,7 @@ def parse_layout_lines(lines: DataFrame, text: str, keep: tuple[str, ...] = ())
     Other lines (headers, footers, notes) are ignored.
     """
     begun = lines.select(*keep, F.trim(F.col(text)).alias("line")).where(F.col("line").rlike(LINE_START))
-    read = computed_once(begun, split_line(F.col("line")))
+    read = read_fields(begun, "line")
     return read.where("fits").select(*keep, *LINE_FIELDS), read.where("NOT fits").select(*keep, "line")
 
 

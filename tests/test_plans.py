@@ -43,3 +43,8 @@ def test_documents_are_chunked_without_a_shuffle(spark):
 
 def test_a_median_reads_its_input_once(spark):
     assert plan(spark, "median_by_group").count("lineitem.parquet") == 0  # it works on stored counts
+
+
+def test_a_line_is_read_in_stages(spark):
+    # Each of cells and words is split once; nothing is written out again for each field.
+    assert plan(spark, "layout_lines").count("split(") <= 3

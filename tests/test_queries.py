@@ -28,5 +28,11 @@ def test_query_agrees_with_its_sql(spark, con, name):
         assert compare(df, con, SQL[name]) is None
 
 
+@pytest.mark.parametrize("name", ["layout_lines", "layout_unmatched", "reload_dimension"])
+def test_lines_that_only_larger_tables_have(spark, name):
+    folder = "/root/testdata/sf0.01"
+    assert compare(QUERIES[name](spark, folder), connect(folder), SQL[name]) is None
+
+
 def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
