@@ -55,9 +55,9 @@ _NAMES = "|".join(n for names in GIVEN.values() for n in names)
 _FORMS = "|".join(t for titles in TITLES.values() for t in titles)
 _CAPITAL = r"\p{Lu}[\p{L}'’-]+"
 # Between the first word of a name and its last: up to three initials or capitalised words, and particles.
-_BETWEEN = rf"(?:(?:(?:\p{{Lu}}\.)+|{_CAPITAL}) ){{0,3}}(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}"
+_BETWEEN = rf"(?:(?:(?:\p{{Lu}}\.)++|{_CAPITAL}) ){{0,3}}(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "key": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?:gh[pousr]_|sk-|xox[abpr]-)[A-Za-z0-9_-]{10,}+)",
     "setting": r"(?<![A-Za-z0-9])(?i:token|password|passwd|secret|api[_-]?key)[ \t]?[=:][ \t]?[\"']?[A-Za-z0-9_+/.-]{6,}+",
     "address": rf"(?<![0-9.]){_ADDRESS}(?!\.?[0-9])",
@@ -68,7 +68,8 @@ PATTERNS = {
     "hex": r"(?<![0-9A-Za-z])(?=[a-f]*\d)[0-9a-f]{32,64}(?![0-9A-Za-z])",
     "name": rf"(?<![\p{{L}}])(?:(?:{_FORMS})\.?|(?:{_NAMES})) {_BETWEEN}{_CAPITAL}(?![\p{{L}}])",
 }
-_TAIL = r"((?:['’-]*['’]s)*['’-]*)"
+#: What a possessive or a quote adds to a word, as it begins when read backwards: one look, whatever its length.
+_TAIL_BACKWARDS = r"^(['’-]*+(?:s['’]['’-]*+)*+)"
 #: The same order of preference; a look at the first character spares most places all patterns.
 _BY_START = [("", "email"), ("[A-Za-z]", "key setting"), ("[0-9+(]", "address card number phone"), ("[A-Z]", "account"), ("[0-9a-f]", "hex"), (r"\p{Lu}", "name")]
 ENTITY = "|".join(f"{f'(?={start})' if start else ''}(?:{'|'.join(f'(?:{PATTERNS[n]})' for n in names.split())})" for start, names in _BY_START)
@@ -77,6 +78,7 @@ ENTITY = "|".join(f"{f'(?={start})' if start else ''}(?:{'|'.join(f'(?:{PATTERNS
 TRACE = rf"[0-9@=:]| (?<=\p{{Ll}} )\p{{Lu}}|\.(?<=(?:{_FORMS})\.) \p{{Lu}}|AKIA|ASIA|sk-|gh[pousr]_|xox[abpr]-"
 MOST_ATTEMPTS = 40  # below 64: a name has the attempts of its words in one number, six bits each, the last word lowest
 LISTED_ATTEMPTS = 2  # attempts with a listed family name alone
+LONGEST_SEED = 256
 SHAPED_ATTEMPTS = 4  # attempts that keep an entity's shape to the letter
 
 
@@ -106,9 +108,18 @@ def canonical(kind: Column, entity: Column) -> Column:
     )
 
 
+def _tail(word: Column) -> Column:
+    """What a possessive or a quote adds at the end of a word, behind its second character."""
+    return F.reverse(F.regexp_extract(F.reverse(F.substring(word, F.lit(3), F.length(word))), _TAIL_BACKWARDS, 1))
+
+
+def _bare(word: Column) -> Column:
+    """A word without its tail; a single character has no bare form."""
+    return F.when(F.length(word) < 2, "").otherwise(F.substring(word, F.lit(1), F.length(word) - F.length(_tail(word))))
+
+
 def _plain(word: Column) -> Column:
-    """A word of a name in lower case, without what a possessive or a quote adds."""
-    return F.lower(F.regexp_extract(word, rf"^(.{{2,}}?){_TAIL}$", 1))
+    return F.lower(_bare(word))
 
 
 def _units(entity: Column) -> Column:
@@ -129,7 +140,7 @@ def parts_of(kind: Column, entity: Column) -> Column:
         each = F.transform(units, lambda u, i: F.struct(F.regexp_extract(u, "^([^ ]+)", 1).alias("word"), (F.size(units) - 1 - i).alias("place")))
         family = F.filter(each, lambda x: _is_family(x["word"], x["place"]))
         # A writing of the word alone.
-        return F.transform(family, lambda x: F.struct(_plain(x["word"]).alias("own"), x["place"].alias("place"), F.concat(F.lit("Dr "), F.regexp_extract(x["word"], rf"^(.{{2,}}?){_TAIL}$", 1)).alias("entity")))
+        return F.transform(family, lambda x: F.struct(_plain(x["word"]).alias("own"), x["place"].alias("place"), F.concat(F.lit("Dr "), _bare(x["word"])).alias("entity")))
 
     return F.when(kind == "name", _once(_units(entity), words)).otherwise(one)
 
@@ -145,9 +156,8 @@ def _noise(seed: Column, i: Column) -> Column:
 
 
 def _each(value: Column, change) -> Column:
-    """Every character of a text changed by (character, its place)."""
-    places = F.when(F.length(value) > 0, F.sequence(F.lit(1), F.length(value))).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(places, lambda i: change(F.substring(value, i, F.lit(1)), i)), "")
+    """Every character of a text changed by (character, its place); the text is cut up once, whatever its length."""
+    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), lambda c, i: change(c, i + 1)), "")
 
 
 def _pick(letters: str, n: Column) -> Column:
@@ -238,7 +248,7 @@ def _family(word: Column, attempt: Column, key: str) -> Column:
         return family
 
     seed = F.concat_ws("|", F.lit(key), F.lit("name"), _plain(word), attempt.cast("string"))
-    return F.concat(_once(seed, made), F.regexp_extract(word, rf"^.{{2,}}?{_TAIL}$", 1))
+    return F.concat(_once(seed, made), _tail(word))
 
 
 def _name(entity: Column, attempt: Column, key: str) -> Column:
@@ -275,7 +285,9 @@ def surrogate(entity: Column, attempt: Column, key: str) -> Column:
     """Another entity of the same kind and format."""
 
     def seeded(x: Column) -> Column:
-        seed = F.concat_ws("|", F.lit(key), x["kind"], canonical(x["kind"], x["entity"]), x["attempt"].cast("string"))
+        # Every character hashes the seed, so a long entity is in it by its own hash.
+        own = _once(canonical(x["kind"], x["entity"]), lambda c: F.when(F.length(c) > LONGEST_SEED, F.sha2(c.cast("binary"), 256)).otherwise(c))
+        seed = F.concat_ws("|", F.lit(key), x["kind"], own, x["attempt"].cast("string"))
         return F.struct(x["entity"], x["attempt"], x["kind"], seed.alias("seed"), _value(x["entity"]).alias("value"))
 
     given = F.struct(entity.alias("entity"), attempt.alias("attempt"), kind_of(entity).alias("kind"))

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,18 @@ def test_no_python_in_the_plan(spark):
 @pytest.mark.parametrize("text", ["a.b@c", "1.2.3.4.5", "0123456789", "x@", "@y.com", "12-34-56"])
 def test_left_alone(spark, text):
     assert _replaced(spark, [text]) == [text]
+
+
+def _long(n):
+    return [
+        "a@b" + ".c" * n, "a" * n + "@b.c", "a@" + "b" * n, "Mr " + "A." * n, "Mr " + "A" * n, "Mr A" + "'" * n, "Mr A" + "'s" * n, "Mr " + "Ab " * n, "1234 " * n, "1234-" * n,
+        "AB12" + "CD34" * n, "AB12" + " CD34" * n, "1." * n, "+1-" * n, "(12)" * n, "a1" * n, "sk-" + "a" * n, "token=" * n, "password = " + "x" * n, "=" * n, "Mr " * n]
+
+
+def test_long_repetitions_of_each_pattern(spark):
+    texts = _long(300_000)
+    began = time.perf_counter()
+    got = _replaced(spark, texts)
+    assert time.perf_counter() - began < 120
+    short = _replaced(spark, _long(50))
+    assert [a == b for a, b in zip(texts, got, strict=True)] == [a == b for a, b in zip(_long(50), short, strict=True)]
