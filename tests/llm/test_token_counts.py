@@ -39,3 +39,15 @@ def test_whole_texts_are_encoded(spark):
 
 def test_empty_table(spark):
     assert token_length_report(spark.createDataFrame([], "text string")).collect() == []
+
+
+def test_long_runs_are_counted_apart(spark):
+    from capledger.llm.token_counts import PATTERN, VOCABULARY, _encoding, count_tokens
+
+    encoding, r = _encoding(VOCABULARY, PATTERN), random.Random(2)
+    for _ in range(400):
+        text = "".join(r.choice(["a", " ", " ", "\n", "\t", "　", "\x1c", "7", "!", "'s", " \n\n", "  "]) for _ in range(r.randrange(30)))
+        assert count_tokens(encoding, text, r.choice([2, 3, 5])) == len(encoding.encode_ordinary(text))
+    texts = [" " * 1_000_000, "a" + "\n " * 500_000 + "b", "a" * 1_000_000, "!" * 1_000_000]
+    found = [x["n_tokens"] for x in with_token_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    assert found[:2] == [1_000_000, 1_000_001] and found[2] > 1000
