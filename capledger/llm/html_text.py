@@ -37,6 +37,9 @@ CLOSES_PARAGRAPH = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
+# Elements that end an open one of these, unless one that bounds lists and tables is further in.
+ENDS_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LIST_BOUNDS = ("ul", "ol", "menu", "dl", "table", "select", "div", "article", "section")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Words of class, id and role by which pages name what is not their article.
 ASIDE_WORDS = {
@@ -75,10 +78,43 @@ class Weights:
         return n * known
 
 
+class _Open:
+    """The open elements. Where each tag is open, and which are blocks, is kept as lists, so that
+    a tag finds what it closes without a look at all of them."""
+
+    def __init__(self) -> None:
+        self.elements: list[tuple[str, bool, bool, str]] = []  # tag, shown, labelled, container kind
+        self.of_tag: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, element: tuple[str, bool, bool, str]) -> None:
+        self.of_tag.setdefault(element[0], []).append(len(self.elements))
+        if element[0] not in INLINE:
+            self.blocks.append(len(self.elements))
+        self.elements.append(element)
+
+    def pop(self) -> tuple[str, bool, bool, str]:
+        element = self.elements.pop()
+        self.of_tag[element[0]].pop()
+        if element[0] not in INLINE:
+            self.blocks.pop()
+        return element
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags, -1 if there is none."""
+        return max((places[-1] for tag in tags if (places := self.of_tag.get(tag))), default=-1)
+
+    @property
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+
 def tokens(page: str) -> list[Token]:
-    """Tags and texts of a page, with unclosed and stray tags as they come."""
+    """Tags and texts of a page, with unclosed and stray tags as they come. Each takes constant
+    time, however many elements are open."""
     out: list[Token] = []
-    stack: list[tuple[str, bool, bool, str]] = []  # tag, shown, labelled, container kind
+    opened = _Open()
+    stack = opened.elements
     block, at, n = 0, 0, len(page)
     root = ("", True, False, "body")
 
@@ -92,12 +128,12 @@ def tokens(page: str) -> list[Token]:
 
     def close(upto: int) -> None:
         nonlocal block
-        for tag, shown, labelled, kind in reversed(stack[upto:]):
+        while len(stack) > upto:
+            tag, shown, labelled, kind = opened.pop()
             if kind != "unseen":
                 out.append(Token(f"/{tag}", "", block, shown, labelled))
             if tag not in INLINE:
                 block += 1
-        del stack[upto:]
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -113,33 +149,23 @@ def tokens(page: str) -> list[Token]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break  # a stray end of inline markup ends no block
-            else:
-                if tag not in INLINE:
-                    block += 1
+            i = opened.last(tag)
+            # A stray end of inline markup ends no block.
+            if i >= 0 and (tag not in INLINE or opened.last_block < i):
+                close(i)
+            elif i < 0 and tag not in INLINE:
+                block += 1
             continue
         if tag in CLOSES_PARAGRAPH:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in same:
-                    close(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "menu", "dl", "table", "select", "div", "article", "section"):
-                    break
-        if tag == "body" and any(s[0] == "head" for s in stack):
-            close(next(i for i, s in enumerate(stack) if s[0] == "head"))
+            i = opened.last_block
+            if i >= 0 and stack[i][0] == "p":
+                close(i)
+        elif tag in ENDS_LIKE:
+            i = opened.last(*ENDS_LIKE[tag])
+            if i > opened.last(*LIST_BOUNDS):
+                close(i)
+        if tag == "body" and opened.of_tag.get("head"):
+            close(opened.of_tag["head"][0])
         _, shown, labelled, kind = stack[-1] if stack else root
         named = {k.lower(): (v or "").strip("\"'").lower() for k, v in _NAMED.findall(m[3])} if m[3].strip() else {}
         parts = set(_PART.findall(" ".join(named.get(k, "") for k in ("class", "id", "role"))))
@@ -162,7 +188,7 @@ def tokens(page: str) -> list[Token]:
             block += 1
         if tag in VOID or m[0].endswith("/>"):
             continue
-        stack.append((tag, shown and not off, labelled or article, kind))
+        opened.push((tag, shown and not off, labelled or article, kind))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else n

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -66,3 +67,13 @@ def test_odd_rows(spark, weights):
     assert got[0]["text"].startswith("Head 0\n") and got[1]["text"] == got[2]["text"] == ""
     assert got[3]["text"] == got[4]["text"] and len(got[3]["text"]) > 400_000 and got[3]["n_chars"] == len(got[3]["text"])
     assert extract_texts(odd.limit(0), fit_weights(odd.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize("page", [
+    "<b>" * 100_000 + "</i>" * 100_000, "<div>" * 100_000 + "</span>" * 100_000, "<div><b>" * 50_000 + "<p>" * 50_000, "<ul><li>" * 50_000 + "<b><li>" * 50_000,
+    "<head>" + "<body>" * 100_000, "<table><tr><td>" * 30_000 + "</p>" * 100_000, "<" * 200_000, "<a " * 100_000, "<!--" * 100_000, "<p '" * 100_000, "&amp" * 100_000,
+    "</b>" * 200_000, "<script>" * 100_000, "<option>" * 100_000 + "</select>" * 100_000])
+def test_many_unclosed_tags_take_no_long(page):
+    began = time.perf_counter()
+    main_text("<article>some words " + page + " and more", Weights())
+    assert time.perf_counter() - began < 10
