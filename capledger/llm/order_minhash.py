@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from capledger.llm.components import component_labels
 from capledger.llm.text import mix, slices, small_batches, string_buffers, words
+from capledger.operators.bounded import split_join
 from capledger.sources.scratch import stored
 
 SHINGLE = 5
@@ -45,7 +46,7 @@ ORDERED = 3
 SLOTS = 1 << 18
 PARITIES = 512
 
-_SKETCHED = "id long, node long, twin long, symbols int, sketch array<long>, parity array<long>, words binary"
+_SKETCHED = "id long, digest long, node long, twin long, symbols int, sketch array<long>, parity array<long>, words binary"
 
 
 def _symbols(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,10 +131,10 @@ def _sketch(seed: int, k: int, sketches: int, take: int):
                 kept = np.where(count > 0, sketches, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)], pa.int32()), pa.array(sketch[count > 0].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[a:b], pa.array(numbers[0]), pa.array(numbers[1]), pa.array(count, pa.int32()), lists,
+                    batch.column(0)[a:b], batch.column(2)[a:b], pa.array(numbers[0]), pa.array(numbers[1]), pa.array(count, pa.int32()), lists,
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * wide, pa.int32()), pa.array(parity)),
                     pa.array([small[w.first[i] : w.first[i + 1]].tobytes() for i in range(n)], pa.binary()),
-                ], names=["id", "node", "twin", "symbols", "sketch", "parity", "words"])
+                ], names=["id", "digest", "node", "twin", "symbols", "sketch", "parity", "words"])
 
     return run
 
@@ -244,21 +245,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataF
     return found.mapInArrow(_compare(k, least), "u long, v long")
 
 
-def near_duplicate_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE,
-    similarity: float = SIMILARITY, sketches: int = SKETCHES, ordered: int = ORDERED,
-) -> DataFrame:
-    """(id, class_id, n_texts, n_rows) for each row of ``docs``.
+def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.lower(F.col(f"`{text_col}`").cast("string"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"))
 
-    class_id is the least id of the class, n_texts the count of its different word
-    sequences, n_rows that of its rows. Texts with equal words are one class whatever
-    their length; texts without any word are one class when they are equal byte by byte
-    in lower case. A NULL text is a class of its own row: its id, with NULL n_texts. NULL ids
-    are passed through and never name a class unless all its ids are NULL. Rows with the
-    same id and different texts stay apart. Empty tables give empty results.
-    """
-    small_batches(docs.sparkSession)
-    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
+
+def placed_rows(given: DataFrame, shingle: int, similarity: float, sketches: int, ordered: int) -> DataFrame:
+    """(id, digest, node, component) of each row of ``given`` (id, text, digest) with a text: node is
+    the same for equal word sequences, component for one class. A stored table."""
+    small_batches(given.sparkSession)
     texts = given.where("text IS NOT NULL")
     for seed in range(1, 6):
         rows = stored(texts.mapInArrow(_sketch(seed, shingle, sketches, ordered), _SKETCHED), "sketched")
@@ -313,31 +308,56 @@ def near_duplicate_classes(
     if not more.isEmpty():
         labels = stored(component_labels(links.unionByName(more)), "labels")
 
-    whole = rows.select("id", "node").join(labels, "node", "left").select("id", F.coalesce("component", "node").alias("component"), "node")
-    whole = stored(whole, "placed")
+    whole = rows.select("id", "digest", "node").join(labels, "node", "left").select("id", "digest", F.coalesce("component", "node").alias("component"), "node")
+    return stored(whole, "placed")
+
+
+def near_duplicate_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE,
+    similarity: float = SIMILARITY, sketches: int = SKETCHES, ordered: int = ORDERED,
+) -> DataFrame:
+    """(id, class_id, n_texts, n_rows) for each row of ``docs``.
+
+    class_id is the least id of the class, n_texts the count of its different word
+    sequences, n_rows that of its rows. Texts with equal words are one class whatever
+    their length; texts without any word are one class when they are equal byte by byte
+    in lower case. A NULL text is a class of its own row: its id, with NULL n_texts. NULL ids
+    are passed through and never name a class unless all its ids are NULL. Rows with the
+    same id and different texts stay apart. Empty tables give empty results.
+    """
+    given = _given(docs, id_col, text_col)
+    whole = placed_rows(given, shingle, similarity, sketches, ordered)
     classes = whole.groupBy("component").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"))
     n_texts = whole.select("component", "node").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("n_texts"))
-    named = whole.join(classes.join(n_texts, "component"), "component").select("id", "class_id", "n_texts", "n_rows")
+    # One class may hold a large share of all rows: these are not dealt by their class.
+    named = split_join(whole, stored(classes.join(n_texts, "component"), "classes"), ["component"], "inner").select("id", "class_id", "n_texts", "n_rows")
     alone = given.where("text IS NULL").select("id", F.col("id").alias("class_id"), F.lit(None).cast("long").alias("n_texts"), F.lit(1).cast("long").alias("n_rows"))
     return named.unionByName(alone)
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """One row of each class, all columns kept: that of its least id.
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, similarity: float = SIMILARITY,
+    sketches: int = SKETCHES, ordered: int = ORDERED,
+) -> DataFrame:
+    """One row of each class, all columns kept: that of its least id, NULL last, and the least hash of its text.
 
-    A row with a NULL text is always kept, as is one with a NULL id whose text has no other
-    id; of rows that share the least id with equal texts one is kept.
+    A row with a NULL text is always kept. Of rows that are alike in id and lower-cased text one
+    is kept; which one is open where they differ in other columns.
     """
-    classes = near_duplicate_classes(docs, id_col, text_col, **options)
-    # Ids alone don't tell rows of one id with different texts apart: such rows go by their class, too.
-    losers = classes.where("n_texts IS NOT NULL AND id IS NOT NULL AND id <> class_id").select(F.col("id").alias("__id"))
-    winners = classes.where("n_texts IS NOT NULL AND id = class_id").select(F.col("id").alias("__id"))
-    drop = stored(losers.join(winners, "__id", "left_anti").distinct(), "losers")
-    repeated = stored(classes.where("id IS NOT NULL AND n_texts IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id")), "repeated-ids")
-    given = docs.withColumn("__id", F.col(f"`{id_col}`").cast("long"))
-    kept = given.join(drop, "__id", "left_anti")
+    key = ["__near_id", "__near_null", "__near_digest"]
+    if clash := set(key) & set(docs.columns):
+        raise ValueError(f"columns of these names are needed here: {sorted(clash)}")
+    whole = placed_rows(_given(docs, id_col, text_col), shingle, similarity, sketches, ordered)
+    own = F.struct(F.col("id").isNull().alias("null"), "id", "digest")
+    first = stored(whole.groupBy("component").agg(F.min(own).alias("first")), "first-rows")
+    judged = split_join(whole, first, ["component"], "inner").withColumn("own", own)
+    pair = [F.coalesce("id", F.lit(0)).alias(key[0]), F.col("id").isNull().alias(key[1]), F.col("digest").alias(key[2])]
+    drop = stored(judged.where(~F.col("own").eqNullSafe(F.col("first"))).select(*pair).distinct(), "losers")
+    repeated = stored(judged.where(F.col("own").eqNullSafe(F.col("first"))).groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated-rows")
+    id_, text = F.col(f"`{id_col}`").cast("long"), F.lower(F.col(f"`{text_col}`").cast("string"))
+    # NULL texts have no digest, so they meet nothing.
+    keyed = docs.withColumns(dict(zip(key, [F.coalesce(id_, F.lit(0)), id_.isNull(), F.when(text.isNotNull(), F.xxhash64(text))], strict=True)))
+    kept = keyed.join(drop, key, "left_anti")
     if not repeated.isEmpty():
-        text = F.lower(F.col(f"`{text_col}`").cast("string"))
-        once = kept.join(repeated, "__id", "left_semi").withColumn("__text", text)
-        kept = kept.join(repeated, "__id", "left_anti").unionByName(once.dropDuplicates(["__id", "__text"]).drop("__text"))
+        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates(key))
     return kept.select(*[f"`{c}`" for c in docs.columns])

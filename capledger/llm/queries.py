@@ -48,7 +48,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op1_order_minhash")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     classes = near_duplicate_classes(table(spark, folder, "documents"))
-    kept = (F.col("id") == F.col("class_id")) | F.col("id").isNull()
+    kept = F.col("id").eqNullSafe(F.col("class_id"))
     return classes.select(F.col("id").alias("doc_id"), "class_id", "n_texts", "n_rows", kept.alias("kept"))
 
 

@@ -99,7 +99,14 @@ def test_nulls_and_repeats(spark):
     kept = without_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
-        [(None, "same words here"), (7, "Same words, here"), (8, None), (8, "other"), (None, None)], key=str)
+        [(7, "Same words, here"), (8, None), (8, "other"), (None, None)], key=str)
+
+
+def test_ids_that_are_null_or_head_another_class(spark):
+    docs = spark.createDataFrame([("a", i, t, 1, 1) for i, t in [(None, "x y"), (None, "x y"), (5, "x y"), (3, "x y"), (3, "p q"), (2, "p q"), (None, "lone"), (None, "lone")]], SCHEMA)
+    assert sorted(((r["doc_id"], r["text"]) for r in without_near_duplicates(docs).collect()), key=str) == [(2, "p q"), (3, "x y"), (None, "lone")]
+    with pytest.raises(ValueError):
+        without_near_duplicates(docs.withColumnRenamed("n", "__near_id") if "n" in docs.columns else docs.withColumn("__near_id", docs["doc_id"]))
 
 
 def test_empty_table(spark):
