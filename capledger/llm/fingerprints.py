@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from capledger.llm.components import component_labels
 from capledger.llm.text import SLICE_BYTES, mix, slices, small_batches, string_buffers, words
+from capledger.operators.bounded import split_join
 from capledger.sources.scratch import stored
 
 SHINGLE = 5
@@ -157,7 +158,7 @@ def similar_classes(prints: DataFrame, similarity: float = SIMILARITY) -> DataFr
         labels = stored(component_labels(links.unionByName(more)), "labels")
     named = stored(rows.select("id", "node").join(labels, "node", "left").select("id", F.coalesce("component", "node").alias("component")), "placed")
     least = named.groupBy("component").agg(F.min("id").alias("class_id"))
-    return named.join(least, "component").select("id", "class_id")
+    return split_join(named, least, ["component"], "inner").select("id", "class_id")
 
 
 # Texts in ranges of their order

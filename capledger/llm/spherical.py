@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capledger.llm.components import component_labels
+from capledger.operators.bounded import split_join
 from capledger.sources.scratch import stored
 
 COSINE = 0.98
@@ -166,4 +167,4 @@ def embedding_duplicates(
     named = rows.select("node", "vec_id").join(labels, "node", "left").join(counts, "node", "left").select("vec_id", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     named = stored(named, "named")
     least = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    return named.join(least, "component").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return split_join(named, least, ["component"], "inner").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
