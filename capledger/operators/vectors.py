@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from capledger.operators.ordered import first_per_key
+from capledger.sources.scratch import stored
 
 QUERIES_AT_ONCE = 1_000  # rows of one matrix
 BYTES_AT_ONCE = 32 << 20  # of all query vectors that travel with one pass
+QUERY_BLOCK, VECTOR_BLOCK = 2_048, 16_384  # rows of the blocks that meet when queries are a table
 
 
 def normalize_vectors(df: DataFrame, vector: str) -> DataFrame:
@@ -62,6 +64,98 @@ def cosine_topk(
     return ranked.select(*scope, query_id, "rank", id_col, "similarity")
 
 
+def _blocks(df: DataFrame, name: str, vector: str, rows: int, label: str) -> tuple[DataFrame, int]:
+    """(block, names, matrix) of some ``rows`` rows each by a hash of the name, as a stored table, and how many blocks there are."""
+    given = df.select(F.col(name).alias("name"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("vector").isNotNull())
+    count = max(1, -(-given.count() // rows))
+    # Rows of one name are alike in the hash: their vectors tell them apart.
+    dealt = given.withColumn("block", F.pmod(F.xxhash64("name", "vector"), F.lit(count)).cast("int"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, lists, block = [], [], None
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([
+                pa.array([block], pa.int32()), pa.array([names], pa.list_(kind)), pa.array([[len(v) for v in lists]], pa.list_(pa.int32())),
+                pa.array([np.array([x for v in lists for x in v], np.float64).tobytes()], pa.binary()),
+            ], names=["block", "names", "sizes", "matrix"])
+
+        for batch in batches:
+            for b, n, v in zip(*[batch.column(c).to_pylist() for c in ("block", "name", "vector")], strict=True):
+                if names and (b != block or len(names) >= rows):
+                    yield packed()
+                    names, lists = [], []
+                block = b
+                names.append(n)
+                lists.append([np.nan if x is None else x for x in v])
+        if names:
+            yield packed()
+
+    kind = to_arrow_type(given.schema["name"].dataType)
+    ordered = dealt.repartition("block").sortWithinPartitions("block")
+    schema = f"block int, names array<{given.schema['name'].dataType.simpleString()}>, sizes array<int>, matrix binary"
+    return stored(ordered.mapInArrow(pack, schema), label), count
+
+
+def cosine_topk_all(
+    vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, query_id: str = "query_id", query_vector: str = "query_vector",
+    query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK,
+) -> DataFrame:
+    """(query_id, rank, id, similarity): the ``k`` nearest of all vectors for any number of queries.
+
+    Both sides are cut into blocks that are stored as tables; each block of queries meets each
+    block of vectors as a product of two matrices, which passes on ``k`` rows a query, and these
+    are ranked. Neither side passes the driver. Equal similarities are settled by id; an undefined
+    one (a zero vector, a NULL component) comes last. NULL vectors are left out, other lengths than the query's fail the job.
+    """
+    asked, _ = _blocks(queries, query_id, query_vector, query_block, "query-blocks")
+    held, count = _blocks(vectors, id_col, vector, vector_block, "vector-blocks")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"), F.struct("names", "sizes", "matrix").alias("asked"))
+    met = held.join(sent, "block").select("names", "sizes", "matrix", F.col("asked.names").alias("q_names"), F.col("asked.sizes").alias("q_sizes"), F.col("asked.matrix").alias("q_matrix"))
+    id_type, query_type = vectors.schema[id_col].dataType, queries.schema[query_id].dataType
+    kinds = to_arrow_type(query_type), to_arrow_type(id_type)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
+                sizes = {*one["sizes"], *one["q_sizes"]}
+                if len(sizes) > 1:
+                    raise ValueError(f"vectors and queries of different lengths: {sorted(sizes)}")
+                size = sizes.pop()
+                rows = _unit(np.frombuffer(one["matrix"]).reshape(-1, size))
+                yield _best_pairs(_unit(np.frombuffer(one["q_matrix"]).reshape(-1, size)), rows, one["q_names"], one["names"], k, kinds, (query_id, id_col))
+
+    schema = f"`{query_id}` {query_type.simpleString()}, `{id_col}` {id_type.simpleString()}, similarity double"
+    found = met.mapInArrow(search, schema)
+    ranked = first_per_key(found, [query_id], [F.col("similarity").desc_nulls_last(), F.col(id_col)], k, "rank")
+    return ranked.select(query_id, "rank", id_col, "similarity")
+
+
+def _best_pairs(asked: np.ndarray, rows: np.ndarray, query_names: list, names: list, k: int, kinds: tuple, columns: tuple) -> pa.RecordBatch:
+    """The ``k`` nearest rows of each query. The product of the matrices only chooses candidates: its rounding
+    depends on its shape, so their similarities are summed again in a fixed order."""
+    rank = np.empty(len(names), np.int64)
+    rank[np.asarray(pc.sort_indices(pa.array(names, kinds[1]), null_placement="at_start"))] = np.arange(len(names))
+    which, take, similarity = [], [], []
+    for start in range(0, len(asked), 256):
+        part = asked[start : start + 256]
+        near = np.nan_to_num(part @ rows.T, nan=-2.0)
+        kth = np.partition(near, len(names) - k, axis=1)[:, len(names) - k] if k < len(names) else np.full(len(part), -np.inf)
+        q, r = np.nonzero(near >= (kth - 1e-9)[:, None])
+        exact = (part[q] * rows[r]).sum(axis=1)
+        best = np.lexsort((rank[r], np.where(np.isnan(exact), np.inf, -exact), q))
+        q, r, exact = q[best], r[best], exact[best]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        which.append(q[place < k] + start)
+        take.append(r[place < k])
+        similarity.append(exact[place < k])
+    which, take, similarity = np.concatenate(which), np.concatenate(take), np.concatenate(similarity)
+    return pa.RecordBatch.from_arrays([
+        pa.array(query_names, kinds[0]).take(pa.array(which)), pa.array(names, kinds[1]).take(pa.array(take)), pa.array(similarity, mask=np.isnan(similarity)),
+    ], names=[*columns, "similarity"])
+
+
 def _matrices(queries: DataFrame) -> Iterator[list[tuple[list, np.ndarray]]]:
     """Matrices of at most ``QUERIES_AT_ONCE`` queries, in groups of at most ``BYTES_AT_ONCE``."""
     group, names, rows, size = [], [], [], 0

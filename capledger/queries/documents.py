@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from capledger.operators import layout, registry
-from capledger.operators.vectors import cosine_topk, normalize_vectors
+from capledger.operators.vectors import cosine_topk, cosine_topk_all, normalize_vectors
 from capledger.plans import documents as plans
 from capledger.queries.registry import query, table
 from capledger.sources.scratch import scratch_path
@@ -269,6 +269,17 @@ def topk(spark, folder):
     return near.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("topk_all", """SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity FROM (
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM (
+  SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity
+  FROM embeddings v, embeddings q WHERE len(v.embedding) = len(q.embedding))) WHERE rank <= 10""")
+def topk_all(spark, folder):
+    """Every vector as a query."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    near = cosine_topk_all(vectors, vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 10, "vec_id", "embedding")
+    return near.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("normalize_vectors", """SELECT vec_id, i, round(x * (label + 2) / sqrt(sum(x * x * (label + 2) * (label + 2)) OVER (PARTITION BY vec_id)), 6) AS x FROM (
 SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)""")
 def unit_vectors(spark, folder):

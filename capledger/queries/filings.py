@@ -10,6 +10,7 @@ from capledger.plans import filings as plans
 from capledger.queries.registry import query, table
 from capledger.sources import covered_list, tables
 from capledger.sources.scratch import scratch_path
+from capledger.streaming.incremental import load_new_files
 
 
 def _raw_orders(spark, folder):
@@ -244,3 +245,58 @@ def silver_clean(spark, folder):
     return plans.clean_filings(_raw_filings(spark, folder)).select(
         "property_id", "property_name", "primary_property_type", "gross_floor_area_ft", "electricity_use_kwh",
         "natural_gas_use_kbtu", "bbl", F.array_join("bbl_list", ",").alias("lots"))
+
+
+def _yearly_filings(spark, folder, lines=None):
+    """Order lines as raw filings with a year each, none submitted at the same time as another of its property."""
+    lines = table(spark, folder, "lineitem") if lines is None else lines
+    given = {
+        "Property_Id": F.col("l_orderkey").cast("string"),
+        "Year_Ending": F.year("l_shipdate").cast("string"),
+        "Electricity_Use_Grid_Purchase_kWh": F.col("l_quantity").cast("string"),
+        names.LOT_COLUMN: F.concat(F.lit("1-"), F.lpad(F.col("l_suppkey").cast("string"), 5, "0"), F.lit("-0001")),
+        names.SUBMITTED_COLUMN: F.date_format(F.col("l_shipdate").cast("timestamp") + F.make_interval(hours="l_linenumber"), names.SUBMITTED_FORMAT),
+    }
+    rest = [c for c in [*names.TEXT_COLUMNS, *names.NUMBER_COLUMNS] if c not in given and c != "year_ending"]
+    return lines.select(*[c.alias(n) for n, c in given.items()], *[F.lit(names.UNREPORTED).alias(c) for c in rest])
+
+
+def _write_years(filings, folder):
+    """One file a year, with the year in its name."""
+    parted = filings.withColumn("year", F.col("Year_Ending")).repartition("year")
+    parted.write.mode("append").partitionBy("year").csv(folder, header=True, escape='"', quote='"')
+    return folder
+
+
+def _latest_sql(rows):
+    return f"""SELECT property_id, year_ending, electricity_use_kwh, bbl FROM (SELECT CAST(l_orderkey AS VARCHAR) AS property_id,
+CAST(year(l_shipdate) AS VARCHAR) AS year_ending, l_quantity AS electricity_use_kwh, '1' || lpad(CAST(l_suppkey AS VARCHAR), 5, '0') || '0001' AS bbl,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) AS rn FROM lineitem WHERE {rows}) WHERE rn = 1"""
+
+
+def _merged(spark, path):
+    return plans.read_merged(spark, path).select("property_id", "year_ending", "electricity_use_kwh", "bbl")
+
+
+@query("silver_incremental", _latest_sql("NOT (year(l_shipdate) = 1992 AND l_linenumber = 1)"))
+def silver_incremental(spark, folder):
+    """A clean table that follows changed, added and removed rows of its raw files."""
+    lines = table(spark, folder, "lineitem")
+    year = F.year("l_shipdate")
+    raw, clean = scratch_path(spark, "raw"), scratch_path(spark, "clean")
+    early = lines.where(year < 1996).withColumn("l_quantity", F.when(year == 1994, F.lit(0.0)).otherwise(F.col("l_quantity")))
+    later = lines.where((year >= 1996) | (year == 1994) | ((year == 1992) & (F.col("l_linenumber") != 1)))
+    for part in (early, later):
+        plans.load_raw(spark, _write_years(_yearly_filings(spark, folder, part), scratch_path(spark, "extracts")) + "/*", raw)
+        plans.merge_clean(spark, raw, clean)
+    return _merged(spark, clean)
+
+
+@query("stream_latest", _latest_sql("true"))
+def stream_latest(spark, folder):
+    """The latest filing of each property, kept up by a stream of files in batches of three."""
+    arriving = _write_years(_yearly_filings(spark, folder), scratch_path(spark, "arriving"))
+    raw, clean, progress = (scratch_path(spark, n) for n in ("raw", "clean", "progress"))
+    for _ in range(2):  # the second run finds nothing new
+        load_new_files(spark, arriving + "/*", raw, progress, 3, clean)
+    return _merged(spark, clean)

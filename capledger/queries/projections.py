@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from capledger.operators import compliance, effective, membership, rollup
 from capledger.plans import serving
-from capledger.plans.projection import project_filings
+from capledger.plans.projection import Facts, load_gold, project_filings
 from capledger.queries import inputs as I
 from capledger.queries.registry import query, table
+from capledger.sources.scratch import scratch_path, stored
+from capledger.sources.tables import read_table
 
 PERIOD = effective.PERIOD
 
@@ -56,6 +58,21 @@ def gold_projection(spark, folder):
         *_double("potential_penalty_usd", digits=4))
 
 
+@query("gold_job", f"""SELECT property_id, period_start, period_end, status, CAST(round(cap, 6) AS DOUBLE) AS cap_tco2e, CAST(round(actual, 6) AS DOUBLE) AS actual_emissions_tco2e,
+CAST(round(penalty, 4) AS DOUBLE) AS potential_penalty_usd, (SELECT count(*) FROM ({I.ENTITIES_SQL})) AS entities_evaluated,
+(SELECT count(DISTINCT entity) FROM ({I.PROJECTION_SQL})) AS entities_covered, (SELECT count(*) FROM ({I.PROJECTION_SQL})) AS rows_written FROM ({_GOLD_SQL})""")
+def gold_job(spark, folder):
+    """The whole job: facts and filings from stored tables, the projection written twice over one path, counted and read back."""
+    facts = I.facts(spark, folder)
+    held = Facts(**{n: stored(getattr(facts, n), n) for n in ("caps", "coefficients", "penalties", "coverage", "covered")})
+    clean, path = stored(I.clean(spark, folder), "clean"), scratch_path(spark, "gold")
+    load_gold(clean.where("property_id < '3'"), held, path, "North")
+    done = load_gold(clean, held, path, "North")
+    return read_table(spark, path).select(
+        "property_id", *PERIOD, "status", *_double("cap_tco2e", "actual_emissions_tco2e"), *_double("potential_penalty_usd", digits=4),
+        *[F.lit(n).cast("long").alias(name) for name, n in done.items()])
+
+
 _EVENT_RATES_SQL = """SELECT user_id, CASE WHEN event_type <> 'error' THEN CAST(2000 + k AS INT) END AS period_start,
 CASE WHEN event_type NOT IN ('error', 'view') THEN CAST(2000 + k + minute(ts) AS INT) END AS period_end, value
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"""

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from capledger.operators.bounded import lookup_join
+from capledger.sources.scratch import stored
 
 NO_PARTITION = "<null>"
+_BESIDE, _BEFORE = "__new-", "__before-"  # a table that is being written, and the one that it replaces
 HEADER_BYTES = 1 << 20  # more than any header line has
 
 
@@ -74,14 +78,45 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table; one that a stopped writer has put aside is put back."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(where):
+        return True
+    aside = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{_BEFORE}*"))
+    if aside is None or not len(aside):
+        return False
+    return files.rename(aside[0].getPath(), where)
 
 
 def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Replaces the whole table."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    """Replaces the whole table once the new one stands.
+
+    The new table is written beside the old one, which goes on being read; a write that fails leaves it
+    as it is. Then the two change places: the moment between two renames is the only one without a
+    table, and who finds it so puts the old one back (see ``read_table``). On stores without renames of folders a rename copies.
+    """
+    spark = df.sparkSession
+    path = path.rstrip("/")
+    beside = f"{path}{_BESIDE}{uuid.uuid4().hex}"
+    new, old, at = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (beside, f"{path}{_BEFORE}{uuid.uuid4().hex}", path))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    writer = df.write.mode("error")
+    try:
+        (writer.partitionBy(*by) if by else writer).parquet(beside)
+    except Exception:
+        files.delete(new, True)
+        raise
+    if _exists(spark, path):
+        _renamed(files, at, old)
+    _renamed(files, new, at)
+    files.delete(old, True)
+    spark.catalog.refreshByPath(path)
+
+
+def _renamed(files, a, b) -> None:
+    if not files.rename(a, b):
+        raise OSError(f"{a.toString()} could not be renamed to {b.toString()}")
 
 
 def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
@@ -92,6 +127,23 @@ def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, by: str, values: list[int]) -> None:
+    """Replaces exactly the partitions of ``values``; one without a row in ``df`` is removed.
+
+    ``df`` may read from the table: its rows are stored beside it first.
+    """
+    spark = df.sparkSession
+    rows = stored(df, "replaced")
+    filled = {r[0] for r in rows.select(by).distinct().collect()}
+    if filled - set(values):
+        raise ValueError(f"rows of other partitions: {sorted(filled - set(values))[:5]}")
+    if filled:
+        overwrite_partitions(rows, path, [by])
+    for value in set(values) - filled:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={value}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def batch_partitions(df: DataFrame, column: str) -> DataFrame:
     """The partition values of a batch, with a marker for rows that have none."""
     return df.select(F.coalesce(F.col(column).cast("string"), F.lit(NO_PARTITION)).alias(column)).distinct()

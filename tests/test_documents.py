@@ -280,3 +280,23 @@ def test_vectors_of_other_lengths_are_refused(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, query_vector array<double>")
     with pytest.raises(Exception, match="vector 2 has 1 components"):
         vectors.cosine_topk(df, q, 1, "id", "v").collect()
+
+
+@pytest.mark.parametrize("query_block,vector_block", [(7, 20), (2048, 16384)])
+def test_every_vector_as_a_query(spark, query_block, vector_block):
+    rng = np.random.default_rng(1)
+    v = np.round(rng.normal(size=(120, 5)), 1)
+    v[7] = v[3]
+    v[11] = 0
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(500, None)]
+    frame = spark.createDataFrame(rows, "id long, vector array<double>")
+    queries = frame.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    got = vectors.cosine_topk_all(frame, queries, 9, "id", "vector", query_block=query_block, vector_block=vector_block).collect()
+    with np.errstate(invalid="ignore"):
+        unit = v / np.sqrt((v * v).sum(1, keepdims=True))
+    for q in range(120):
+        mine = sorted((r["rank"], r["id"]) for r in got if r["query_id"] == q)
+        near = [float((unit[i] * unit[q]).sum()) for i in range(120)]
+        want = sorted(range(120), key=lambda i: (near[i] != near[i], -near[i] if near[i] == near[i] else 0, i))[:9]
+        assert [m[1] for m in mine] == want and [m[0] for m in mine] == list(range(1, 10))
+    assert len(got) == 120 * 9
