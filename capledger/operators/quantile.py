@@ -17,7 +17,8 @@ SMALL_GROUP = 20_000  # rows that one task may sort
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
     """(keys, out): the median of ``value`` per group, the mean of the middle two for even counts.
 
-    Equal values are counted first, and the counts stored. Approximate quantiles then cut each group into
+    Equal values are counted first, and the counts stored. Groups of up to ``SMALL_GROUP`` rows are one
+    aggregate each. Approximate quantiles cut each larger group into
     blocks of about 1/256 of its distinct values; only block totals are ranked per
     group, and only the block that holds the middle is sorted.
     """
@@ -26,10 +27,24 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
         df, keys = df.withColumn(group, F.struct(*keys)), [group]
     rows = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     counts = stored(rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")), "counts")
+    large = stored(counts.groupBy(*keys).agg(F.sum("n").alias("m")).where(F.col("m") > SMALL_GROUP).drop("m").withColumn("__large", F.lit(True)), "large-groups")
+
+    def direct(few: DataFrame) -> DataFrame:
+        return few.groupBy(*keys).agg(F.percentile("v", 0.5, F.col("n")).alias(out)).select(*[F.col(f"{group}.{c}") for c in given], out)
+
+    if large.isEmpty():
+        return direct(counts)
+    if not keys:
+        return _median_by_blocks(counts, keys).withColumnRenamed("median", out)
+    big = large.select(*keys)
+    found = _median_by_blocks(lookup_join(counts, big, keys, "left_semi"), keys).select(*[F.col(f"{group}.{c}") for c in given], F.col("median").alias(out))
+    return found.unionByName(direct(lookup_join(counts, big, keys, "left_anti")))
+
+
+def _median_by_blocks(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, median) of groups that are too large for one task, from the counts of their values."""
     steps = [i / BLOCKS for i in range(1, BLOCKS)]
-    cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx("v", steps, F.lit(8 * BLOCKS)).alias("q"), F.sum("n").alias("m")
-    ).select(*keys, F.when(F.col("m") > SMALL_GROUP, F.col("q")).otherwise(F.array().cast("array<double>")).alias("cuts"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("v", steps, F.lit(8 * BLOCKS)).alias("cuts"))
     if keys:
         met = lookup_join(counts, stored(cuts, "cuts"), keys, "inner")
     else:
@@ -58,8 +73,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
         here = (F.col(rank) <= F.col("last")) & (F.col(rank) > F.col("last") - F.col("n"))
         return F.max(F.when(here, F.col("v")))
 
-    found = ranked.groupBy(*keys).agg(((at("lo") + at("hi")) / 2).alias(out))
-    return found.select(*[F.col(f"{group}.{c}") for c in given], out)
+    return ranked.groupBy(*keys).agg(((at("lo") + at("hi")) / 2).alias("median"))
 
 
 def _below(cuts):
