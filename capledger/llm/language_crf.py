@@ -80,13 +80,21 @@ def _emissions(model: LanguageModel, data: np.ndarray, start: np.ndarray, end: n
 
 def word_marginals(emissions: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """Probabilities (words, languages) by forward-backward in each text."""
+    ahead, _, behind = _forward_backward(emissions, first, transitions)
+    both = ahead * behind
+    return both / both.sum(axis=1, keepdims=True)
+
+
+def _forward_backward(emissions: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word the forward message, what its own letters say, and the backward message, each up to a factor.
+    A text begins with a move from an unseen word of any language."""
     count = np.diff(first)
     n_labels = emissions.shape[1]
     blocks = -(-count // BLOCK)
     block_begin = np.r_[0, np.cumsum(blocks)]
     total = block_begin[-1]
     if not total:
-        return np.zeros((0, n_labels))
+        return (np.zeros((0, n_labels)),) * 3
     doc = np.repeat(np.arange(len(count)), blocks)
     word_doc = np.repeat(np.arange(len(count)), count)
     place = np.arange(first[-1]) - first[word_doc]
@@ -122,26 +130,26 @@ def word_marginals(emissions: np.ndarray, first: np.ndarray, transitions: np.nda
         beta[t] = v
         step = (potential[t] * v) @ move.T
         v = np.where(real[t][:, None], step / step.sum(axis=1, keepdims=True), v)
-    both = (alpha * beta)[col, row]
-    return both / both.sum(axis=1, keepdims=True)
+    return alpha[col, row], potential[col, row], beta[col, row]
 
 
-def _pair_expectations(emissions: np.ndarray, first: np.ndarray, transitions: np.ndarray, marginals: np.ndarray) -> np.ndarray:
-    """Expected counts of neighbouring labels, from conditional moves between words."""
-    n_labels = emissions.shape[1]
-    counts = np.zeros((n_labels, n_labels))
+def _gradient(gold: np.ndarray, emissions: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient of the log-likelihood of ``gold`` (one 1 in each row) by emissions and by transitions:
+    what is labelled less what the messages of forward-backward expect, for words and for neighbouring words."""
+    ahead, own, behind = _forward_backward(emissions, first, transitions)
+    p = ahead * behind
+    p /= p.sum(axis=1, keepdims=True)
+    move = np.exp(transitions - transitions.max())
+    starts = first[:-1][np.diff(first) > 0]
     inner = np.ones(len(emissions), bool)
-    inner[first[:-1][np.diff(first) > 0]] = False
+    inner[starts] = False
     second = np.flatnonzero(inner)
-    if not len(second):
-        return counts
-    # p(y, y') is proportional to p(y) move(y, y') p(y') / (sum of p(y) move(y, y')): one balancing step each way.
-    move = np.exp(transitions - transitions.max())
-    joint = marginals[second - 1][:, :, None] * move * marginals[second][:, None, :]
-    for _ in range(3):
-        joint *= (marginals[second - 1] / np.maximum(joint.sum(axis=2), 1e-300))[:, :, None]
-        joint *= (marginals[second] / np.maximum(joint.sum(axis=1), 1e-300))[:, None, :]
-    return joint.sum(axis=0)
+    came, goes = ahead[second - 1], own[second] * behind[second]
+    each = ((came @ move) * goes).sum(axis=1, keepdims=True)
+    pairs = gold[second - 1].T @ gold[second] - move * (came.T @ (goes / each))
+    # The unseen word before a text, given its first word.
+    pairs += move / move.sum(axis=0) * (gold[starts] - p[starts]).sum(axis=0)
+    return gold - p, pairs
 
 
 def _train(texts: list[str], labels: np.ndarray, languages: list[str], rounds: int) -> LanguageModel:
@@ -160,21 +168,16 @@ def _train(texts: list[str], labels: np.ndarray, languages: list[str], rounds: i
     weights, word_weights = np.zeros((SLOTS, n_labels)), np.zeros((len(lexicon), n_labels))
     transitions = np.eye(n_labels) * 2.0
     seen = [np.zeros_like(p) for p in (weights, word_weights, transitions)]
-    inner = np.ones(len(gold), bool)
-    inner[w.first[:-1][np.diff(w.first) > 0]] = False
-    second = np.flatnonzero(inner)
-    gold_pairs = gold[second - 1].T @ gold[second] if len(second) else np.zeros((n_labels, n_labels))
     for _ in range(rounds):
         score = np.stack([np.bincount(word, weights[slot, c], len(unique)) for c in range(n_labels)], axis=1)
         score[listed] += word_weights
         emissions = score[which]
-        p = word_marginals(emissions, w.first, transitions)
-        miss = gold - p
+        miss, pairs = _gradient(gold, emissions, w.first, transitions)
         per_word = np.stack([np.bincount(which, miss[:, c], len(unique)) for c in range(n_labels)], axis=1)
         gradients = [
             np.stack([np.bincount(slot, per_word[word, c], SLOTS) for c in range(n_labels)], axis=1) - 0.1 * weights,
             per_word[listed] - 0.1 * word_weights,
-            gold_pairs - _pair_expectations(emissions, w.first, transitions, p) - 0.1 * transitions,
+            pairs - 0.1 * transitions,
         ]
         for values, gradient, past in zip((weights, word_weights, transitions), gradients, seen, strict=True):
             past += gradient**2

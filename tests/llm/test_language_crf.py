@@ -62,3 +62,34 @@ def test_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in languages_of(docs).collect()] == [(1, docs.selectExpr("crc32(binary('1')) % 4 = 2 AS h").first()["h"], UNKNOWN, 0.0)]
     assert languages_of(docs.limit(0)).collect() == []
+
+
+def test_gradient_agrees_with_finite_differences():
+    from itertools import product
+
+    from capledger.llm.language_crf import _gradient
+
+    rng = np.random.default_rng(5)
+    first = np.array([0, 1, 1, 4, 6])
+    emissions, transitions = rng.normal(size=(6, 3)), rng.normal(size=(3, 3))
+    gold = np.eye(3)[rng.integers(0, 3, 6)]
+
+    def likelihood(e, t):
+        total = 0.0
+        for a, b in zip(first[:-1], first[1:]):
+            if a < b:
+                # All labellings, each with an unseen word before it.
+                score = {y: np.log(sum(np.exp(t[s, y[0]]) for s in range(3))) + sum(e[a + i, y[i]] for i in range(b - a)) + sum(t[y[i - 1], y[i]] for i in range(1, b - a))
+                         for y in product(range(3), repeat=b - a)}
+                total += score[tuple(gold[a:b].argmax(1))] - np.log(sum(np.exp(v) for v in score.values()))
+        return total
+
+    by_emissions, by_transitions = _gradient(gold, emissions, first, transitions)
+    for got, which in ((by_emissions, 0), (by_transitions, 1)):
+        want = np.zeros_like(got)
+        for i in np.ndindex(got.shape):
+            step = np.zeros_like(got)
+            step[i] = 1e-5
+            up, down = ([emissions + step, transitions], [emissions - step, transitions]) if which == 0 else ([emissions, transitions + step], [emissions, transitions - step])
+            want[i] = (likelihood(*up) - likelihood(*down)) / 2e-5
+        np.testing.assert_allclose(got, want, atol=1e-6)
