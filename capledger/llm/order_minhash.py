@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from capledger.llm.components import component_labels
 from capledger.llm.text import mix, slices, small_batches, string_buffers, words
-from capledger.operators.bounded import split_join
+from capledger.operators.bounded import lookup_join, split_join
 from capledger.sources.scratch import stored
 
 SHINGLE = 5
@@ -308,7 +308,7 @@ def placed_rows(given: DataFrame, shingle: int, similarity: float, sketches: int
     if not more.isEmpty():
         labels = stored(component_labels(links.unionByName(more)), "labels")
 
-    whole = rows.select("id", "digest", "node").join(labels, "node", "left").select("id", "digest", F.coalesce("component", "node").alias("component"), "node")
+    whole = split_join(rows.select("id", "digest", "node"), labels, ["node"]).select("id", "digest", F.coalesce("component", "node").alias("component"), "node")
     return stored(whole, "placed")
 
 
@@ -357,7 +357,7 @@ def without_near_duplicates(
     id_, text = F.col(f"`{id_col}`").cast("long"), F.lower(F.col(f"`{text_col}`").cast("string"))
     # NULL texts have no digest, so they meet nothing.
     keyed = docs.withColumns(dict(zip(key, [F.coalesce(id_, F.lit(0)), id_.isNull(), F.when(text.isNotNull(), F.xxhash64(text))], strict=True)))
-    kept = keyed.join(drop, key, "left_anti")
+    kept = lookup_join(keyed, drop, key, "left_anti")
     if not repeated.isEmpty():
-        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates(key))
+        kept = lookup_join(kept, repeated, key, "left_anti").unionByName(lookup_join(kept, repeated, key, "left_semi").dropDuplicates(key))
     return kept.select(*[f"`{c}`" for c in docs.columns])
