@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capledger.functions.columns import AMOUNT, QUANTITY, RATE, quantity, sum_amounts, times
+from capledger.operators import bounded
 from capledger.operators.bounded import cross_lines, cross_rows, localized, lookup_join, many_salts, salted_join
+from capledger.operators.stabbing import countable, effective_rate_many
 
 PERIOD = ["period_start", "period_end"]
 CONTAINS, ALWAYS, ENDED = 3, 2, 1
+MANY_PERIODS = 64
 
 
 def compliance_periods(caps: DataFrame, start: str = "period_start", end: str = "period_end") -> DataFrame:
@@ -40,12 +43,18 @@ def effective_rate(
     """(key, period_start, period_end, value): the rate that applies to each key in each period.
 
     A key without an applicable rate has no row. Candidates are reduced per task
-    before anything is shuffled, so a key with very many rates is no hot spot.
+    before anything is shuffled, so a key with very many rates is no hot spot. More
+    than ``MANY_PERIODS`` periods of whole numbers do not meet every rate: they are
+    searched for in a tree of the rates.
     """
+    spans = periods.select(*PERIOD)
+    few = bounded.few_rows(spans, MANY_PERIODS)
+    if few is None and countable(periods, *PERIOD) and countable(rates, start, end):
+        return effective_rate_many(rates, periods, key, value, start, end)
     offered = rates.select(
         F.col(key), F.col(value), F.col(start).alias("__from"), F.col(end).alias("__to"),
     )
-    pairs = cross_periods(offered, periods)
+    pairs = cross_periods(offered, periods) if few is None else cross_lines(offered, [tuple(r) for r in few], spans.schema)
     how = (
         F.when((F.col("__from") <= F.col("period_start")) & (F.col("__to") >= F.col("period_end")), CONTAINS)
         .when(F.col("__from").isNull(), ALWAYS)

@@ -89,6 +89,30 @@ def effective_rate(spark, folder):
     return effective.effective_rate(offered, I.periods(spark), "user_id", "value").withColumnRenamed("value", "rate")
 
 
+_ORDER_DAY = "CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INT)"
+_LINE_DAY = "CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS INT)"
+_ORDER_RATES_SQL = f"""SELECT o_orderpriority, CASE WHEN o_orderpriority < '3' AND o_custkey % 50 = 0 THEN NULL ELSE {_ORDER_DAY} END AS period_start,
+CASE WHEN o_custkey % 10 <> 1 THEN CAST({_ORDER_DAY} + o_custkey % 400 AS INT) END AS period_end, o_totalprice AS value FROM orders"""
+_LINE_PERIODS_SQL = f"SELECT DISTINCT d AS period_start, CAST(d + 10 * (d % 31) AS INT) AS period_end FROM (SELECT {_LINE_DAY} AS d FROM lineitem)"
+
+
+@query("effective_rate_many", f"""SELECT o_orderpriority, p.period_start, p.period_end, max_by(value, CASE
+  WHEN r.period_start <= p.period_start AND r.period_end >= p.period_end THEN (3, 0, r.period_start, -r.period_end, value)
+  WHEN r.period_start IS NULL THEN (2, 0, 0, -coalesce(r.period_end, 1000000), value)
+  ELSE (1, r.period_end, r.period_start, 0, value) END) AS rate
+FROM ({_ORDER_RATES_SQL}) r JOIN ({_LINE_PERIODS_SQL}) p ON (r.period_start <= p.period_start AND r.period_end >= p.period_end)
+  OR r.period_start IS NULL OR r.period_end < p.period_start GROUP BY ALL""")
+def effective_rate_many(spark, folder):
+    """A rate for each order, by its priority, in as many periods as there are shipping days."""
+    day = F.unix_date(F.to_date("o_orderdate"))
+    rates = table(spark, folder, "orders").select(
+        "o_orderpriority", F.when(~((F.col("o_orderpriority") < "3") & (F.col("o_custkey") % 50 == 0)), day).alias("period_start"),
+        F.when(F.col("o_custkey") % 10 != 1, day + (F.col("o_custkey") % 400).cast("int")).alias("period_end"), F.col("o_totalprice").alias("value"))
+    shipped = table(spark, folder, "lineitem").select(F.unix_date(F.to_date("l_shipdate")).alias("d")).distinct()
+    periods = shipped.select(F.col("d").alias("period_start"), (F.col("d") + 10 * (F.col("d") % 31)).alias("period_end"))
+    return effective.effective_rate(rates, periods, "o_orderpriority", "value").withColumnRenamed("value", "rate")
+
+
 @query("distinct_periods", """SELECT DISTINCT CAST(year(l_shipdate) AS INT) AS period_start, CAST(year(l_shipdate) + l_linenumber AS INT) AS period_end
 FROM lineitem""")
 def distinct_periods(spark, folder):

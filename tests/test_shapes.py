@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from capledger.operators import bounded, effective, membership, ordered, quantile
+from capledger.operators import bounded, effective, membership, ordered, quantile, stabbing
 from capledger.operators.ordered import ordered_scan
 from capledger.operators.rollup import fingerprint
 
@@ -141,6 +141,51 @@ def test_effective_rate_over_many_periods(spark, nothing_fits):
     check_effective(spark, 9)
 
 
+def check_many(spark, rows, spans, key="string"):
+    rates = spark.createDataFrame(rows, f"key {key}, period_start int, period_end int, value int")
+    periods = spark.createDataFrame(spans, "period_start int, period_end int")
+    got = {tuple(r)[:3]: r[3] for r in stabbing.effective_rate_many(rates, periods, "key", "value").collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        for s, e in set(spans):
+            v = pick([r[1:] for r in rows if r[0] == k], s, e)
+            if v is not None:
+                want[k, s, e] = v
+    assert got == want
+
+
+@pytest.mark.parametrize("bits,seed", [(1, 1), (2, 2), (6, 3), (6, 4)])
+def test_rates_found_in_the_tree_equal_the_stated_preference(spark, monkeypatch, bits, seed):
+    monkeypatch.setattr(stabbing, "BITS", bits)
+    monkeypatch.setattr(stabbing, "SCAN_BITS", bits)
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(150):
+        s = rng.choice([None, *range(-120, 300)]) if seed % 2 else rng.randrange(-120, 300)
+        e = None if rng.random() < 0.1 else (s or 0) + rng.choice([0, 1, 5, 40, 300])
+        rows.append((rng.choice(["hot", "hot", "k1", "k2", None]), s, e, rng.randrange(50)))
+    spans = [(s, s + rng.choice([-3, 0, 2, 30])) for s in rng.choices(range(-150, 400), k=90)]
+    check_many(spark, rows + rows[:9], spans + spans[:5])
+
+
+def test_tree_of_rates_without_literals_or_broadcasts(spark, nothing_fits):
+    check_many(spark, random_rates(5), PERIODS)
+
+
+def test_tree_of_no_rates_and_no_periods(spark):
+    check_many(spark, [], PERIODS)
+    check_many(spark, random_rates(1), [])
+    check_many(spark, [("a", None, None, 3), ("b", 2020, None, 4)], PERIODS)
+
+
+def test_many_periods_take_the_tree(spark):
+    rates = spark.range(1000).selectExpr("'k' AS key", "CAST(id AS INT) AS period_start", "CAST(id + 3 AS INT) AS period_end", "id AS value")
+    periods = spark.range(200).selectExpr("CAST(id * 5 AS INT) AS period_start", "CAST(id * 5 + 2 AS INT) AS period_end")
+    got = effective.effective_rate(rates, periods, "key", "value")
+    assert sorted((r.period_start, r.value) for r in got.collect()) == [(i * 5, i * 5) for i in range(200)]
+    assert got.schema["period_end"].dataType.simpleString() == "int"
+
+
 def test_membership_when_the_list_is_long(spark, nothing_fits):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string")
     out = membership.flag_membership(df, spark.createDataFrame([("a",), ("a",), (None,)], "k string"), "k")
