@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capledger.functions.vocabulary import EMISSIONS_FACTOR
+from capledger.functions.vocabulary import COVERED_BUILDING_RULE, EMISSIONS_FACTOR, FACT_KINDS
 from capledger.operators import answers as A
 from capledger.operators import records as R
 from capledger.plans import facts as plans
@@ -253,3 +255,69 @@ def facts_load(spark, folder):
     fresh = plans.new_facts(result.accepted.where("false"), result.accepted, EMISSIONS_FACTOR)
     return fresh.select("rag_id", F.col("chunk_id").cast("long").alias("chunk_id"), "property_type",
                         F.col("value").cast("double").alias("value"), "jurisdiction")
+
+
+def _all_kinds_expert(row: dict) -> str:
+    """Answers the questions for jurisdictions, matches of tables, and records of every kind."""
+    question = row["question"]
+    if question.startswith("Which jurisdiction"):
+        first = int(re.search(r"Chunk (\d+)", question)[1])
+        return json.dumps({"jurisdiction": f"City {first}"}) if first % 2 == 0 else "It does not say."
+    if question.startswith("Does this table"):
+        return _expert(row)
+    kind = next(k for k in FACT_KINDS.values() if question.startswith(f"List every {k.name} "))
+    records = []
+    for i in map(int, re.findall(r"<chunk id=(\d+)", question)):
+        record = {"chunk_id": i, kind.number: f"{i}.5", kind.label: f"Prose {i}", "jurisdiction": "Town"}
+        record |= {"period_start": 2024, "period_end": 2029, "unit": "t/sf", "rate_unit": "USD"}
+        if kind is COVERED_BUILDING_RULE:
+            record["jurisdiction"] = None if i % 5 == 0 else "Town"
+        elif i % 3 == 0:
+            record[kind.number] = "1 2"
+        records.append({f: v for f, v in record.items() if f in ("chunk_id", *kind.fields)})
+    return json.dumps({"records": records})
+
+
+_KIND_LABELS_SQL = ", ".join(f"({i}, '{name}')" for i, name in enumerate(FACT_KINDS))
+
+
+@query("facts_all_kinds", f"""WITH near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rag_id, concept ORDER BY similarity DESC, v) AS rn FROM (
+  SELECT label AS rag_id, concept, vec_id AS v, embedding[1] > 0 AND concept IN ('EmissionsFactor', 'FuelCoefficient') AS is_table, embedding[2] > 0 AS held,
+    list_cosine_similarity(CAST(embedding AS DOUBLE[]), query_vector) AS similarity
+  FROM embeddings, ({CENTRES_SQL}) JOIN (VALUES {_KIND_LABELS_SQL}) AS k(n, concept) ON n = query_id)) WHERE rn <= 15),
+known AS (SELECT label AS rag_id, CASE WHEN min(vec_id) % 2 = 0 THEN 'City ' || min(vec_id) END AS city FROM embeddings GROUP BY label),
+records AS (SELECT near.*, coalesce(city, CASE WHEN concept <> 'CoveredBuildingRule' OR v % 5 <> 0 THEN 'Town' END) AS jurisdiction,
+  CASE WHEN is_table THEN v + 0.25 WHEN concept = 'CoveredBuildingRule' OR v % 3 <> 0 THEN v + 0.5 END AS number FROM near JOIN known USING (rag_id)),
+counted AS (SELECT concept, count(*) AS extracted, count(*) FILTER (WHERE jurisdiction IS NULL OR number IS NULL) AS skipped FROM records GROUP BY concept)
+SELECT concept, rag_id, v AS chunk_id, CASE WHEN is_table THEN 'Row ' ELSE 'Prose ' END || v AS label, CAST(number AS DOUBLE) AS number, jurisdiction, extracted, skipped
+FROM records JOIN counted USING (concept) WHERE jurisdiction IS NOT NULL AND number IS NOT NULL AND NOT held""")
+def facts_all_kinds(spark, folder):
+    """Four kinds of facts of all documents: jurisdictions asked, one search, fact tables that hold a part already, counts."""
+    vectors = table(spark, folder, "embeddings").select(F.col("label").alias("rag_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    cid, is_table = F.col("chunk_id").cast("string"), F.col("embedding")[0] > 0
+    text = F.concat(F.lit("Chunk "), cid)
+    chunks = vectors.select(
+        "rag_id", "chunk_id", F.lit(1).alias("page_number"), F.when(is_table, "table").otherwise("text").alias("block_type"),
+        text.alias("raw_text"), text.alias("full_text"), F.array(F.lit("Type"), F.lit("Rate")).alias("column_headers"))
+    rows = vectors.select("rag_id", "chunk_id", F.lit(1).alias("row"), F.create_map(
+        F.lit("Type"), F.concat(F.lit("Row "), cid), F.lit("Rate"), F.concat(cid, F.lit(".25"))).alias("cells"))
+    names = F.array(*map(F.lit, FACT_KINDS))
+    queries = label_centres(spark, folder).where(F.col("query_id").between(0, len(FACT_KINDS) - 1)).select(
+        F.get(names, F.col("query_id").cast("int")).alias("query_id"), "query_vector")
+
+    first = vectors.groupBy("rag_id").agg(F.min("chunk_id").alias("first"))
+    city = F.when(F.col("first") % 2 == 0, F.concat(F.lit("City "), "first")).otherwise("Town")
+    held = vectors.where(F.col("embedding")[1] > 0).join(first, "rag_id")
+
+    def target(kind):
+        wording = F.when(is_table & F.lit(kind.from_tables), "Row ").otherwise("Prose ")
+        return stored(held.select(
+            "rag_id", "chunk_id", city.alias("jurisdiction"), F.concat(wording, cid).alias(kind.label), F.lit(0).cast(R.NUMBER).alias(kind.number),
+            F.lit(2024).alias("period_start"), F.lit(2029).alias("period_end")), f"held-{kind.name}")
+
+    fresh, counts, _, _ = plans.load_facts(
+        chunks, vectors, rows, queries, {n: target(k) for n, k in FACT_KINDS.items()}, _all_kinds_expert)
+    parts = [fresh[n].select(
+        F.lit(n).alias("concept"), "rag_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.col(k.label).alias("label"),
+        F.col(k.number).cast("double").alias("number"), "jurisdiction") for n, k in FACT_KINDS.items()]
+    return reduce(DataFrame.unionByName, parts).join(F.broadcast(counts), "concept")
