@@ -1,7 +1,8 @@
 import random
 import re
 
-from capledger.llm.decontaminate import EDIT_SHARE, contaminations, least_edits, without_contaminated
+from capledger.llm import decontaminate
+from capledger.llm.decontaminate import EDIT_SHARE, RUNS, contaminations, entered_offsets, least_edits, without_contaminated
 import numpy as np
 import pytest
 
@@ -61,6 +62,36 @@ def test_recall_of_edited_items(spark):
     assert len(edited) > 40 and len(edited & got.keys()) >= 0.9 * len(edited)
 
 
+@pytest.mark.parametrize("n", [64, 200, 400, 1000])
+def test_recall_of_long_items(spark, n):
+    r = random.Random(n)
+    vocabulary = ["".join(r.choices("abcdefghij", k=5)) for _ in range(3000)]
+    items = [(i, r.choices(vocabulary, k=n)) for i in range(40)] + [(99, r.choices(vocabulary, k=14))]
+    docs = [(i, " ".join(r.choices(vocabulary, k=r.randrange(40)) + _edited(r, w, n // 10, vocabulary) + r.choices(vocabulary, k=9))) for i, w in items[:-1]]
+    found = contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    got = {(row["id"], row["item_id"]): row["edits"] for row in found.collect()}
+    assert all(a == b and e <= n // 10 for (a, b), e in got.items()) and len(got) >= 38
+
+
+def test_items_in_many_blocks_are_found_alike(spark, monkeypatch):
+    items, docs = _corpus(copies=2)
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    frame = spark.createDataFrame([*docs, (None, docs[0][1].upper()), (9, None)], "doc_id long, text string")
+    whole = sorted(map(tuple, contaminations(frame, bench).collect()), key=str)
+    kept = sorted(map(tuple, without_contaminated(frame, bench).collect()), key=str)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60_000)
+    assert len(decontaminate._blocks(bench, "item_id", "text")) > 4
+    assert sorted(map(tuple, contaminations(frame, bench).collect()), key=str) == whole
+    assert sorted(map(tuple, without_contaminated(frame, bench).collect()), key=str) == kept and (9, None) in kept
+
+
+def test_a_very_long_item_is_entered_at_a_bounded_number_of_places():
+    for n in (200, 20_000, 10**6):
+        at = entered_offsets(n, 50, 8)
+        assert len(at) <= RUNS * 8 and at[0] == 0 and at[-1] == n - 50
+    assert entered_offsets(59, 50, 7).tolist() == list(range(10))
+
+
 def test_odd_rows(spark):
     items, _ = _corpus()
     text = " ".join(items[3][1])
