@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1_000
+BATCH_BYTES = 16 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 _IN_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
@@ -24,11 +25,12 @@ _powers: list[np.ndarray] = []
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the rows of an Arrow batch to ``BATCH_ROWS`` for this session: rows hold whole
-    texts here, and each Python worker and its task hold a batch at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lowers an Arrow batch to ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` for this session: rows hold
+    whole texts here, and each Python worker and its task hold a batch at a time."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdecimal() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

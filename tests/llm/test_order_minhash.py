@@ -3,9 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from capledger.llm.order_minhash import near_duplicate_classes, ordered_similarity, without_near_duplicates
+from capledger.llm.text import BATCH_BYTES, small_batches
 
 SCHEMA = "node string, doc_id long, text string, class_id int, key int"
 
@@ -125,3 +127,17 @@ def test_band_loses_no_similar_pair(seed):
     want = _similarity(a, b)
     got = ordered_similarity(np.array(a, np.uint64), np.array(b, np.uint64), 0.8)
     assert got == pytest.approx(want) if want >= 0.8 else got <= want + 1e-12
+
+
+def test_batches_of_long_texts_are_bounded_by_their_size(spark):
+    small_batches(spark)
+    long = spark.range(0, 64, 1, 1).selectExpr("repeat('ab', 1 << 19) AS text")  # 64 MB
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    sizes = [r["n"] for r in long.mapInArrow(rows, "n long").collect()]
+    assert len(sizes) >= 3 and max(sizes) <= BATCH_BYTES + (2 << 20)
+    small_batches(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)
