@@ -13,7 +13,9 @@ from capledger.operators.compliance import is_covered, project_compliance
 from capledger.operators.effective import cap_of, compliance_periods, scalar_of, weighted_sum
 from capledger.operators.membership import flag_membership
 from capledger.operators.rollup import observed
-from capledger.sources.tables import read_facts, write_table
+from capledger.plans.serving import write_serving
+from capledger.sources.scratch import stored
+from capledger.sources.tables import read_facts
 
 # Which rule sets the penalty, and which threshold covers one building.
 PENALTY_FOR = "excess_emissions"
@@ -73,11 +75,12 @@ def project_filings(clean: DataFrame, facts: Facts, jurisdiction: str = "New Yor
 def load_gold(clean: DataFrame, facts: Facts, path: str, jurisdiction: str = "New York City") -> dict:
     """Replaces the projection table; returns entities evaluated, entities covered and rows written.
 
-    Rows and evaluated entities are counted while the table is written; covered entities are
-    counted on one column of what was written.
+    Rows and evaluated entities are counted while the projection is stored, covered entities on
+    one column of it; from there it is written clustered by property, as lookups want it (see ``serving.write_serving``).
     """
     evaluated, seen_in = observed(clean, "gold_input", n=F.count(F.lit(1)))
     projected, seen_out = observed(project_filings(evaluated, facts, jurisdiction), "gold_output", n=F.count(F.lit(1)))
-    write_table(projected, path)
-    covered = clean.sparkSession.read.parquet(path).select("property_id").distinct().count()
+    projected = stored(projected, "projected")  # cutting ranges samples its input, which must not be computed or counted twice
+    write_serving(projected, path)
+    covered = projected.select("property_id").distinct().count()
     return {"entities_evaluated": seen_in.get["n"], "entities_covered": covered, "rows_written": seen_out.get["n"]}

@@ -227,6 +227,18 @@ def entity_lookup(spark, folder):
     return serving.entity_lookup(lines, "l_suppkey", top, "l_orderkey").drop("l_suppkey")
 
 
+@query("serving_lookup", """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
+WHERE l_suppkey IN (SELECT min(s_suppkey) FROM supplier UNION ALL SELECT max(s_suppkey) FROM supplier)""")
+def serving_lookup(spark, folder):
+    """Two suppliers' lines from a table written for lookups: clustered, with an index of its files."""
+    path = scratch_path(spark, "serving")
+    lines = table(spark, folder, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    serving.write_serving(lines, path, "l_suppkey", "l_orderkey")
+    ends = table(spark, folder, "supplier").agg(F.min("s_suppkey"), F.max("s_suppkey")).first()
+    found = [serving.serving_lookup(spark, path, key, "l_suppkey", "l_orderkey") for key in ends]
+    return found[0].unionByName(found[1]).drop("l_suppkey")
+
+
 @query("run_metrics", f"""SELECT (SELECT count(*) FROM customer) AS entities_evaluated, count(DISTINCT entity) AS entities_covered,
 count(*) AS rows_written FROM ({I.PROJECTION_SQL})""")
 def run_metrics(spark, folder):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +60,9 @@ def with_lineage(df: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, merge: bool = True) -> DataFrame | None:
     """A lake table, or None where there is none yet; without ``schema`` with the columns of
-    all its files.
+    all its files, or of any one of them where ``merge`` is off, which does not open them all.
 
     Pass the schema of tables partitioned by text: partition values are otherwise
     read as numbers or dates where they look like them.
@@ -70,7 +71,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         return None
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        return reader.option("mergeSchema", schema is None).parquet(path)
+        return reader.option("mergeSchema", merge and schema is None).parquet(path)
     except AnalysisException as e:
         if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return None
@@ -89,21 +90,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return files.rename(aside[0].getPath(), where)
 
 
-def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+def write_table(
+    df: DataFrame, path: str, by: list[str] | None = None, options: dict[str, str] | None = None,
+    finish: Callable[[str], None] | None = None,
+) -> None:
     """Replaces the whole table once the new one stands.
 
     The new table is written beside the old one, which goes on being read; a write that fails leaves it
     as it is. Then the two change places: the moment between two renames is the only one without a
     table, and who finds it so puts the old one back (see ``read_table``). On stores without renames of folders a rename copies.
+    ``finish`` is called with the new table's path before that, to put something into its folder that changes place with it.
     """
     spark = df.sparkSession
     path = path.rstrip("/")
     beside = f"{path}{_BESIDE}{uuid.uuid4().hex}"
     new, old, at = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (beside, f"{path}{_BEFORE}{uuid.uuid4().hex}", path))
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    writer = df.write.mode("error")
+    writer = df.write.mode("error").options(**options or {})
     try:
         (writer.partitionBy(*by) if by else writer).parquet(beside)
+        if finish is not None:
+            finish(beside)
     except Exception:
         files.delete(new, True)
         raise

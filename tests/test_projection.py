@@ -1,12 +1,13 @@
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from capledger.functions import filings as names
 from capledger.operators.effective import weighted_sum, weighted_sum_long
 from capledger.plans.projection import Facts, load_gold, project_filings
-from capledger.plans.serving import entity_lookup, usage_mix, verdicts
+from capledger.plans.serving import entity_lookup, files_of, serving_lookup, usage_mix, verdicts, write_serving
 
 CITY = "New York City"
 PERIODS = [(2024, 2029), (2030, 2034), (2035, 2039), (2040, 2049)]
@@ -157,3 +158,38 @@ def test_gold_job_writes_and_counts(spark, tmp_path):
     assert spark.read.parquet(path).count() == 8
     assert load_gold(clean(spark, HALL), facts(spark), path)["rows_written"] == 4
     assert spark.read.parquet(path).count() == 4
+
+
+def test_a_lookup_opens_the_files_of_its_entity_only(spark, tmp_path):
+    path = str(tmp_path / "served")
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 1000 == 1, F.lit(None)).otherwise((F.col("id") % 500).cast("string")).alias("property_id"),
+        F.col("id").alias("period_start"), F.hash("id").alias("x"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        write_serving(rows, path, row_group_bytes=4096)
+        write_serving(rows, path, row_group_bytes=4096)  # the index changes place with its table
+    finally:
+        spark.conf.unset(coalesce)
+    files = sorted((tmp_path / "served").glob("*.parquet"))
+    assert len(files) == 4 and spark.read.parquet(path).count() == 40_000
+    assert len(files_of(spark, path, "77")) == 1 and files_of(spark, path, "zzz") == []
+    assert len(files_of(spark, path, "hot")) > 1  # a hot entity is in several files
+    for value in ("77", "hot", "zzz", "0"):
+        got = [tuple(r) for r in serving_lookup(spark, path, value).collect()]
+        assert got == [tuple(r) for r in rows.where(F.col("property_id") == value).orderBy("period_start").collect()]
+    pages = [pq.ParquetFile(f) for f in files]
+    held = [p.metadata.row_group(g).column(0) for p in pages for g in range(p.num_row_groups)]
+    with_77 = [c for c in held if c.statistics.has_min_max and c.statistics.min <= "77" <= c.statistics.max]
+    assert len(held) > 8 and 1 <= len(with_77) <= 2  # row groups whose statistics let 77 through
+
+
+def test_lookups_in_tables_without_rows_or_entities(spark, tmp_path):
+    schema = "property_id string, period_start int"
+    for name, rows in (("none", []), ("nulls", [(None, 1), (None, 2)])):
+        path = str(tmp_path / name)
+        write_serving(spark.createDataFrame(rows, schema), path)
+        assert serving_lookup(spark, path, "a").collect() == []
+    with pytest.raises(ValueError):
+        serving_lookup(spark, str(tmp_path / "missing"), "a")
