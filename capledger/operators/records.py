@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capledger.functions.columns import computed_once
 from capledger.functions.vocabulary import FactKind
 from capledger.operators.bounded import lookup_join
 from capledger.operators.ordered import first_per_key
+from capledger.sources.scratch import stored
+from capledger.sources.tables import read_table
 
 NUMBER = "decimal(38,18)"
+BUCKET, BUCKETS = "_key_bucket", 256
 
 
 def rows_by_column(
@@ -84,6 +87,35 @@ def insert_new(target: DataFrame, batch: DataFrame, key: list[str], order: list[
     return first.join(held, same, "left_anti")
 
 
+def add_new(spark: SparkSession, path: str, batch: DataFrame, key: list[str], order: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """Appends what ``insert_new`` says to a table kept in hash buckets of the key, and returns it.
+
+    Of the table, only the key columns of the buckets that the batch has keys in are read. The append is one
+    commit, so a batch that failed can be given again, and one given twice adds nothing the second time.
+    ``key`` and ``buckets`` must not change over a table's life, nor the types of the key columns, as their
+    hash decides the bucket: that raises ValueError. Two batches must not be added at the same moment.
+    """
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    batch = stored(first_per_key(batch, key, [F.col(c).asc_nulls_last() for c in order]).withColumn(BUCKET, bucket), "batch")
+    held = read_table(spark, path, merge=False)
+    if held is None:
+        fresh = batch
+    else:
+        changed = [c for c in key if held.schema[c].dataType != batch.schema[c].dataType]
+        if changed:
+            raise ValueError(f"the table has other types of {changed}")
+        touched = sorted(r[0] for r in batch.select(BUCKET).distinct().collect())  # as many as buckets
+        fresh = stored(insert_new(held.where(F.col(BUCKET).isin(touched)), batch, key, order), "added")
+    fresh.hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
+    return fresh.drop(BUCKET)
+
+
+def read_added(spark: SparkSession, path: str) -> DataFrame | None:
+    """What ``add_new`` has added so far."""
+    held = read_table(spark, path)
+    return None if held is None else held.drop(BUCKET)
+
+
 def extraction_counts(records: DataFrame, rejected: DataFrame, concept: str = "concept") -> DataFrame:
     """(concept, extracted, skipped): records before validation and how many it rejected."""
     both = records.select(concept, F.lit(1).alias("r"), F.lit(0).alias("s")).unionByName(

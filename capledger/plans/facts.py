@@ -145,6 +145,12 @@ def new_facts(stored: DataFrame, accepted: DataFrame, kind: FactKind) -> DataFra
     return R.insert_new(stored, accepted, list(kind.key), ["chunk_id", kind.label, kind.number])
 
 
+def add_facts(path: str, accepted: DataFrame, kind: FactKind) -> DataFrame:
+    """The new ones of the accepted facts, appended to the table of their kind at ``path``, of
+    which only the buckets that hold keys of the batch are read."""
+    return R.add_new(accepted.sparkSession, path, accepted, list(kind.key), ["chunk_id", kind.label, kind.number])
+
+
 def load_facts(
     chunks: DataFrame, vectors: DataFrame, rows: DataFrame, queries: DataFrame, targets: Mapping[str, DataFrame],
     ask: Callable[[dict], object], kinds: Mapping[str, FactKind] = FACT_KINDS, opening: int = 3, k: int = TOP_K,

@@ -15,7 +15,7 @@ from capledger.operators import records as R
 from capledger.plans import facts as plans
 from capledger.queries.documents import CENTRES_SQL, label_centres
 from capledger.queries.registry import query, table
-from capledger.sources.scratch import stored
+from capledger.sources.scratch import scratch_path, stored
 
 _K = "CAST(json_extract_string(props, '$.k') AS INT)"
 
@@ -173,6 +173,20 @@ def insert_new(spark, folder):
     return R.insert_new(keyed.where("value > 90"), keyed, ["user_id", "event_type", "period_start"], ["value", "event_id"])
 
 
+@query("facts_by_bucket", f"""WITH e AS ({_KEYED_SQL}), a AS (SELECT *, CASE WHEN value > 90 THEN 1 WHEN event_type <> 'view' THEN 2 END AS batch FROM e)
+SELECT user_id, event_type, period_start, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, period_start ORDER BY batch, value, event_id) AS rn
+FROM a WHERE batch IS NOT NULL) WHERE rn = 1""")
+def facts_by_bucket(spark, folder):
+    """Three batches into one table kept in buckets of the key: new keys, old and new ones, and the second again."""
+    path, key = scratch_path(spark, "fact-buckets"), ["user_id", "event_type", "period_start"]
+    keyed = table(spark, folder, "events").select(
+        "user_id", "event_type", F.when(F.col("event_type") != "error", F.hour("ts")).alias("period_start"), "value", "event_id")
+    later = keyed.where("event_type <> 'view' AND value <= 90")
+    for batch in (keyed.where("value > 90"), later, later):
+        R.add_new(spark, path, batch, key, ["value", "event_id"], buckets=16)
+    return R.read_added(spark, path)
+
+
 @query("union_records", """SELECT event_id, value, CASE WHEN event_type IN ('purchase', 'click') THEN 't/sf' END AS unit FROM events""")
 def union_records(spark, folder):
     events = table(spark, folder, "events")

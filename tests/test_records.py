@@ -86,6 +86,53 @@ def test_insert_new_is_null_safe_and_repeatable(spark):
     assert R.insert_new(target.unionByName(first), batch, key, ["chunk_id", "value"]).count() == 0
 
 
+def test_a_batch_reads_the_buckets_of_its_keys_only(spark, tmp_path):
+    schema = "rag_id int, chunk_id int, fuel_type string, period_start int, value int"
+    key, order, path = ["rag_id", "fuel_type", "period_start"], ["chunk_id", "value"], str(tmp_path / "facts")
+    first = [(i, j, "Gas", None if i % 3 else 2024, i * 10 + j) for i in range(200) for j in (2, 1)]
+    added = R.add_new(spark, path, spark.createDataFrame(first, schema), key, order, buckets=32)
+    assert added.count() == 200 and {r["chunk_id"] for r in added.collect()} == {1}
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "facts").rglob("*.parquet")}
+
+    before = files()
+    second = spark.createDataFrame([(7, 1, "Gas", None, 0), (7, 1, "Oil", None, 1), (9, 1, "Gas", 2024, 2), (None, 1, None, None, 3), (None, 1, None, None, 4)], schema)
+    # Buckets without a key of the batch are not opened: spoil all of them.
+    bucket = F.pmod(F.xxhash64(*key), F.lit(32)).cast("int")
+    needed = {f"{R.BUCKET}={r[0]}" for r in second.select(bucket).distinct().collect()}
+    kept = {}
+    for p in before:
+        if p.parent.name not in needed:
+            kept[p] = p.read_bytes()
+            p.write_bytes(b"PAR1 spoilt")
+            (p.parent / f".{p.name}.crc").unlink(missing_ok=True)
+    sample = next(p for p in before if p.parent.name in needed)
+    assert kept and sample.exists()
+    held = spark.read.schema(f"{schema}, {R.BUCKET} int").parquet(path)
+    fresh = R.insert_new(held.where(F.col(R.BUCKET).isin([int(n.split("=")[1]) for n in needed])), second, key, order)
+    assert sorted((r["rag_id"] or 0, r["value"]) for r in fresh.collect()) == [(0, 3), (7, 1)]
+    for p, content in kept.items():
+        p.write_bytes(content)
+
+    assert sorted((r["rag_id"] or 0, r["value"]) for r in R.add_new(spark, path, second, key, order, buckets=32).collect()) == [(0, 3), (7, 1)]
+    after = files()
+    assert all(after[p] == t for p, t in before.items() if p not in kept)  # nothing is rewritten
+    assert {p.parent.name for p in after.keys() - before.keys()} <= needed
+    assert R.add_new(spark, path, second, key, order, buckets=32).count() == 0
+    assert R.add_new(spark, path, second.where("false"), key, order, buckets=32).count() == 0
+    assert R.read_added(spark, path).count() == 202
+    with pytest.raises(ValueError):
+        R.add_new(spark, path, second.withColumn("rag_id", F.col("rag_id").cast("long")), key, order, buckets=32)
+
+
+def test_an_empty_first_batch(spark, tmp_path):
+    none = spark.createDataFrame([], "k string, v int")
+    path = str(tmp_path / "facts")
+    assert R.add_new(spark, path, none, ["k"], ["v"]).count() == 0 and R.read_added(spark, path) is None
+    assert R.add_new(spark, path, spark.createDataFrame([("a", 1), (None, 2)], none.schema), ["k"], ["v"]).count() == 2
+
+
 def test_rows_by_column_skips_tables_without_it(spark):
     rows = spark.createDataFrame([(1, 5, 1, {"Type": "Office", "V": "1"}), (1, 5, 2, {"Type": "Bank"}), (1, 6, 1, {"Type": "x", "V": "2"})],
                                  "rag_id int, chunk_id int, row int, cells map<string,string>")
