@@ -248,6 +248,47 @@ def doc_tables_roundtrip(spark, folder):
     return stored.join(counted, ["doc", "chunk_id"], "left").select("doc", "table_ref", "chunk_id", F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
+@query("layout_ingest", f"""WITH {_ITEMS_SQL},
+kept AS (SELECT doc, table_ref, row FROM cells JOIN tables USING (doc, table_ref) GROUP BY doc, table_ref, row
+  HAVING NOT bool_or(row_section) AND bool_or(text <> '') AND NOT (bool_or(skip_first_row) AND row = 0)
+    AND (bool_or(is_continuation) OR NOT bool_or(column_header))),
+counted AS (SELECT doc, table_ref, count(*) AS n FROM kept GROUP BY doc, table_ref),
+prose AS (SELECT doc, ord // 500 AS ord, min(page) AS page_number, string_agg(t || ' ' || k, chr(10) ORDER BY ord) AS raw_text FROM it WHERE t = 'view' GROUP BY ALL),
+both_kinds AS (
+  SELECT doc, 0 AS late, ord, 'text' AS block_type, page_number, 'Part ' || ord || ' > Page' AS section_path, raw_text, 0 AS n_rows FROM prose
+  UNION ALL SELECT doc, 1, ord, 'table', page, section, concat_ws(chr(10), section, intro, CASE WHEN k < 20 THEN 'Table ' || k END,
+    nullif(array_to_string(list_filter(headers, lambda h: h <> ''), ' | '), '')), coalesce(n, 0) FROM tables LEFT JOIN counted USING (doc, table_ref))
+SELECT doc AS document_key, CASE WHEN doc % 3 = 0 THEN 2 ELSE 1 END AS version_id, row_number() OVER (PARTITION BY doc ORDER BY late, ord) - 1 AS chunk_id, block_type,
+  CAST(page_number AS INT) AS page_number, section_path, sha256(raw_text) AS raw_text,
+  CAST(length('{plans.DOCUMENT_PREFIX}' || CASE WHEN late = 0 THEN section_path || chr(10) ELSE '' END || raw_text) AS DOUBLE) AS embedding, n_rows FROM both_kinds""")
+def layout_ingest(spark, folder):
+    """Three deliveries of documents with prose and tables: all; a third of them changed; the same again."""
+    key = F.col("user_id").cast("string")
+    items = _event_items(spark, folder).drop("event_type", "value", "k")
+    chunk = F.when(F.col("kind") == layout.TEXT, F.floor(F.col("ord") / 500))
+    items = items.withColumns({
+        "chunk_id": chunk, "label": F.lit("text"),
+        "headings": F.when(chunk.isNotNull(), F.array(F.concat(F.lit("Part "), chunk.cast("string")), F.lit("Page"))), "doc": F.col("doc").cast("string")})
+    cells = _event_cells(spark, folder).withColumn("doc", F.col("doc").cast("string"))
+    users = table(spark, folder, "events").select(key.alias("document_key"), "user_id").distinct()
+    first = users.select("document_key", F.concat(F.lit("as of spring "), "document_key").alias("text"))
+    second = users.select("document_key", F.concat(F.when(F.col("user_id") % 3 == 0, "as of autumn ").otherwise("as of spring "), "document_key").alias("text"))
+    held = spark.createDataFrame([], "rag_id string, document_key string, document_hash string, embed_model string, version_id int, active_flag boolean")
+    root = scratch_path(spark, "layout-ingest")
+
+    def embed(chunks):
+        return chunks.select("doc", "chunk_id", F.length("embed_text").cast("double").alias("embedding"))
+
+    for delivery in (first, second, second):
+        held, _ = plans.ingest_parsed(held, delivery, items, cells, "m", root, embed, block=layout.block_of(F.col("ord"), SPAN))
+    chunks, rows, vectors = (read_table(spark, f"{root}/document_{n}") for n in ("chunks", "tables", "vectors"))
+    counted = rows.groupBy("doc", "chunk_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    active = held.where("active_flag").select(F.col("rag_id").alias("doc"), "document_key", "version_id")
+    return chunks.join(vectors, ["doc", "chunk_id"]).join(counted, ["doc", "chunk_id"], "left").join(active, "doc").select(
+        F.col("document_key").cast("long").alias("document_key"), "version_id", F.col("chunk_id").cast("long").alias("chunk_id"), "block_type", "page_number", "section_path",
+        F.sha2("raw_text", 256).alias("raw_text"), "embedding", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
 def label_centres(spark, folder):
     """The mean vector of each label, as a query."""
     parts = table(spark, folder, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))

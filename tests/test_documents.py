@@ -263,6 +263,43 @@ def test_store_keeps_earlier_versions(spark, tmp_path):
     assert again.select("rag_id").distinct().count() == again.count()
 
 
+def test_parsed_documents_are_stored_by_version(spark, tmp_path):
+    root = str(tmp_path / "docs")
+    empty = spark.createDataFrame([], REGISTRY)
+    item = "doc string, ord int, kind string, text string, page int, table_ref string, caption string, chunk_id int, label string, headings array<string>"
+    items = spark.createDataFrame([
+        ("a", 1, "section_header", "Caps", 1, None, None, None, None, None),
+        ("a", 2, "text", "first", 1, None, None, 0, "text", ["Caps"]), ("a", 3, "text", "second", 2, None, None, 0, "list", ["Caps"]),
+        ("a", 4, "table", None, 3, "t1", "Table 1", None, None, None), ("a", 5, "text", None, 3, None, None, 1, "text", None),
+        ("b", 1, "table", None, 7, "t1", None, None, None, None), (None, 1, "text", "lost", 1, None, None, 0, "text", None),
+    ], item)
+    cell = "doc string, table_ref string, row int, col int, text string, column_header boolean, row_section boolean"
+    cells = spark.createDataFrame([
+        ("a", "t1", 0, 0, "Type", True, False), ("a", "t1", 0, 1, "Rate", True, False), ("a", "t1", 1, 0, "Office", False, False), ("a", "t1", 1, 1, "0.5", False, False),
+    ], cell)
+    delivery = spark.createDataFrame([("a", "v1"), ("a", "v1"), ("b", "v1"), ("no items", None), (None, "v1")], "document_key string, text string")
+    embed = lambda c: c.select("doc", "chunk_id", F.length("embed_text").alias("embedding"))
+
+    held, done = plans.ingest_parsed(empty, delivery, items, cells, "m", root, embed)
+    assert done == {"added": 2, "skipped": 0, "chunks": 4, "rows": 1}
+    key_of = {r["rag_id"]: r["document_key"] for r in held.collect()}
+    chunks = {(key_of[r["doc"]], r["chunk_id"]): r for r in spark.read.parquet(f"{root}/document_chunks").collect()}
+    assert sorted(chunks) == [("a", 0), ("a", 1), ("a", 2), ("b", 0)]
+    assert chunks["a", 0]["raw_text"] == "first\nsecond" and chunks["a", 0]["block_type"] == "mixed" and chunks["a", 0]["page_number"] == 1
+    assert chunks["a", 2]["raw_text"] == "Caps\nsecond\nTable 1\nType | Rate" and chunks["a", 2]["column_headers"] == ["Type", "Rate"]
+    rows = spark.read.parquet(f"{root}/document_tables").collect()
+    assert [(key_of[r["doc"]], r["chunk_id"], r["cells"]) for r in rows] == [("a", 2, {"Type": "Office", "Rate": "0.5"})]
+    assert spark.read.parquet(f"{root}/document_vectors").count() == 4
+
+    again, done = plans.ingest_parsed(held, delivery.where("document_key = 'b'"), items, cells, "m", root, embed)
+    assert done == {"added": 0, "skipped": 1, "chunks": 0, "rows": 0}
+    changed = spark.createDataFrame([("a", "v2"), ("b", "v1")], delivery.schema)
+    again, done = plans.ingest_parsed(again, changed, items, cells, "m", root, embed)
+    assert done == {"added": 1, "skipped": 1, "chunks": 3, "rows": 1}
+    assert [r["version_id"] for r in again.where("document_key = 'a' AND active_flag").collect()] == [2]
+    assert spark.read.parquet(f"{root}/document_chunks").count() == 7  # the earlier version stays
+
+
 def test_null_documents_and_flags(spark):
     from capledger.operators.cleanse import drop_revisions
     from capledger.operators.layout import table_rows
