@@ -11,7 +11,7 @@ from capledger.sources.scratch import stored
 
 BLOCKS = 256        # cuts of a large group
 STRIDE = 16         # every 16th cut is compared first, then the 15 behind it
-SMALL_GROUP = 20_000  # rows that one task may sort
+SMALL_GROUP = 20_000  # rows, or distinct values with their counts, that one task may sort
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
@@ -20,7 +20,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     Equal values are counted first, and the counts stored. Groups of up to ``SMALL_GROUP`` rows are one
     aggregate each. Approximate quantiles cut each larger group into
     blocks of about 1/256 of its distinct values; only block totals are ranked per
-    group, and only the block that holds the middle is sorted.
+    group, and the block that holds the middle is cut again until one task may sort it.
     """
     given, group = keys, "__group"
     if keys:  # one key, so that NULLs meet in joins as they do in groups
@@ -35,39 +35,35 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     if large.isEmpty():
         return direct(counts)
     if not keys:
-        return _median_by_blocks(counts, keys).withColumnRenamed("median", out)
+        return _median_by_blocks(counts.withColumn(group, F.lit(0)), [group]).select(F.col("median").alias(out))
     big = large.select(*keys)
     found = _median_by_blocks(lookup_join(counts, big, keys, "left_semi"), keys).select(*[F.col(f"{group}.{c}") for c in given], F.col("median").alias(out))
     return found.unionByName(direct(lookup_join(counts, big, keys, "left_anti")))
 
 
 def _median_by_blocks(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, median) of groups that are too large for one task, from the counts of their values."""
-    steps = [i / BLOCKS for i in range(1, BLOCKS)]
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("v", steps, F.lit(8 * BLOCKS)).alias("cuts"))
-    if keys:
-        met = lookup_join(counts, stored(cuts, "cuts"), keys, "inner")
-    else:
-        met = counts.withColumn("cuts", F.lit(cuts.first()["cuts"]).cast("array<double>"))
-    coarse = F.filter("cuts", lambda c, i: (i + 1) % STRIDE == 0)
-    placed = computed_once(met, {"c": _below(coarse)}).select(
-        *keys, "v", "n",
-        (F.col("c") * STRIDE + _below(F.slice("cuts", F.col("c") * STRIDE + 1, F.lit(STRIDE - 1)))).alias("block"),
-    )
-    by_block = placed.groupBy(*keys, "block").agg(F.sum("n").alias("size"))
-    whole = Window.partitionBy(*keys)
-    upto = whole.orderBy("block")
-    middle = (
-        by_block.withColumn("total", F.sum("size").over(whole))
-        .withColumn("start", F.sum("size").over(upto) - F.col("size"))
-        .withColumn("lo", F.floor((F.col("total") + 1) / 2))
-        .withColumn("hi", F.floor((F.col("total") + 2) / 2))
-        .where((F.col("start") < F.col("hi")) & (F.col("start") + F.col("size") >= F.col("lo")))
-        .select(*keys, "block", "start", "lo", "hi")
-    )
-    ranked = placed.join(middle, [*keys, "block"]).withColumn(
-        "last", F.col("start") + F.sum("n").over(Window.partitionBy(*keys, "block").orderBy("v"))
-    )
+    """(keys, median) of groups that are too large for one task, from the counts of their values.
+
+    Each round keeps the block of a group that holds its middle, or the two that do, until
+    no group has more than ``SMALL_GROUP`` distinct values left, or ``BLOCKS`` where that is more. A round leaves about 1/256 of them, so four
+    are enough for 10^14.
+    """
+    ranks = counts.groupBy(*keys).agg(F.sum("n").alias("m")).select(
+        *keys, F.floor((F.col("m") + 1) / 2).alias("lo"), F.floor((F.col("m") + 2) / 2).alias("hi"))
+    while True:
+        placed = _placed(counts, keys)
+        upto = Window.partitionBy(*keys).orderBy("block")
+        blocks = placed.groupBy(*keys, "block").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("values"))
+        blocks = blocks.withColumn("start", F.sum("size").over(upto) - F.col("size"))
+        middle = blocks.join(ranks, keys).where((F.col("start") < F.col("hi")) & (F.col("start") + F.col("size") >= F.col("lo")))
+        middle = stored(middle.select(*keys, "block", "start", "values", "lo", "hi"), "middle")
+        ahead = middle.groupBy(*keys).agg(F.min("start").alias("skip"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.sum("values").alias("values"))
+        ranks = ahead.select(*keys, (F.col("lo") - F.col("skip")).alias("lo"), (F.col("hi") - F.col("skip")).alias("hi"))
+        counts = lookup_join(placed, middle.select(*keys, "block"), [*keys, "block"], "left_semi").drop("block")
+        if (ahead.agg(F.max("values")).first()[0] or 0) <= max(SMALL_GROUP, BLOCKS):
+            break
+        counts = stored(counts, "middle-values")
+    ranked = counts.join(ranks, keys).withColumn("last", F.sum("n").over(Window.partitionBy(*keys).orderBy("v")))
 
     def at(rank: str):
         here = (F.col(rank) <= F.col("last")) & (F.col(rank) > F.col("last") - F.col("n"))
@@ -76,5 +72,17 @@ def _median_by_blocks(counts: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(((at("lo") + at("hi")) / 2).alias("median"))
 
 
+def _placed(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, v, n, block): where each value stands among some 256 cuts of its group."""
+    steps = [i / BLOCKS for i in range(1, BLOCKS)]
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("v", steps, F.lit(8 * BLOCKS)).alias("cuts"))
+    met = lookup_join(counts, stored(cuts, "cuts"), keys, "inner")
+    coarse = F.filter("cuts", lambda c, i: (i + 1) % STRIDE == 0)
+    return computed_once(met, {"c": _below(coarse)}).select(
+        *keys, "v", "n",
+        (F.col("c") * STRIDE + _below(F.slice("cuts", F.col("c") * STRIDE + 1, F.lit(STRIDE - 1)))).alias("block"),
+    )
+
+
 def _below(cuts):
     return F.size(F.filter(cuts, lambda c: c < F.col("v")))

@@ -211,6 +211,26 @@ def test_median_of_hot_and_small_groups(spark, monkeypatch, small):
     assert whole == median([v for vs in values.values() for v in vs])
 
 
+def test_the_middle_of_a_large_group_is_cut_until_one_task_may_sort_it(spark, monkeypatch):
+    monkeypatch.setattr(quantile, "SMALL_GROUP", 40)
+    monkeypatch.setattr(quantile, "BLOCKS", 32)
+    rounds = []
+    cut = quantile._placed
+
+    def counted(counts, keys):
+        rounds.append(max(r[0] for r in counts.groupBy(*keys).agg(F.count(F.lit(1))).select("count(1)").collect()))
+        return cut(counts, keys)
+
+    monkeypatch.setattr(quantile, "_placed", counted)
+    # All values of a group differ; both middle values of "even" stand at the border of many blocks.
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, "odd").otherwise("even").alias("k"), (F.hash("id").cast("double") / 7).alias("v"))
+    df = df.unionByName(spark.createDataFrame([("odd", 1e300)], "k string, v double"))
+    got = {r["k"]: r["median"] for r in quantile.exact_median(df, ["k"], "v").collect()}
+    want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.percentile("v", 0.5).alias("m")).collect()}
+    assert got == pytest.approx(want, rel=1e-12)
+    assert len(rounds) >= 2 and rounds[0] > 30_000 and all(later < before / 8 for before, later in zip(rounds, rounds[1:]))
+
+
 def test_fingerprint_is_of_the_set(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "h string")
     mark = fingerprint(df, "h")
