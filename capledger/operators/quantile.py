@@ -27,40 +27,40 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
         df, keys = df.withColumn(group, F.struct(*keys)), [group]
     rows = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     counts = stored(rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")), "counts")
-    large = stored(counts.groupBy(*keys).agg(F.sum("n").alias("m")).where(F.col("m") > SMALL_GROUP).drop("m").withColumn("__large", F.lit(True)), "large-groups")
+    large = stored(counts.groupBy(*keys).agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("values")).where(F.col("m") > SMALL_GROUP), "large-groups")
+    most = large.agg(F.max("values")).first()[0]
 
     def direct(few: DataFrame) -> DataFrame:
         return few.groupBy(*keys).agg(F.percentile("v", 0.5, F.col("n")).alias(out)).select(*[F.col(f"{group}.{c}") for c in given], out)
 
-    if large.isEmpty():
+    if most is None:
         return direct(counts)
     if not keys:
-        return _median_by_blocks(counts.withColumn(group, F.lit(0)), [group]).select(F.col("median").alias(out))
+        return _median_by_blocks(counts.withColumn(group, F.lit(0)), [group], most, True).select(F.col("median").alias(out))
     big = large.select(*keys)
-    found = _median_by_blocks(lookup_join(counts, big, keys, "left_semi"), keys).select(*[F.col(f"{group}.{c}") for c in given], F.col("median").alias(out))
+    found = _median_by_blocks(lookup_join(counts, big, keys, "left_semi"), keys, most, False).select(*[F.col(f"{group}.{c}") for c in given], F.col("median").alias(out))
     return found.unionByName(direct(lookup_join(counts, big, keys, "left_anti")))
 
 
-def _median_by_blocks(counts: DataFrame, keys: list[str]) -> DataFrame:
+def _median_by_blocks(counts: DataFrame, keys: list[str], most: int, single: bool) -> DataFrame:
     """(keys, median) of groups that are too large for one task, from the counts of their values.
 
-    Each round keeps the block of a group that holds its middle, or the two that do, until
-    no group has more than ``SMALL_GROUP`` distinct values left, or ``BLOCKS`` where that is more. A round leaves about 1/256 of them, so four
-    are enough for 10^14.
+    A round keeps the block of a group that holds its middle, or the two that do: with the error of the cuts
+    at most 1/102 of its distinct values, of which a group has ``most``. Rounds go on until ``SMALL_GROUP`` are
+    left, or ``BLOCKS`` where that is more. ``single`` tells that there is one group.
     """
-    ranks = counts.groupBy(*keys).agg(F.sum("n").alias("m")).select(
-        *keys, F.floor((F.col("m") + 1) / 2).alias("lo"), F.floor((F.col("m") + 2) / 2).alias("hi"))
+    ranks = None
     while True:
-        placed = _placed(counts, keys)
-        upto = Window.partitionBy(*keys).orderBy("block")
-        blocks = placed.groupBy(*keys, "block").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("values"))
-        blocks = blocks.withColumn("start", F.sum("size").over(upto) - F.col("size"))
-        middle = blocks.join(ranks, keys).where((F.col("start") < F.col("hi")) & (F.col("start") + F.col("size") >= F.col("lo")))
-        middle = stored(middle.select(*keys, "block", "start", "values", "lo", "hi"), "middle")
-        ahead = middle.groupBy(*keys).agg(F.min("start").alias("skip"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.sum("values").alias("values"))
-        ranks = ahead.select(*keys, (F.col("lo") - F.col("skip")).alias("lo"), (F.col("hi") - F.col("skip")).alias("hi"))
-        counts = lookup_join(placed, middle.select(*keys, "block"), [*keys, "block"], "left_semi").drop("block")
-        if (ahead.agg(F.max("values")).first()[0] or 0) <= max(SMALL_GROUP, BLOCKS):
+        placed = _placed(counts, keys, single)
+        whole = Window.partitionBy(*keys)
+        blocks = placed.groupBy(*keys, "block").agg(F.sum("n").alias("size")).withColumns({
+            "start": F.sum("size").over(whole.orderBy("block")) - F.col("size"), "m": F.sum("size").over(whole)})
+        blocks = blocks.withColumns({"lo": F.floor((F.col("m") + 1) / 2), "hi": F.floor((F.col("m") + 2) / 2)}) if ranks is None else blocks.join(ranks, keys)
+        middle = stored(blocks.where((F.col("start") < F.col("hi")) & (F.col("start") + F.col("size") >= F.col("lo"))).select(*keys, "block", "start", "lo", "hi"), "middle")
+        ranks = middle.groupBy(*keys).agg((F.min("lo") - F.min("start")).alias("lo"), (F.min("hi") - F.min("start")).alias("hi"))
+        counts = lookup_join(placed, middle.select(*keys, "block"), [*keys, "block"], "left_semi", tiny=single).drop("block")
+        most = most * 5 // (2 * BLOCKS) + 1
+        if most <= max(SMALL_GROUP, BLOCKS):
             break
         counts = stored(counts, "middle-values")
     ranked = counts.join(ranks, keys).withColumn("last", F.sum("n").over(Window.partitionBy(*keys).orderBy("v")))
@@ -72,11 +72,11 @@ def _median_by_blocks(counts: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(((at("lo") + at("hi")) / 2).alias("median"))
 
 
-def _placed(counts: DataFrame, keys: list[str]) -> DataFrame:
+def _placed(counts: DataFrame, keys: list[str], single: bool) -> DataFrame:
     """(keys, v, n, block): where each value stands among some 256 cuts of its group."""
     steps = [i / BLOCKS for i in range(1, BLOCKS)]
     cuts = counts.groupBy(*keys).agg(F.percentile_approx("v", steps, F.lit(8 * BLOCKS)).alias("cuts"))
-    met = lookup_join(counts, stored(cuts, "cuts"), keys, "inner")
+    met = lookup_join(counts, cuts if single else stored(cuts, "cuts"), keys, "inner", tiny=single)
     coarse = F.filter("cuts", lambda c, i: (i + 1) % STRIDE == 0)
     return computed_once(met, {"c": _below(coarse)}).select(
         *keys, "v", "n",

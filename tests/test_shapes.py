@@ -217,9 +217,9 @@ def test_the_middle_of_a_large_group_is_cut_until_one_task_may_sort_it(spark, mo
     rounds = []
     cut = quantile._placed
 
-    def counted(counts, keys):
+    def counted(counts, keys, single):
         rounds.append(max(r[0] for r in counts.groupBy(*keys).agg(F.count(F.lit(1))).select("count(1)").collect()))
-        return cut(counts, keys)
+        return cut(counts, keys, single)
 
     monkeypatch.setattr(quantile, "_placed", counted)
     # All values of a group differ; both middle values of "even" stand at the border of many blocks.
