@@ -268,3 +268,43 @@ def test_scratch_is_in_a_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     assert scratch_root(spark).startswith(shared) and held.inputFiles()[0].split(":", 1)[-1].lstrip("/").startswith(scratch_root(spark).split(":", 1)[-1].lstrip("/"))
     assert scratch_root(spark.newSession()) == scratch_root(spark)
+
+
+def test_small_groups_take_one_shuffle_and_large_ones_blocks(spark, monkeypatch):
+    rows = [("hot" if i % 3 else f"k{i % 7}", i * 37 % 1000, i % 5 or None) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+
+    def scan(df):
+        return ordered_scan(
+            df, ["k"], ["o"], F.floor(F.col("o") / 20), totals={"total": F.col("v")}, last={"last": F.col("v")},
+            last_before={"before": F.col("v")}, previous={"prev": F.col("v")}, following={"next": F.col("v"), "more": F.lit(1)},
+        )
+
+    def seen(out):
+        return sorted(map(tuple, out.select("k", "o", "v", "total", "last", "before", "prev", "next", F.col("more").isNull()).collect()), key=str)
+
+    plan = scan(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert seen(scan(df)) == brute_scan(rows)
+    monkeypatch.setattr(bounded, "HOT_ROWS", 50)
+    assert len(bounded.hot_keys(df, ["k"])) == 1
+    assert seen(scan(df)) == brute_scan(rows) and scan(df).schema["total"].dataType.simpleString() == "bigint"
+    # a NULL key has nothing carried from block to block, and NULL places are cut into blocks as well
+    lost = spark.createDataFrame([(None, 1, 5), (None, 2, 6), (None, 30, 7)], "k string, o long, v long")
+    assert [r["total"] for r in scan(lost).orderBy("o").collect()] == [5, 11, 7]
+    assert bounded.hot_keys(df.withColumn("o", F.lit(None)), ["k"], unless=F.col("o").isNull()) is None
+
+
+def test_rows_beside_the_columns_of_their_table(spark):
+    from capledger.operators.layout import table_rows
+
+    cell = "doc string, table_ref string, row int, col int, text string, column_header boolean, row_section boolean"
+    cells = [("d", t, r, c, f"{r}{c}", False, False) for t in ("a", "b") for r in range(2) for c in range(3)]
+    cells += [("d", "a", 2, 0, "x", False, False), ("d", "a", 2, 2, "y", False, False), ("d", "a", 3, 5, "z", False, False), ("d", "b", 2, 1, "", False, False)]
+    tables = spark.createDataFrame([("d", "a", ["A", "", "A"], False, False), ("d", "b", ["B", "", "C"], True, False)],
+                                   "doc string, table_ref string, headers array<string>, skip_first_row boolean, is_continuation boolean")
+    got = {(r["table_ref"], r["row"]): r["cells"] for r in table_rows(spark.createDataFrame(cells, cell), tables).collect()}
+    assert got == {
+        ("a", 0): {"col_1": "01", "A": "02"}, ("a", 1): {"col_1": "11", "A": "12"}, ("a", 2): {"A": "y"}, ("a", 3): {"col_5": "z"},
+        ("b", 1): {"B": "10", "col_1": "11", "C": "12"},
+    }
