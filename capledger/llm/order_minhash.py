@@ -209,8 +209,8 @@ def _frequencies(texts: DataFrame, k: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["slot", "n"])
 
     total = np.zeros(SLOTS, np.int64)
-    for slot, n in texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():
-        total[slot] = n
+    found = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return total
 
 

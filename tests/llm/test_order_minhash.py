@@ -141,3 +141,18 @@ def test_batches_of_long_texts_are_bounded_by_their_size(spark):
     assert len(sizes) >= 3 and max(sizes) <= BATCH_BYTES + (2 << 20)
     small_batches(spark)
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)
+
+
+def test_symbol_counts_reach_the_driver_as_columns(spark):
+    import tracemalloc
+
+    from capledger.llm.order_minhash import SLOTS, _frequencies
+
+    words = np.random.default_rng(3).integers(0, 1 << 32, 600_000, dtype=np.uint32).reshape(600, 1000)
+    texts = spark.createDataFrame([(w.tobytes(),) for w in words], "words binary")
+    tracemalloc.start()
+    counts = _frequencies(texts, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(counts) == SLOTS and counts.sum() == 600 * 996 and (counts > 0).sum() > 200_000
+    assert peak < 16 << 20, peak  # one row object for each slot takes several times as much
