@@ -337,3 +337,12 @@ def test_every_vector_as_a_query(spark, query_block, vector_block):
         want = sorted(range(120), key=lambda i: (near[i] != near[i], -near[i] if near[i] == near[i] else 0, i))[:9]
         assert [m[1] for m in mine] == want and [m[0] for m in mine] == list(range(1, 10))
     assert len(got) == 120 * 9
+
+
+def test_plain_texts_are_numbered_without_a_shuffle_of_their_own(spark):
+    texts = spark.createDataFrame([("a", "one two\nthree\nfour"), ("b", "five")], "rag_id string, text string")
+    prose = plans.text_chunks(texts.repartition(3, "rag_id"), 2)
+    out = layout.number_chunks(prose, prose.limit(0), span=None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Union" not in plan
+    assert sorted((r["doc"], r["chunk_id"], r["raw_text"]) for r in out.collect()) == [("a", 0, "one two"), ("a", 1, "three\nfour"), ("b", 0, "five")]
