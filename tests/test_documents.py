@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from capledger.functions import columns as C
 from capledger.operators import layout, registry, vectors
+from capledger.operators.bounded import lookup_join
 from capledger.plans import documents as plans
 
 ITEMS = "doc string, ord int, kind string, text string, page int, table_ref string, caption string"
@@ -300,6 +301,20 @@ def test_parsed_documents_are_stored_by_version(spark, tmp_path):
     assert spark.read.parquet(f"{root}/document_chunks").count() == 7  # the earlier version stays
 
 
+def test_parsed_items_and_cells_meet_only_the_keys_of_what_changed(spark, tmp_path, monkeypatch):
+    met = []
+    monkeypatch.setattr(plans, "lookup_join", lambda big, small, *a, **b: met.append(small.columns) or lookup_join(big, small, *a, **b))
+    items = spark.createDataFrame([("a", 1, "table", None, 1, "t1", None, None, None, None), ("b", 1, "table", None, 1, "t1", None, None, None, None)],
+                                  "doc string, ord int, kind string, text string, page int, table_ref string, caption string, chunk_id int, label string, headings array<string>")
+    cells = spark.createDataFrame([(d, "t1", i, 0, t, i == 0, False) for d in "ab" for i, t in enumerate(("Rate", "0.5"))],
+                                  "doc string, table_ref string, row int, col int, text string, column_header boolean, row_section boolean")
+    documents = spark.createDataFrame([("a", "v1"), ("b", "v1")], "document_key string, text string")
+    held, done = plans.ingest_parsed(spark.createDataFrame([], REGISTRY), documents, items, cells, "m", str(tmp_path / "docs"))
+    assert met == [["doc"], ["doc"], ["doc", "rag_id"]] and done["chunks"] == done["rows"] == 2
+    rows = spark.read.parquet(str(tmp_path / "docs" / "document_tables")).collect()
+    assert sorted((r["doc"], r["chunk_id"], r["cells"]["Rate"]) for r in rows) == sorted((r["rag_id"], 0, "0.5") for r in held.collect())
+
+
 def test_null_documents_and_flags(spark):
     from capledger.operators.cleanse import drop_revisions
     from capledger.operators.layout import table_rows
